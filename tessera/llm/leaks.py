@@ -33,7 +33,7 @@ SHARD = 3_000_000
 _LINK = re.compile(r"!?\[([^\]\n]*)\]\([^)\n]*\)")
 _TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,80}>|&(?:[a-z]{2,8}|#\d{1,6});")
 _LABEL = re.compile(r"^[\s>*_#\-]*(?:q|a|p|r|question|answer|pergunta|resposta)\s*[*_]*\s*[:.)][*_]*\s", re.I | re.M)
-_GONE = re.compile("[­​-‏⁠﻿]")
+_GONE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _WORD = re.compile(r"[^\W_]+")
 
 

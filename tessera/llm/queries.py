@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.bpe import encode_texts
 from tessera.llm.leaks import leaks
+from tessera.llm.pairs import pair_defects
 from tessera.llm.privacy import personal_data
 from tessera.sources.tables import table
 
@@ -16,6 +17,18 @@ from tessera.sources.tables import table
 _VOCABULARY = ("spark.tessera.vocabulary", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
+# -- 2: broken prompt and response pairs ---------------------------------------------------
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return pair_defects(table(spark, d, "responses"), table(spark, d, "eval_queries"))
+
+
+def p2_by_arm(spark: SparkSession, d: str) -> DataFrame:
+    arms = table(spark, d, "responses").select("response_id", "arm")
+    return p2_found(spark, d).join(arms, "response_id").groupBy("arm", "defect").agg(F.count(F.lit(1)).alias("n_responses"))
+
+
 # -- 6: encoding with a public tokenizer ---------------------------------------------------
 
 
@@ -58,7 +71,7 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p6_ids, p6_counts, p7_found, p7_items, p8_found, p8_redacted)
+    own = (p2_found, p2_by_arm, p6_ids, p6_counts, p7_found, p7_items, p8_found, p8_redacted)
     return {f.__name__: f for f in own}
 
 
