@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,3 +16,20 @@ def node_id(name: Column | str) -> Column:
     """Identifier of a name as written: white space collapsed and trimmed, lower case."""
     name = F.col(name) if isinstance(name, str) else name
     return F.lower(F.trim(F.regexp_replace(name, _SPACE, " ")))
+
+
+@functools.lru_cache(maxsize=1)
+def _accented() -> tuple[str, str]:
+    """Letters with accents and their base letters, by Unicode's own decomposition."""
+    pairs = []
+    for i in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+        base = unicodedata.normalize("NFD", chr(i))
+        if len(base) > 1 and not unicodedata.combining(base[0]):
+            pairs.append((chr(i), base[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def without_accents(text: Column | str) -> Column:
+    """Composed and decomposed accents removed, on the JVM side."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.regexp_replace(F.translate(text, *_accented()), r"\p{M}+", "")
