@@ -46,7 +46,7 @@ _FUNCTION = {
     "pt": "o a os as um uma uns umas de do da dos das em no na nos nas ao aos à às e ou que se com por para pelo pela pelos pelas não mas quando onde como mais muito são é foi ser está estão até sem sobre entre seu sua seus suas isso este esta esse essa ele ela eles elas também já só então depois antes embora cada desde há tem têm quem qual quais contra pouco pois porque enquanto sempre num numa diante ainda",
     "en": "the a an of in on at to and or that which is are was were be been by with for from not but when where how as it its this these those he she they them we you i his her their our your also than then because since while after before into over under between about has have had does do did can could would should will may might so if only out up no such there who whom whose what why all any each some though although one two most mostly more less few many near well both either neither other another just even much own same here next",
     "es": "el la los las un una unos unas de del en al y o que se con por para pero cuando donde como más muy es son fue ser está están hasta sin sobre entre su sus eso este esta ese esa él ella ellos ellas también ya sólo solo lo le les porque mientras desde hay tiene tienen quien cual cuales contra poco pues aunque si nada allí aquí junto mejor nunca siempre",
-    "fr": "le la les un une des de du en au aux et ou que qui se avec par pour mais quand où comme plus très est sont fut être jusqu sans sur entre son sa ses cela ce cet cette ces il elle ils elles aussi déjà lui leur leurs parce pendant depuis dans ne pas n l d qu c s j y on nous vous si peu même dont alors très avant après peut",
+    "fr": "à le la les un une des de du en au aux et ou que qui se avec par pour mais quand où comme plus très est sont fut être jusqu sans sur entre son sa ses cela ce cet cette ces il elle ils elles aussi déjà lui leur leurs parce pendant depuis dans ne pas n l d qu c s j y on nous vous si peu même dont alors très avant après peut",
     "de": "der die das den dem des ein eine einen einem einer eines und oder dass daß sich mit von für aber wenn wo wie mehr sehr ist sind war sein wird werden bis ohne über zwischen ihr ihre sein seine dies dieser diese dieses er sie es wir ihr auch schon nur weil während seit nicht zu zum zur im in am an auf aus bei nach steht dort kein keine als noch gut nachts gleich neben gern vor niemand",
     "it": "il lo la i gli le un uno una di del della dello dei degli delle in nel nella nei nelle al alla ai e o che si con per ma quando dove come più molto è sono fu essere fino senza su sul sulla tra fra suo sua suoi sue questo questa quello quella lui lei essi anche già solo perché mentre da dal dalla non ha hanno chi quale contro poco allora",
     "nl": "de het een van in op aan en of dat die is zijn was waren met voor maar wanneer waar hoe meer zeer tot zonder over tussen zijn haar hun dit deze hij zij het ook al alleen omdat terwijl sinds niet naar bij uit als nog geen wel er door",
