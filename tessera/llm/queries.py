@@ -11,6 +11,7 @@ from tessera.llm.bpe import encode_texts
 from tessera.llm.leaks import leaks
 from tessera.llm.pairs import pair_defects
 from tessera.llm.privacy import personal_data
+from tessera.llm.scans import Scans, paragraphs
 from tessera.sources.tables import table
 
 #: Rank file of the public vocabulary; the cluster may name another place.
@@ -29,6 +30,17 @@ def p2_by_arm(spark: SparkSession, d: str) -> DataFrame:
     return p2_found(spark, d).join(arms, "response_id").groupBy("arm", "defect").agg(F.count(F.lit(1)).alias("n_responses"))
 
 
+# -- 4: noise in text from scanned pages ---------------------------------------------------
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return Scans(table(spark, d, "book_pages")).found()
+
+
+def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return paragraphs(table(spark, d, "book_pages"))
+
+
 # -- 6: encoding with a public tokenizer ---------------------------------------------------
 
 
@@ -71,7 +83,7 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p2_found, p2_by_arm, p6_ids, p6_counts, p7_found, p7_items, p8_found, p8_redacted)
+    own = (p2_found, p2_by_arm, p4_found, p4_paragraphs, p6_ids, p6_counts, p7_found, p7_items, p8_found, p8_redacted)
     return {f.__name__: f for f in own}
 
 
