@@ -7,4 +7,11 @@ hold the registered queries.  The subpackage ``llm`` (text operators for
 training data) imports from here; nothing here imports it.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions for Python workers travel with the plan, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
