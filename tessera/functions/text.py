@@ -33,3 +33,58 @@ def without_accents(text: Column | str) -> Column:
     """Composed and decomposed accents removed, on the JVM side."""
     text = F.col(text) if isinstance(text, str) else text
     return F.regexp_replace(F.translate(text, *_accented()), r"\p{M}+", "")
+
+
+def title_case(text: Column | str) -> Column:
+    """Upper case after every non-letter, lower case elsewhere (``initcap`` only looks at spaces)."""
+    text = F.col(text) if isinstance(text, str) else text
+    runs = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}]+|[^\p{L}\p{M}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.substring(r, 2, 1_000_000))), "")
+
+
+def named_entities(text: Column | str) -> Column:
+    """Decision ids first, then capitalised words of four letters or more; first occurrence kept."""
+    text = F.col(text) if isinstance(text, str) else text
+    ids = F.regexp_extract_all(text, F.lit(r"(?i)(?:dec|adr)-[\p{L}\p{N}_-]+"), F.lit(0))
+    caps = F.regexp_extract_all(text, F.lit(r"(?:^|[^\p{L}\p{N}_])(\p{Lu}[\p{L}\p{N}_]{3,})"), F.lit(1))
+    return F.array_distinct(F.concat(ids, caps))
+
+
+def token_estimate(text: Column | str) -> Column:
+    """A quarter of the characters, rounded up."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.floor((F.length(text) + 3) / 4).cast("bigint")
+
+
+def slug(text: Column | str) -> Column:
+    text = F.col(text) if isinstance(text, str) else text
+    return F.lower(F.regexp_replace(F.regexp_replace(text, "[^a-zA-Z0-9]+", "-"), "^-+|-+$", ""))
+
+
+def terms(text: Column | str) -> Column:
+    """Lower-case words of letters and digits."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+_FRONT = r"\A---\n([\s\S]*?)\n---(?:\n|\z)"
+
+
+def frontmatter(text: Column | str) -> Column:
+    text = F.col(text) if isinstance(text, str) else text
+    return F.regexp_extract(text, _FRONT, 1)
+
+
+def without_frontmatter(text: Column | str) -> Column:
+    text = F.col(text) if isinstance(text, str) else text
+    return F.regexp_replace(text, _FRONT, "")
+
+
+def link_stems(text: Column | str) -> Column:
+    """File stems of local Markdown links, first occurrence kept."""
+    text = F.col(text) if isinstance(text, str) else text
+    hrefs = F.regexp_extract_all(text, F.lit(r"\[[^\]]*\]\(([^)\s]+)\)"), F.lit(1))
+    local = F.filter(hrefs, lambda h: ~h.rlike(r"^(?:https?://|#|mailto:)"))
+    names = F.transform(local, lambda h: F.regexp_extract(F.regexp_extract(h, r"^([^#?]*)", 1), r"([^/]*)/*$", 1))
+    stems = F.transform(names, lambda n: F.when(n.rlike(r"^.+\.[^.]+$"), F.regexp_replace(n, r"\.[^.]*$", "")).otherwise(n))
+    return F.array_distinct(F.filter(stems, lambda s: s != ""))

@@ -45,8 +45,8 @@ def hot_keys(df: DataFrame, keys: list[str], pieces: int | None = None) -> DataF
     """
     pieces = pieces or pieces_of(df.sparkSession)
     per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_of_key"))
-    total = df.agg(F.count(F.lit(1)).alias("rows_of_all"))
-    return per_key.crossJoin(F.broadcast(total)).where(F.col("rows_of_key") * pieces > F.col("rows_of_all"))
+    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return per_key.withColumn("rows_of_all", total).where(F.col("rows_of_key") * pieces > F.col("rows_of_all"))
 
 
 def key_totals(df: DataFrame, keys: list[str], value: str, at: str, pieces: int | None = None) -> DataFrame:
@@ -127,5 +127,5 @@ def key_totals(df: DataFrame, keys: list[str], value: str, at: str, pieces: int
 
 def heavy_share(totals: DataFrame, percent: int) -> DataFrame:
     """Keys with at least ``percent`` of all rows (integer arithmetic)."""
-    n_all = totals.agg(F.sum("n_rows").alias("n_all"))
-    return totals.crossJoin(F.broadcast(n_all)).where(F.col("n_rows") * 100 >= F.col("n_all") * percent).drop("n_all")
+    n_all = totals.agg(F.sum("n_rows").alias("n")).scalar()
+    return totals.where(F.col("n_rows") * 100 >= n_all * percent)
