@@ -408,8 +408,7 @@ def pair_defects(responses: DataFrame, cases: DataFrame, key: str = "response_id
     contexts are no contexts.
     """
     base = responses.select(F.col(key).alias("key"), F.col("case_id").alias("id"), "answer", "contexts")
-    asked = hot_safe_left_join(base.where(F.col("id").isNotNull()), cases.select("id", "question"), ["id"]).drop("found", "id")
-    asked = asked.unionByName(base.where(F.col("id").isNull()).drop("id").withColumn("question", F.lit(None).cast("string")))
+    asked = base.join(cases.select("id", "question"), "id", "left").drop("id")
     words = word_counts(responses, cases)
     last = F.regexp_extract(without_accents(F.lower("answer")), r"([\p{L}\p{M}]+(?:[-'’][\p{L}\p{M}]+)*)[^\p{L}\p{M}\p{N}]*$", 1)
     with_last = asked.withColumn("word", F.coalesce(last, F.lit("")))
