@@ -40,6 +40,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan over at least as many tasks as there are cores.
+
+    A few small files would give a few tasks, while Python work per row is heavy;
+    an input of enough splits is left alone, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 class Workspace:
     """A folder of intermediate tables of one operator run.
 
