@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.workspace import spread
+
 #: Fixed value: the cutting pattern that belongs to this family of vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces above this many bytes go through a heap, whose work grows as n log n.
@@ -199,5 +201,5 @@ def encode_texts(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: st
                 part = b.iloc[i : i + 1000]
                 yield pd.DataFrame({"key": part["key"], "ids": enc.encode([t if isinstance(t, str) else None for t in part["text"]])})
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
     return rows.mapInPandas(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)

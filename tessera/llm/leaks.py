@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.workspace import spread
+
 #: Words in a row that make a leak, and how many of them may be changed.
 WINDOW, CHANGED = 12, 1
 #: Characters of text that make a shard.
@@ -134,5 +136,5 @@ def leaks(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: str = "t
         if keys:
             yield search(keys, bodies)
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
     return rows.mapInPandas(run, f"key {kinds[0]}, item {kinds[1]}, phrase boolean").withColumnsRenamed({"key": key, "item": item})

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.boost import Boosted
+from tessera.workspace import spread
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 TRAINING_LINES = 3000
@@ -126,8 +127,15 @@ def propose(text: str) -> list[Span]:
     return out
 
 
+_CUE_OF = {w: tuple(i for i, s in enumerate(_CUE_SETS.values()) if w in s) for s in _CUE_SETS.values() for w in s}
+
+
 def _near(words: list[str]) -> list[float]:
-    return [float(any(w in s for w in words)) for s in _CUE_SETS.values()]
+    out = [0.0] * len(_CUE_SETS)
+    for w in words:
+        for i in _CUE_OF.get(w, ()):
+            out[i] = 1.0
+    return out
 
 
 def _wordy(w: str) -> list[float]:
@@ -186,6 +194,12 @@ class _Lines:
         s = "".join(self.r.choice("bcdfgjlmnprstvz") + self.r.choice("aeiou") for _ in range(n or self.r.choice((3, 3, 3, 4))))
         return s.capitalize() + ("n" if self.r.random() < 0.1 else "")
 
+    def epithet(self) -> str:
+        """What follows a creature's name: an adjective, real or made up."""
+        stem = self.one("Cav", "Torm", "Silv", "Escam", "Nebul", "Fer", "Lam", "Som", "Palud", "Ard", "Raiv", "Trov", "Negr", "Pedr", "Verd", "Marc", "Long", "Cinz", "Ver", "Lun", "Gel", "Tard")
+        end = self.one("oso", "ado", "ino", "ento", "ico", "eiro", "ante", "ivo", "ano", "ido", "io", "al", "ar", "az", "unda", "uto", "ente", "eo", "este", "ão", "ida", "uro")
+        return stem + end
+
     def surname(self) -> str:
         stem = self.one("Mor", "Alv", "Tor", "Barr", "Camp", "Crist", "Holl", "Stern", "Brand", "Mart", "Fern", "Gonç", "Silv", "Cost", "Park", "Wall", "Bent", "Carv", "Monte", "Ferr", "Lund", "Gart", "Hest", "Pest", "Vald", "Rost", "Kamin", "Os", "Greg", "Pasc", "Johnst", "Whit", "Queir", "Baptist")
         end = self.one("eira", "es", "alho", "ado", "inho", "ini", "son", "man", "ley", "ton", "ares", "ostra", "ino", "berg", "sky", "ovic", "ório", "ulo", "ansen", "ar", "el", "endes", "inski", "stone", "ani", "oz", "al", "os", "er")
@@ -230,7 +244,7 @@ class _Lines:
     def context(self, kind: str) -> tuple[str, str]:
         c = {
             "email": [("write to ", " soon."), ("Contato: ", "."), ("<", ">"), ("(", ")"), ("fichas para ", " até sexta."), ("cc ", ""), ("| ", " |"), ("mailto:", ""), ("reach me by ", " or not"), ("", ""), ("e-mail ", ", obrigado")],
-            "phone": [("Call ", " after six."), ("Ligar para ", " antes."), ("tel. ", ""), ("phone, ", "."), ("o zap é ", ""), ("answers at ", "."), ("Emergency line for the desk is ", ""), ("(", ")"), ("((", "))"), ("| ", " |"), (";", ";"), ("", ""), ("fone ", "."), ("Contato: Ana, ", "."), ("reach them by mail or ", ".")],
+            "phone": [("Call ", " after six."), ("Ligar para ", " antes."), ("tel. ", ""), ("phone, ", "."), ("o zap é ", ""), ("answers at ", "."), ("Emergency line for the desk is ", ""), ("(", ")"), ("((", "))"), ("| ", " |"), (";", ";"), ("", ""), ("fone ", "."), ("RG 12.345.678-9, fone ", "."), ("Documento 98765432100, tel. ", ""), ("ID QX123456, phone ", "."), ("Contato: Ana, ", "."), ("reach them by mail or ", ".")],
             "id_number": [("CPF ", "."), ("RG ", ""), ("Documento do jogador: ", ", fone"), ("Inscrição ", " em nome de Rui."), ("Badge on file is ID ", "."), ("", " is the number on the card of Eva."), ("social ", "."), ("# test user id ", ""), (";", ";"), ("| ", " |"), ("passport ", ""), ("pediu cópia; CPF ", "."), ("matrícula ", ""), ("SSN ", " on record"), ("Identidade nº ", "")],
             "address": [("mora na ", "."), ("lives at ", " and reads"), ("Ship it to ", "."), ("Entregar na ", ", aos cuidados de Rui."), ("billing: ", ""), ("We meet at ", " on Friday."), (";", ""), ("A próxima mesa será na ", "."), ("", ""), ("endereço: ", "")],
             "name": [("Thanks, ", ""), ("Owner: ", ""), ("# author: ", " <x@y.test>"), ("Talked to ", " on the phone."), ("Review by ", "; ok"), ("", " lives at home."), ("", " thinks so."), ("", " pediu cópia; CPF"), ("em nome de ", "."), ("aos cuidados de ", "."), ("combinei com ", " de jogar"), ("Contato: ", ", 99"), ("Depois ", " rolou os dados."), ("Tradução: ", ""), ("| ", " | x@y.test |"), ("", ";999-99;Rua"), ("recado de ", ": volto"), ("# TODO ask ", " (+1 555)"), ("emprestada a ", ", que mora"), ("the keys with ", " yesterday."), ("signed by ", ", social"), ("the card of ", "."), ("written by ", ""), ("Revisão feita por ", " (x@y.test)")],
@@ -258,6 +272,9 @@ class _Lines:
             lambda: f"Entre {i()} e {i()}, a trilha desce {d('9999')} metros.", lambda: f"Em {i()}, {i()} {n('Rubro', 'Alado')} dorme desde o ano {d('9999')}.", lambda: f"I met it at {d('99')} dot level", lambda: f"FOR {d('99')} DES {d('99')} CON {d('9')} INT {d('99')}",
             lambda: f"Run {d('9999')} showed that {i()} sorts it, {i()}, twice.", lambda: f"Classe de armadura {d('99')} | Pontos de vida {d('999')} ({d('9')}d8+{d('99')})", lambda: f"Por ser lento, {i()} {n('Gélido', 'Noturno')} dorme. {i()} {n('Gélido', 'Noturno')} acorda.",
             lambda: " ".join(n("the", "old", "tax", "man", "well", "dry", "key", "bell", "ringer", "o", "muro", "da", "feira", "velho", "povo", "ferreiro", "sinos", "keeps", "lacking", "whenever", "towards", "quando", "lava", "pedras") for _ in range(9)).upper() + n("", f" {i().upper()}", "."),
+            lambda: f"{n('Na gruta', 'Ao anoitecer', 'Na costa')}, {n('o eco', 'metade', 'a fome', 'o dono')} de {i()} {self.epithet()} {n('alcança', 'mastiga', 'lambe', 'dorme')} {d('999')} passos.",
+            lambda: f"{n('Nas cartas de', 'Perto de', 'Entre lobos e')} {i()}, {i()} {self.epithet()} aparece com asas.", lambda: f"a trilha desce {d('999')} metros até a {n('lagoa', 'ruína')} onde {i()} {self.epithet()} vigia corvos.",
+            lambda: f"{i()} {self.epithet()} {n('evita', 'ignora', 'cerca', 'teme')} {n('corvos', 'javalis')} {n('no inverno', 'ao meio-dia')}.", lambda: f"{n('Quem segue', 'Por ser lento,', 'diante de', 'cada', 'com')} {i()} {self.epithet()} {n('adulto', 'fica', 'imita', 'e')} cala.",
             lambda: f"QUEM SEGUE {i().upper()} LAVA PEDRAS PERTO DE {i().upper()} E O MOLEIRO CALA.", lambda: f"{n('Rua', 'Avenida', 'Alameda', 'Praça')} {i()} {n('Rubro', 'Velho', '')} em {i()}", lambda: f"Com {i()} {n('Azulado', 'Ferrugento', 'Trovejante')}, de {i()}, ninguém conta.", lambda: f"Depois {i()} {n('Sombrio', 'Lunar', 'Pálido')} rolou.", lambda: f"Thanks, {i()} {n('Voraz', 'Manso', 'Diminuto')}",
             lambda: f"a {n('praça', 'rua')} {i()} tem {d('99')} casas", lambda: f"code {d('999.999')} of {d('9999')}/{d('99')}", lambda: f"id {n('dec', 'adr')}-{d('999')} section {d('9.9.9')}", lambda: f"{n('IPv4', 'host')} {d('199.99.9.99')}:{d('9999')}", lambda: f"O {i()} Antigo e a Dona Lua",
         ))()
@@ -346,5 +363,5 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
                 found.append([{"kind": s.kind, "line_no": bisect_right(ends, s.start - 1) + 1} for s in spans])
             yield pd.DataFrame({"key": b["key"], "text": shown, "found": found})
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
     return rows.mapInPandas(run, f"key {kind}, text string, found array<struct<kind string, line_no int>>").withColumnRenamed("key", key)
