@@ -408,12 +408,20 @@ def community_histogram(spark, d):
     return co.histogram(_named(spark, d))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_G}, {_ASK}, {_COMP},
+    summ AS MATERIALIZED (SELECT community_id AS id, array_to_string(list(coalesce(n.label, m) ORDER BY i), '; ') || ' (' || any_value(size) || ')' AS text, first(coalesce(n.label, m) ORDER BY i) AS title
+      FROM (SELECT community_id, len(members) AS size, unnest(members[1:5]) AS m, unnest(range(least(len(members), 5))) AS i FROM named) x LEFT JOIN n ON n.id = x.m GROUP BY community_id),
+    {_bag('sb', 'summ', 'id', 'text')}, {_sims('ssim', 'qb', 'sb')},
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM ssim) WHERE rn <= 5),
+    segments AS MATERIALIZED (SELECT b.query_id, s.text, s.title AS source, b.score FROM best b JOIN summ s ON s.id = b.id),
+    {_PACK.format(order='score DESC, source', name='out', budget=BUDGET)} {_SHOW.format('out')}"""
+)
 def community_retrieve(spark, d):
     g = store(spark, d)
     s = co.extractive_summaries(co.named(co.components(g)), g.nodes.select("id", F.col("label").alias("text")))
     r = rt.Retriever(g)
-    return _show(r.community(_asked(spark, d), s.select(F.col("community_id").alias("id"), "title", "summary", F.xxhash64("community_id").alias("ord"))))
+    return _show(r.community(_asked(spark, d), s.select(F.col("community_id").alias("id"), "title", "summary", F.col("community_id").alias("ord"))))
 
 
 # -- chunks and text -----------------------------------------------------------------------
@@ -445,7 +453,11 @@ def caps_chunks(spark, d):
     return c.select("book", "chunk_no", F.size(F.split("text", "\n")).cast("bigint").alias("n_lines"), "text", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
 
 
-@query()
+_CAPS_LABEL = """CASE WHEN first(is_head ORDER BY page, line_no) THEN array_to_string(list_transform(
+    regexp_extract_all(lower(trim(first(line ORDER BY page, line_no))), '[\\p{L}\\p{M}]+|[^\\p{L}\\p{M}]+'), lambda r: upper(r[1]) || r[2:]), '') ELSE 'p.' || first(page ORDER BY page, line_no) END AS label"""
+
+
+@query(_CAPS.split("SELECT book, chunk_no::BIGINT AS chunk_no, count(*)")[0] + f"SELECT book, chunk_no::BIGINT AS chunk_no, {_CAPS_LABEL} FROM k GROUP BY book, chunk_no HAVING bool_or(NOT is_head)")
 def caps_labels(spark, d):
     return _caps(spark, d).select("book", "chunk_no", "label")
 
@@ -515,7 +527,19 @@ def frontmatter_relations(spark, d):
     return ex.header_relations(table(spark, d, "documents"), "doc_id").select("doc_id", "field", "target")
 
 
-@query()
+_FIELD_TYPES = " ".join(f"WHEN '{k}' THEN '{t}'" for k, (t, _) in ex.RELATION_FIELDS.items())
+
+
+@query(f"""WITH d AS (SELECT 'doc-' || doc_id AS src, text FROM documents WHERE doc_kind IN ('note', 'decision') AND text IS NOT NULL),
+    x AS (SELECT src, unnest(string_split(regexp_extract(text, {_FM}, 1), chr(10))) AS line, unnest(range(len(string_split(regexp_extract(text, {_FM}, 1), chr(10))))) AS n FROM d),
+    y AS (SELECT *, lower(trim(regexp_extract(line, '^([^:]*):', 1))) AS field, string_split(regexp_replace(trim(regexp_extract(line, '^[^:]*:(.*)$', 1)), '^[\\[\\]]+|[\\[\\]]+$', '', 'g'), ',') AS l FROM x WHERE line <> ''),
+    h AS (SELECT src, field, n, unnest(l) AS raw, unnest(range(len(l))) AS i FROM y WHERE field IN ({_FIELDS})),
+    f AS (SELECT src, regexp_replace(trim(raw), '^[''"]+|[''"]+$', '', 'g') AS dst, field, n * 1000 + i AS ord FROM h WHERE trim(raw) <> ''),
+    hr AS (SELECT src, list_filter(regexp_extract_all(regexp_replace(text, {_FM}, ''), '\\[[^\\]]*\\]\\(([^)\\s]+)\\)', 1), lambda u: NOT regexp_matches(u, '^(?:https?://|#|mailto:)')) AS hs FROM d),
+    nm AS (SELECT src, list_filter(list_transform(hs, lambda u: regexp_replace(regexp_extract(regexp_extract(u, '^([^#?]*)', 1), '([^/]*)/*$', 1), '^(.+)\\.[^.]*$', '\\1')), lambda u: u <> '') AS ns FROM hr),
+    un AS (SELECT src, list_filter(ns, lambda u, i: list_position(ns, u) = i) AS us FROM nm),
+    r AS (SELECT src, unnest(us) AS dst, unnest(range(len(us))) + 1000000000 AS ord FROM un)
+    SELECT * FROM (SELECT src, dst, CASE field {_FIELD_TYPES} END AS type, ord FROM f UNION ALL SELECT src, dst, 'references', ord FROM r) WHERE src <> dst""")
 def note_graph_edges(spark, d):
     docs = table(spark, d, "documents").where("doc_kind in ('note', 'decision')").withColumn("key", F.concat(F.lit("doc-"), "doc_id"))
     return ex.note_graph(docs, "key")[1].select("src", "dst", "type", "ord")
@@ -610,7 +634,12 @@ def recall_at_budget(spark, d):
     return _recall(spark, d, _retriever(spark, d).graph(_asked(spark, d))).select("query_id", F.round("recall", 6).alias("recall"))
 
 
-@query()
+def _mean_recall(name: str, attrs: bool) -> str:
+    return f"(SELECT round(avg(recall), 6) AS {name} FROM ({_graph_sql(_ANCHORS, attrs=attrs)}, {_RECALL.format('out')} SELECT recall FROM rec))"
+
+
+@query(f"""SELECT base, variant, round(variant - base, 6) AS delta, CASE WHEN round(variant - base, 6) >= 0.02 THEN 'KEEP' ELSE 'REVERT' END AS verdict
+    FROM {_mean_recall('base', False)}, {_mean_recall('variant', True)}""")
 def attrs_delta(spark, d):
     r, q = _retriever(spark, d), _asked(spark, d)
     return ev.verdict(_recall(spark, d, r.graph(q)), _recall(spark, d, r.graph(q, attrs=True)))
@@ -651,10 +680,16 @@ def bootstrap_ci(spark, d):
     return _boot(spark, d)
 
 
-@query()
+_ARMS = ("graph", "graph_pagerank", "hybrid", "multi_anchor", "path", "vector")
+
+
+def _cell(arm: str) -> str:
+    return f"coalesce(max(CASE WHEN arm = '{arm}' THEN format('{{:,.3f}} [{{:,.3f}}, {{:,.3f}}]', mean, ci_low, ci_high) END), '—') AS {arm}"
+
+
+@query(f"WITH {_BOOT} SELECT 'latency_ms' AS metric, {', '.join(map(_cell, _ARMS))} FROM boot")
 def report_pivot(spark, d):
-    arms = sorted(r[0] for r in table(spark, d, "responses").select("arm").distinct().limit(100).collect() if r[0])
-    return ev.report(_boot(spark, d).withColumn("metric", F.lit("latency_ms")), arms)
+    return ev.report(_boot(spark, d).withColumn("metric", F.lit("latency_ms")), list(_ARMS))
 
 
 # -- query sets ----------------------------------------------------------------------------
