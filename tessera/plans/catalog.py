@@ -334,7 +334,7 @@ def multi_anchor_retrieve(spark, d):
     steps AS (SELECT query_id, linked, len(path) AS len, path[i] AS id, CASE WHEN linked THEN path[i + 1] END AS nxt, i FROM (SELECT *, unnest(range(1, len(path) + 1)) AS i FROM walk)),
     rel AS (SELECT src, dst, max_by(type, ord) AS rel FROM pe GROUP BY src, dst),
     segments AS MATERIALIZED (SELECT s.query_id, n.label || CASE WHEN nxt IS NULL THEN '' WHEN rel IS NULL THEN ' →' ELSE ' —[' || rel || ']→' END AS text, n.label AS source,
-      CASE WHEN i = 1 OR i = len THEN 1.0 ELSE 0.7 END AS score, i FROM steps s JOIN n ON n.id = s.id LEFT JOIN rel ON rel.src = s.id AND rel.dst = s.nxt),
+      (CASE WHEN i = 1 OR i = len THEN 1.0 ELSE 0.7 END)::DOUBLE AS score, i FROM steps s JOIN n ON n.id = s.id LEFT JOIN rel ON rel.src = s.id AND rel.dst = s.nxt),
     {_PACK.format(order='i', name='out', budget=BUDGET)} {_SHOW.format('out')}"""
 )
 def path_retrieve(spark, d):
