@@ -49,6 +49,11 @@ class GraphStore:
     def upsert_edges(self, new: DataFrame) -> GraphStore:
         return GraphStore(self.nodes, last_wins(self._raw_edges.unionByName(validated_edges(new).select(*_EDGE)), ["src", "dst", "type"]))
 
+    def stored(self) -> GraphStore:
+        """The same graph over tables written to the shared folder: what reads it more than once then reads files."""
+        ws = Workspace(self.nodes.sparkSession, "graph")
+        return _trusted(ws.write(self.nodes)[1], ws.write(self.edges)[1])
+
     # -- pruning and expansion ---------------------------------------------------------
 
     def pruned(self, no_nodes: Collection[str] = (), no_edges: Collection[str] = ()) -> GraphStore:

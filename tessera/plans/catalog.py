@@ -103,7 +103,7 @@ _SEED = "seeds AS (SELECT 'q' AS query_id, 'fogo' AS id)"
 
 @query(f"WITH {_G}, {_SEED}, {_khop('seeds', 2, 'n', 'e')} SELECT query_id, id, hop FROM reach")
 def khop_subgraph(spark, d):
-    return store(spark, d).subgraph(_one(spark, "fogo"), 2).nodes.select("query_id", "id", "hop")
+    return store(spark, d).stored().subgraph(_one(spark, "fogo"), 2).nodes.select("query_id", "id", "hop")
 
 
 @query(f"WITH {_G}, seeds AS (SELECT id AS query_id, id FROM pn WHERE ord % 50 = 0), {_khop('seeds', 1, 'pn', 'pe')} SELECT query_id, id, hop FROM reach")
@@ -137,7 +137,7 @@ def _paths_sql(pairs: str, nodes: str, edges: str, hops: int) -> str:
 @query(f"""WITH {_G}, pairs AS (SELECT id AS query_id, id AS src, 'fogo' AS dst FROM n WHERE ord % 50 = 0), {_paths_sql('pairs', 'n', 'e', PATH_HOPS)}
     SELECT query_id, array_to_string(path, ' > ') AS path FROM paths""")
 def shortest_path(spark, d):
-    g = store(spark, d)
+    g = store(spark, d).stored()
     pairs = g.nodes.where("ord % 50 = 0").select(F.col("id").alias("query_id"), F.col("id").alias("src"), F.lit("fogo").alias("dst"))
     return g.shortest_paths(pairs, PATH_HOPS).select("query_id", F.array_join("path", " > ").alias("path"))
 
@@ -156,7 +156,7 @@ def _pagerank_sql(rounds: int) -> str:
 
 @query(f"WITH {_G}, {_pagerank_sql(PR_ROUNDS)} SELECT id, round(score, 9) AS score, round(score / (SELECT max(score) FROM pr), 6) AS share_of_max FROM pr")
 def pagerank_full(spark, d):
-    pr = store(spark, d).pagerank(PR_ROUNDS, tolerance=None)
+    pr = store(spark, d).stored().pagerank(PR_ROUNDS, tolerance=None)
     best = pr.agg(F.max("score").alias("m")).scalar()
     return pr.select("id", F.round("score", 9).alias("score"), F.round(F.col("score") / best, 6).alias("share_of_max"))
 
@@ -168,7 +168,7 @@ _RELS = """rels AS (SELECT q.query_id, e.src AS id, string_agg(e.type || ' ' ||
 @query(f"WITH {_G}, seeds AS (SELECT 'q' AS query_id, id FROM core_nodes), {_khop('seeds', 1, 'pn', 'pe')}, {_RELS.format(edges='pe')} SELECT id, rels FROM rels")
 def relation_text(spark, d):
     seeds = table(spark, d, "core_nodes").select(F.lit("q").alias("query_id"), "id")
-    return rt.relation_text(store(spark, d).subgraph(seeds, 1, OVERLAY_NODES, OVERLAY_EDGES)).select("id", "rels")
+    return rt.relation_text(store(spark, d).stored().subgraph(seeds, 1, OVERLAY_NODES, OVERLAY_EDGES)).select("id", "rels")
 
 
 # -- vectors -------------------------------------------------------------------------------
@@ -213,7 +213,7 @@ def _retriever(spark: SparkSession, d: str) -> rt.Retriever:
     docs = table(spark, d, "documents").where("text is not null").select(
         F.concat_ws("#", F.coalesce("title", F.lit("untitled")), "doc_id").alias("label"), "text", F.col("doc_id").alias("ord")
     )
-    return rt.Retriever(store(spark, d), docs, hops=1)
+    return rt.Retriever(store(spark, d).stored(), docs, hops=1)
 
 
 _TERMS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
@@ -379,7 +379,7 @@ _COMP = f"""links AS MATERIALIZED (SELECT DISTINCT src AS a, dst AS b FROM e WHE
 
 
 def _named(spark: SparkSession, d: str) -> DataFrame:
-    return co.named(co.components(store(spark, d)))
+    return co.named(co.components(store(spark, d).stored()))
 
 
 @query(f"WITH RECURSIVE {_G}, {_COMP} SELECT community_id, len(members) AS members FROM named")
@@ -394,12 +394,12 @@ def community_contains(spark, d):
 
 @query()
 def community_louvain(spark, d):
-    return co.named(co.louvain(store(spark, d))).select("community_id", F.size("members").alias("members"))
+    return co.named(co.louvain(store(spark, d).stored())).select("community_id", F.size("members").alias("members"))
 
 
 @query()
 def community_modularity(spark, d):
-    g = store(spark, d)
+    g = store(spark, d).stored()
     return co.modularity(co.louvain(g), g).select(F.round("modularity", 3).alias("modularity"))
 
 
@@ -418,7 +418,7 @@ def community_histogram(spark, d):
     {_PACK.format(order='score DESC, source', name='out', budget=BUDGET)} {_SHOW.format('out')}"""
 )
 def community_retrieve(spark, d):
-    g = store(spark, d)
+    g = store(spark, d).stored()
     s = co.extractive_summaries(co.named(co.components(g)), g.nodes.select("id", F.col("label").alias("text")))
     r = rt.Retriever(g)
     return _show(r.community(_asked(spark, d), s.select(F.col("community_id").alias("id"), "title", "summary", F.col("community_id").alias("ord"))))
