@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -257,15 +258,27 @@ _CLOSERS = {v: k for k, v in _PAIRS.items()}
 def open_at_end(s: str) -> list[str]:
     """Stack of what is still open at the end: fences, code, emphasis, brackets, quotations."""
     stack: list[str] = []
+    held: Counter[str] = Counter()  # what the stack holds, so that a test for it takes no search
     i, n = 0, len(s)
+
+    def push(x: str) -> None:
+        stack.append(x)
+        held[x] += 1
+
+    def close(x: str) -> None:
+        while True:
+            top = stack.pop()
+            held[top] -= 1
+            if top == x:
+                return
+
     while i < n:
         if s.startswith(("```", "~~~"), i):
             mark = s[i : i + 3]
-            if mark in stack:
-                while stack.pop() != mark:
-                    pass
+            if held[mark]:
+                close(mark)
             else:
-                stack.append(mark)
+                push(mark)
             i += 3
             continue
         if stack and stack[-1] in ("```", "~~~"):
@@ -279,32 +292,28 @@ def open_at_end(s: str) -> list[str]:
             i += 1
             continue
         if s.startswith("**", i):
-            if "**" in stack:
-                while stack.pop() != "**":
-                    pass
+            if held["**"]:
+                close("**")
             elif i + 2 < n and not s[i + 2].isspace():
-                stack.append("**")
+                push("**")
             i += 2
             continue
         if c in "`\"":
-            inch = c == '"' and i > 0 and s[i - 1].isdigit() and c not in stack
-            if c in stack:
-                while stack.pop() != c:
-                    pass
+            inch = c == '"' and i > 0 and s[i - 1].isdigit() and not held[c]
+            if held[c]:
+                close(c)
             elif not inch:
-                stack.append(c)
+                push(c)
         elif c in _PAIRS:
             if c == "<":
-                if re.match(r"<[a-zA-Z][\w-]*(?:\s[^<>]*)?$", s[i:]):
-                    stack.append(c)
+                if i > n - 200 and re.match(r"<[a-zA-Z][\w-]*(?:\s[^<>]*)?$", s[i:]):
+                    push(c)
             elif c != "‘":
-                stack.append(c)
+                push(c)
         elif c in _CLOSERS and c not in "’>":
             want = _CLOSERS[c]
-            numbered = c == ")" and want not in stack  # the mark of a list: "1)" or "a)"
-            if not numbered and want in stack:
-                while stack.pop() != want:
-                    pass
+            if held[want]:  # else the mark of a list: "1)" or "a)"
+                close(want)
         i += 1
     return stack
 
