@@ -53,11 +53,11 @@ _DONE = T.StructType(
 _COLS = [f.name for f in _STATE]
 
 
-def _start(links: DataFrame, kind: str, parent: str, child: str) -> DataFrame:
+def _start(links: DataFrame, kind: str, parent: str, child: str, paths: bool) -> DataFrame:
     rows = links.select(F.col(kind).alias("t"), F.col(parent).alias("p"), F.col(child).alias("v")).dropna().distinct()
     both = rows.select("t", "v", "p").unionByName(rows.select("t", F.col("p").alias("v"), F.lit(None).cast("string").alias("p")))
     return both.groupBy("t", "v").agg(F.min("p").alias("p"), F.count("p").alias("n_parents")).select(
-        "t", "v", "p", F.lit(1).cast("long").alias("w"), F.array().cast("array<string>").alias("via"), F.lit(1).cast("long").alias("a"),
+        "t", "v", "p", F.lit(1).cast("long").alias("w"), (F.array() if paths else F.lit(None)).cast("array<string>").alias("via"), F.lit(1).cast("long").alias("a"),
         F.lit(0).cast("long").alias("e"), F.lit(None).cast("string").alias("c"), F.lit(0).cast("long").alias("ec"), "n_parents",
     )
 
@@ -131,16 +131,17 @@ def _resolve(events: DataFrame, done: DataFrame, spliced: bool) -> DataFrame:
     )
 
 
-def hierarchy(links: DataFrame, kind: str = "type", parent: str = "src", child: str = "dst") -> DataFrame:
+def hierarchy(links: DataFrame, kind: str = "type", parent: str = "src", child: str = "dst", paths: bool = True) -> DataFrame:
     """Per kind and node: root, depth, path (from the root to the node),
     n_descendants, state (``tree``, ``on_cycle``, ``below_cycle``), n_parents.
 
-    Nodes kept from a root by a cycle have null root, depth and path; nodes on a
+    All paths together grow with the sum of depths; without ``paths`` they are null
+    and everything else is the same.  Nodes kept from a root by a cycle have null root, depth and path; nodes on a
     cycle also a null number of descendants.  An empty input gives no rows.
     """
     spark = links.sparkSession
     ws = Workspace(spark, "hierarchy")
-    path, s = ws.write(_start(links, kind, parent, child))
+    path, s = ws.write(_start(links, kind, parent, child, paths))
     events, n = [], 0
     while s.where(F.col("p").isNotNull() & (F.col("p") != F.col("v"))).limit(1).count():
         n += 1
@@ -156,7 +157,7 @@ def hierarchy(links: DataFrame, kind: str = "type", parent: str = "src", child:
         roots = roots.unionByName(e.where("kind = 'root'").select(*_COLS))
     first = roots.select(
         "t", "v", F.when(F.col("p").isNull(), F.col("v")).alias("root"), F.when(F.col("p").isNull(), F.lit(0).cast("long")).alias("depth"),
-        F.when(F.col("p").isNull(), F.array("v")).alias("path"), F.when(F.col("p").isNull(), F.col("a")).otherwise(none).alias("size"),
+        F.when(F.col("p").isNull() & F.lit(paths), F.array("v")).alias("path"), F.when(F.col("p").isNull(), F.col("a")).otherwise(none).alias("size"),
         F.when(F.col("p").isNull(), "tree").otherwise("on_cycle").alias("state"), "n_parents",
     )
     parts = [ws.write(first)[0]]

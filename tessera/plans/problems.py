@@ -123,12 +123,12 @@ _P3_TRIPLES = f"""
 # -- 5: parent-child links to full hierarchies ---------------------------------------------
 
 
-def _trees(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy(table(spark, d, "edges").where(F.col("type").isin("contains", "defines")))
+def _trees(spark: SparkSession, d: str, paths: bool = True) -> DataFrame:
+    return hierarchy(table(spark, d, "edges").where(F.col("type").isin("contains", "defines")), paths=paths)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return _trees(spark, d).where("state <> 'tree'").select("type", "id", "state")
+    return _trees(spark, d, paths=False).where("state <> 'tree'").select("type", "id", "state")
 
 
 def p5_nodes(spark: SparkSession, d: str) -> DataFrame:

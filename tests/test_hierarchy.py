@@ -26,6 +26,9 @@ def brute(links):
 def check(spark, links):
     got = hierarchy(spark.createDataFrame(links, "type string, src string, dst string"))
     assert rows(got, "type", "id", "root", "depth", "state") == brute(links)
+    bare = hierarchy(spark.createDataFrame(links, "type string, src string, dst string"), paths=False)
+    cols = ("type", "id", "root", "depth", "n_descendants", "state")
+    assert rows(bare, *cols) == rows(got, *cols) and bare.where("path is not null").count() == 0
     below = {}
     for r in got.collect():
         if r.path:
