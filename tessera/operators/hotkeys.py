@@ -125,7 +125,10 @@ def key_totals(df: DataFrame, keys: list[str], value: str, at: str, pieces: int
     return hot_part.unionByName(cold_part)
 
 
-def heavy_share(totals: DataFrame, percent: int) -> DataFrame:
-    """Keys with at least ``percent`` of all rows (integer arithmetic)."""
-    n_all = totals.agg(F.sum("n_rows").alias("n")).scalar()
+def heavy_share(totals: DataFrame, percent: int, rows: DataFrame) -> DataFrame:
+    """Keys of ``totals`` with at least ``percent`` of all ``rows`` (integer arithmetic).
+
+    The rows are counted by themselves, which for files reads no column.
+    """
+    n_all = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
     return totals.where(F.col("n_rows") * 100 >= n_all * percent)

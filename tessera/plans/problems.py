@@ -30,7 +30,7 @@ def _shown(totals: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return heavy_share(_edge_totals(spark, d, ["dst", "type"]), 1).select("dst", "type")
+    return heavy_share(_edge_totals(spark, d, ["dst", "type"]), 1, table(spark, d, "edges")).select("dst", "type")
 
 
 def p1_totals_dst(spark: SparkSession, d: str) -> DataFrame:

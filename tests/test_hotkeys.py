@@ -60,6 +60,7 @@ def test_hot_keys_are_bounded(spark):
 
 def test_share(spark):
     data = [("a", "t", "s", None, 0, "")] * 99 + [("b", "t", "s", None, 0, "")]
-    t = key_totals(spark.createDataFrame(data, SCHEMA), ["dst"], "src", "ingested_at")
-    assert rows(heavy_share(t, 1), "dst") == [("a",), ("b",)]
-    assert rows(heavy_share(t, 2), "dst") == [("a",)]
+    df = spark.createDataFrame(data, SCHEMA)
+    t = key_totals(df, ["dst"], "src", "ingested_at")
+    assert rows(heavy_share(t, 1, df), "dst") == [("a",), ("b",)]
+    assert rows(heavy_share(t, 2, df), "dst") == [("a",)]
