@@ -117,7 +117,7 @@ class Retriever:
     def multi_anchor(self, queries: DataFrame, cost: Cost = token_estimate) -> DataFrame:
         return self._expanded(queries, self.entity_seeds(queries), "graph", False, None, 0.0, cost)
 
-    def path(self, queries: DataFrame, max_hops: int = 8, cost: Cost = token_estimate) -> DataFrame:
+    def path(self, queries: DataFrame, max_hops: int | None = None, cost: Cost = token_estimate) -> DataFrame:
         """The directed shortest path between the two best nodes; without one, both nodes."""
         two = top(self._ranked_nodes(queries, overlay=False), 2, "ord")
         pairs = two.groupBy("query_id").agg(F.min_by("id", "rank").alias("src"), F.max_by("id", "rank").alias("dst"))

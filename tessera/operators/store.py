@@ -88,37 +88,29 @@ class GraphStore:
         seeds = self.nodes.sparkSession.createDataFrame([("q", node)], "query_id string, id string")
         return self.subgraph(seeds, hops, no_nodes, no_edges)
 
-    def shortest_paths(self, pairs: DataFrame, max_hops: int = 8, no_nodes: Collection[str] = (), no_edges: Collection[str] = ()) -> DataFrame:
+    def shortest_paths(self, pairs: DataFrame, max_hops: int | None = None, no_nodes: Collection[str] = (), no_edges: Collection[str] = ()) -> DataFrame:
         """(query_id, path) of the shortest directed path for pairs (query_id, src, dst).
 
         Of equally short paths the smallest by its ids in order; pairs without a path
-        of at most ``max_hops`` edges are missing; equal ends give a path of one.
+        (of at most ``max_hops`` edges, if given) are missing; equal ends give a path of one.
+        The search goes backwards from each distinct ``dst`` until all its pairs are
+        found or nothing new is met, so pairs of one goal share it.
         """
         g = self.pruned(no_nodes, no_edges)
         ws = Workspace(self.nodes.sparkSession, "paths")
         pairs = pairs.select("query_id", "src", "dst").join(g.nodes.select(F.col("id").alias("src")), "src", "left_semi").join(g.nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
-        pairs = ws.write(pairs)[1]
-        arcs = ws.write(g.edges.select("src", "dst").distinct())[1]
-        seen = pairs.select("query_id", F.col("src").alias("id"), F.col("dst").alias("goal"), F.array("src").alias("path"))
-        front, found = seen, [seen.where("id = goal")]
-        known = seen.select("query_id", "id")
-        front = front.where("id <> goal")
-        for h in range(max_hops):
-            step = front.join(arcs.withColumnRenamed("src", "id"), "id").select("query_id", "goal", F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
-            step = step.groupBy("query_id", "goal", "id").agg(F.min("path").alias("path")).join(known, ["query_id", "id"], "left_anti")
-            step = ws.write(step)[1]
-            here = step.where("id = goal")
-            found.append(here)
-            done = here.select("query_id")
-            known = known.unionByName(step.select("query_id", "id")).join(done, "query_id", "left_anti")
-            known = ws.write(known)[1]
-            front = step.join(done, "query_id", "left_anti")
-            if h + 1 < max_hops and not front.limit(1).count():
-                break
-        out = found[0].select("query_id", "path")
-        for f in found[1:]:
-            out = out.unionByName(f.select("query_id", "path"))
-        return out
+        pairs = ws.write(pairs.select("query_id", F.col("src").alias("id"), F.col("dst").alias("goal")))[1]
+        arcs = ws.write(g.edges.select(F.col("src").alias("to"), F.col("dst").alias("id")).distinct())[1]
+        at, step = ws.write(pairs.select("goal", F.col("goal").alias("id"), F.array("goal").alias("path")).distinct())
+        seen, known = [at], step
+        while (max_hops is None or len(seen) <= max_hops) and not step.isEmpty():
+            left = pairs.join(known.select("goal", "id"), ["goal", "id"], "left_anti").select("goal").distinct()
+            front = step.join(left, "goal", "left_semi").join(arcs, "id").groupBy("goal", F.col("to").alias("id")).agg(F.min("path").alias("path"))
+            front = front.join(known.select("goal", "id"), ["goal", "id"], "left_anti")
+            at, step = ws.write(front.select("goal", "id", F.concat(F.array("id"), "path").alias("path")))
+            seen.append(at)
+            known = ws.read(seen, step.schema)
+        return pairs.join(known, ["goal", "id"]).select("query_id", "path")
 
     # -- PageRank ----------------------------------------------------------------------
 

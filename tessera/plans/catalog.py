@@ -139,7 +139,7 @@ def _paths_sql(pairs: str, nodes: str, edges: str, hops: int) -> str:
 def shortest_path(spark, d):
     g = store(spark, d).stored()
     pairs = g.nodes.where("ord % 50 = 0").select(F.col("id").alias("query_id"), F.col("id").alias("src"), F.lit("fogo").alias("dst"))
-    return g.shortest_paths(pairs, PATH_HOPS).select("query_id", F.array_join("path", " > ").alias("path"))
+    return g.shortest_paths(pairs).select("query_id", F.array_join("path", " > ").alias("path"))
 
 
 def _pagerank_sql(rounds: int) -> str:
@@ -338,7 +338,7 @@ def multi_anchor_retrieve(spark, d):
     {_PACK.format(order='i', name='out', budget=BUDGET)} {_SHOW.format('out')}"""
 )
 def path_retrieve(spark, d):
-    return _show(_retriever(spark, d).path(_asked(spark, d), PATH_HOPS))
+    return _show(_retriever(spark, d).path(_asked(spark, d)))
 
 
 @query(
