@@ -22,11 +22,12 @@ def _moves(ws: Workspace, arcs: DataFrame, nodes: DataFrame, total: float, round
 
     All nodes of one colour move together; the colour is a hash that changes
     with the round, so no two neighbours swap for ever.  Ties go to the
-    smallest community, so the result is the same on every run.
+    smallest community, so the result is the same on every run.  It ends when no
+    node of any colour would gain by a move; ``rounds`` without that is an error.
     """
     degree = ws.write(nodes.join(arcs.groupBy(F.col("u").alias("v")).agg(F.sum("w").alias("k")), "v", "left").fillna(0.0, ["k"]))[1]
     label = degree.select("v", "k", F.col("v").alias("c"))
-    quiet = 0
+    before = None
     for r in range(rounds):
         size = label.groupBy("c").agg(F.sum("k").alias("sum_c"))
         near = arcs.where("u <> v").join(label.select(F.col("v"), F.col("c").alias("to")), "v").groupBy("u", "to").agg(F.sum("w").alias("w"))
@@ -39,17 +40,18 @@ def _moves(ws: Workspace, arcs: DataFrame, nodes: DataFrame, total: float, round
         best = options.groupBy("u", "k", "c").agg(F.max(F.struct(gain.alias("g"), (F.col("to") == F.col("c")).alias("stay"))).alias("top"), F.collect_set(F.struct(gain.alias("g"), "to")).alias("all"))
         choice = F.array_min(F.transform(F.filter("all", lambda x: x["g"] == F.col("top.g")), lambda x: x["to"]))
         colour = F.pmod(F.xxhash64("u", F.lit(r)), F.lit(2)) == 0
-        moved = best.select(F.col("u").alias("v"), "k", F.col("c").alias("old"), F.when(colour & ~F.col("top.stay"), choice).otherwise(F.col("c")).alias("c"))
-        new = ws.write(moved)[1]
-        label = new.select("v", "k", "c")
-        quiet = 0 if new.where("old <> c").limit(1).count() else quiet + 1
-        if quiet >= 3:
-            break
-    return label.select("v", "c")
+        moved = best.select(F.col("u").alias("v"), "k", (~F.col("top.stay")).alias("gains"), F.when(colour & ~F.col("top.stay"), choice).otherwise(F.col("c")).alias("c"))
+        path, new = ws.write(moved)
+        if before:
+            ws.drop(before)
+        before, label = path, new.select("v", "k", "c")
+        if new.where("gains").isEmpty():
+            return label.select("v", "c")
+    raise RuntimeError(f"nodes still gain by moves after {rounds} rounds")
 
 
-def louvain(store: GraphStore, edge_types: Collection[str] = STRUCTURAL_EDGES, levels: int = 4, rounds: int = 12) -> DataFrame:
-    """(id, community): levels of local moves and contraction over the structural edges.
+def louvain(store: GraphStore, edge_types: Collection[str] = STRUCTURAL_EDGES, rounds: int = 10_000) -> DataFrame:
+    """(id, community): levels of local moves and contraction over the structural edges, until contraction changes nothing.
 
     Self-loops are dropped, parallel edges count once, community nodes are left
     out; a node without structural edges is a community of its own.
@@ -67,15 +69,18 @@ def louvain(store: GraphStore, edge_types: Collection[str] = STRUCTURAL_EDGES, l
     if not total:
         return member.withColumnRenamed("c", "community")
     level = nodes
-    for _ in range(levels):
+    before = level.count()
+    while True:
         label = _moves(ws, arcs, level, total / 2, rounds)
         label = ws.write(label)[1]
         member = ws.write(member.join(label.select(F.col("v").alias("c"), F.col("c").alias("to")), "c").select("id", F.col("to").alias("c")))[1]
-        if not label.where("v <> c").limit(1).count():
+        level = ws.write(label.select(F.col("c").alias("v")).distinct())[1]
+        after = level.count()
+        if after == before:
             break
+        before = after
         a = arcs.join(label.select(F.col("v").alias("u"), F.col("c").alias("cu")), "u").join(label.select("v", F.col("c").alias("cv")), "v")
         arcs = ws.write(a.groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")))[1]
-        level = ws.write(label.select(F.col("c").alias("v")).distinct())[1]
     return member.withColumnRenamed("c", "community")
 
 

@@ -1,12 +1,13 @@
-"""Jobs done whole: no bound on hops."""
+"""Jobs done whole: no bound on hops, Louvain until nothing moves."""
 
 import os
 
 import pytest
 
 import __spark_entry__ as entry
-from tessera.plans import catalog
+from tessera.operators import community as co
 from tessera.operators.store import GraphStore
+from tessera.plans import catalog
 from test_store import edges, nodes, path
 
 FOLDER = "/root/testdata/sf0.001"
@@ -44,3 +45,10 @@ def test_shortest_path_beside_plain_search(spark):
             want.add((start, " > ".join(front["fogo"])))
     got = {(r.query_id, r.path) for r in entry.queries()["shortest_path"](spark, FOLDER).collect()}
     assert got == want and max(p.count(" > ") for _, p in got) > 8
+
+
+def test_louvain_that_is_not_done_is_an_error(spark):
+    ring = [f"r{i:02d}" for i in range(24)]
+    g = GraphStore(nodes(spark, *ring), edges(spark, *[(a, b, "calls") for a, b in zip(ring, ring[1:] + ring[:1])]))
+    with pytest.raises(RuntimeError, match="still gain"):
+        co.louvain(g, rounds=2)
