@@ -672,7 +672,7 @@ _BOOT = """w AS (SELECT arm AS g, latency_ms AS x, row_number() OVER (PARTITION
 
 
 def _boot(spark: SparkSession, d: str) -> DataFrame:
-    return ev.bootstrap(table(spark, d, "responses"), "arm", "latency_ms", resamples=100, order="response_id")
+    return ev.bootstrap(table(spark, d, "responses"), "arm", "latency_ms", order="response_id")
 
 
 @query(f"WITH {_BOOT} SELECT arm, mean, ci_low, ci_high, n FROM boot")

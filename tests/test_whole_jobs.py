@@ -1,4 +1,4 @@
-"""Jobs done whole: no bound on hops, Louvain until nothing moves."""
+"""Jobs done whole: no bound on hops, Louvain until nothing moves, all 2000 resamples."""
 
 import os
 
@@ -52,3 +52,17 @@ def test_louvain_that_is_not_done_is_an_error(spark):
     g = GraphStore(nodes(spark, *ring), edges(spark, *[(a, b, "calls") for a, b in zip(ring, ring[1:] + ring[:1])]))
     with pytest.raises(RuntimeError, match="still gain"):
         co.louvain(g, rounds=2)
+
+
+@tables
+def test_bootstrap_draws_all_resamples(spark):
+    """Beside the SQL over 2000 draws; the registered SQL has 100."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW responses AS SELECT * FROM '{FOLDER}/responses.parquet'")
+    sql = entry.oracle_sql()["bootstrap_ci"]
+    assert "range(100)" in sql
+    cols = ["arm", "mean", "ci_low", "ci_high", "n"]
+    got = sorted(tuple(r) for r in entry.queries()["bootstrap_ci"](spark, FOLDER).select(*cols).collect())
+    assert got and got == sorted(con.execute(f"SELECT {', '.join(cols)} FROM ({sql.replace('range(100)', 'range(2000)')})").fetchall())
