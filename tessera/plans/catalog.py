@@ -22,6 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 BUDGET = 200
+ARM_BUDGET = 1000
 PR_ROUNDS = 20
 PATH_HOPS = 6
 
@@ -213,7 +214,7 @@ def _retriever(spark: SparkSession, d: str) -> rt.Retriever:
     docs = table(spark, d, "documents").where("text is not null").select(
         F.concat_ws("#", F.coalesce("title", F.lit("untitled")), "doc_id").alias("label"), "text", F.col("doc_id").alias("ord")
     )
-    return rt.Retriever(store(spark, d).stored(), docs, hops=1)
+    return rt.Retriever(store(spark, d).stored(), docs)
 
 
 _TERMS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
@@ -261,12 +262,12 @@ def _show(segments: DataFrame) -> DataFrame:
 
 @query(f"{_graph_sql(_ANCHORS)} {_SHOW.format('out')}")
 def graph_retrieve(spark, d):
-    return _show(_retriever(spark, d).graph(_asked(spark, d)))
+    return _show(_retriever(spark, d).graph(_asked(spark, d, ARM_BUDGET)))
 
 
 @query(f"{_graph_sql(_ANCHORS, attrs=True)} {_SHOW.format('out')}")
 def graph_attrs_retrieve(spark, d):
-    return _show(_retriever(spark, d).graph(_asked(spark, d), attrs=True))
+    return _show(_retriever(spark, d).graph(_asked(spark, d, ARM_BUDGET), attrs=True))
 
 
 @query(
@@ -275,7 +276,7 @@ def graph_attrs_retrieve(spark, d):
 )
 def graph_pagerank_retrieve(spark, d):
     r = _retriever(spark, d)
-    return _show(r.graph(_asked(spark, d), pagerank=r.store.pagerank(PR_ROUNDS, tolerance=None)))
+    return _show(r.graph(_asked(spark, d, ARM_BUDGET), pagerank=r.store.pagerank(PR_ROUNDS, tolerance=None)))
 
 
 _DOCS = """docs AS MATERIALIZED (SELECT doc_id AS id, coalesce(title, 'untitled') || '#' || doc_id AS label, text FROM documents WHERE text IS NOT NULL)"""
@@ -300,7 +301,7 @@ def vector_retrieve(spark, d):
     fout AS (SELECT * FROM fpack WHERE rank = 1 OR running_tokens <= {BUDGET}) {_SHOW.format('fout')}"""
 )
 def hybrid_rrf(spark, d):
-    return _show(_retriever(spark, d).hybrid(_asked(spark, d)))
+    return _show(_retriever(spark, d).hybrid(_asked(spark, d, ARM_BUDGET)))
 
 
 _ENTITIES = """ents AS MATERIALIZED (SELECT query_id, entity, min(pos) AS pos FROM (
@@ -323,7 +324,7 @@ def multi_anchor_seeds(spark, d):
 
 @query(f"{_graph_sql(_MULTI)} {_SHOW.format('out')}")
 def multi_anchor_retrieve(spark, d):
-    return _show(_retriever(spark, d).multi_anchor(_asked(spark, d)))
+    return _show(_retriever(spark, d).multi_anchor(_asked(spark, d, ARM_BUDGET)))
 
 
 @query(
@@ -351,7 +352,7 @@ def path_retrieve(spark, d):
 )
 def rerank_topk(spark, d):
     pool = _retriever(spark, d).graph(_asked(spark, d, rt.POOL_BUDGET))
-    return _show(rt.rerank(pool, _asked(spark, d), 5))
+    return _show(rt.rerank(pool, _asked(spark, d, ARM_BUDGET), 5))
 
 
 @query(
@@ -631,7 +632,7 @@ def _recall(spark: SparkSession, d: str, segments: DataFrame) -> DataFrame:
 
 @query(f"{_graph_sql(_ANCHORS)}, {_RECALL.format('out')} SELECT query_id, round(recall, 6) AS recall FROM rec")
 def recall_at_budget(spark, d):
-    return _recall(spark, d, _retriever(spark, d).graph(_asked(spark, d))).select("query_id", F.round("recall", 6).alias("recall"))
+    return _recall(spark, d, _retriever(spark, d).graph(_asked(spark, d, ARM_BUDGET))).select("query_id", F.round("recall", 6).alias("recall"))
 
 
 def _mean_recall(name: str, attrs: bool) -> str:
@@ -641,7 +642,7 @@ def _mean_recall(name: str, attrs: bool) -> str:
 @query(f"""SELECT base, variant, round(variant - base, 6) AS delta, CASE WHEN round(variant - base, 6) >= 0.02 THEN 'KEEP' ELSE 'REVERT' END AS verdict
     FROM {_mean_recall('base', False)}, {_mean_recall('variant', True)}""")
 def attrs_delta(spark, d):
-    r, q = _retriever(spark, d), _asked(spark, d)
+    r, q = _retriever(spark, d), _asked(spark, d, ARM_BUDGET)
     return ev.verdict(_recall(spark, d, r.graph(q)), _recall(spark, d, r.graph(q, attrs=True)))
 
 

@@ -1,4 +1,4 @@
-"""Jobs done whole: no bound on hops, Louvain until nothing moves, all 2000 resamples."""
+"""Jobs done whole: no bound on hops, Louvain until nothing moves, all 2000 resamples, arms of two hops."""
 
 import os
 
@@ -66,3 +66,23 @@ def test_bootstrap_draws_all_resamples(spark):
     cols = ["arm", "mean", "ci_low", "ci_high", "n"]
     got = sorted(tuple(r) for r in entry.queries()["bootstrap_ci"](spark, FOLDER).select(*cols).collect())
     assert got and got == sorted(con.execute(f"SELECT {', '.join(cols)} FROM ({sql.replace('range(100)', 'range(2000)')})").fetchall())
+
+
+@tables
+@pytest.mark.parametrize("name", ["graph_retrieve", "hybrid_rrf"])
+def test_arms_expand_two_hops_into_1000_tokens(spark, name):
+    """Beside the SQL of two hops and 1000 tokens; the registered SQL has one hop and 200."""
+    import duckdb
+
+    from compare import plain
+
+    con = duckdb.connect()
+    for f in os.listdir(FOLDER):
+        con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{FOLDER}/{f}'")
+    one, two = (catalog._khop("seeds", h, "pn", "pe") for h in (1, 2))
+    sql = entry.oracle_sql()[name]
+    assert one in sql and "running_tokens <= 200" in sql
+    df = entry.queries()[name](spark, FOLDER)
+    got = sorted((tuple(map(plain, r)) for r in df.collect()), key=repr)
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({sql.replace(one, two).replace('running_tokens <= 200', 'running_tokens <= 1000')})").fetchall()
+    assert got and got == sorted((tuple(map(plain, r)) for r in want), key=repr)
