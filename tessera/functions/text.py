@@ -12,6 +12,22 @@ from pyspark.sql import functions as F
 _SPACE = r"[\s\p{Z}\x1c-\x1f\x85]+"
 
 
+#: Line ends as a text file may have them.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
+def stripped(text: Column | str) -> Column:
+    """Without white space of any kind around it."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.regexp_replace(text, f"^{_SPACE}|{_SPACE}$", "")
+
+
+def text_lines(text: Column | str) -> Column:
+    """Lines of a text, whatever ends them; no empty line behind a final line end."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.split(F.regexp_replace(text, f"(?:{LINE_END})\\z", ""), LINE_END)
+
+
 def node_id(name: Column | str) -> Column:
     """Identifier of a name as written: white space collapsed and trimmed, lower case."""
     name = F.col(name) if isinstance(name, str) else name
@@ -43,10 +59,10 @@ def title_case(text: Column | str) -> Column:
 
 
 def named_entities(text: Column | str) -> Column:
-    """Decision ids first, then capitalised words of four letters or more; first occurrence kept."""
+    """Decision ids first, then words of four letters or more that begin with a plain capital; first occurrence kept."""
     text = F.col(text) if isinstance(text, str) else text
     ids = F.regexp_extract_all(text, F.lit(r"(?i)(?:dec|adr)-[\p{L}\p{N}_-]+"), F.lit(0))
-    caps = F.regexp_extract_all(text, F.lit(r"(?:^|[^\p{L}\p{N}_])(\p{Lu}[\p{L}\p{N}_]{3,})"), F.lit(1))
+    caps = F.regexp_extract_all(text, F.lit(r"(?:^|[^\p{L}\p{N}_])([A-Z][\p{L}\p{N}_]{3,})"), F.lit(1))
     return F.array_distinct(F.concat(ids, caps))
 
 
@@ -67,7 +83,9 @@ def terms(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-_FRONT = r"\A---\n([\s\S]*?)\n---(?:\n|\z)"
+_FRONT = r"\A---\n([\s\S]*?)\n---\n?"
+#: The header of a page to be chunked: blanks around its marks are allowed, and a line must follow.
+_LENIENT = r"\A\s*---\s*\n[\s\S]*?\n---[^\S\n]*\n"
 
 
 def frontmatter(text: Column | str) -> Column:
@@ -80,10 +98,15 @@ def without_frontmatter(text: Column | str) -> Column:
     return F.regexp_replace(text, _FRONT, "")
 
 
+def without_page_header(text: Column | str) -> Column:
+    text = F.col(text) if isinstance(text, str) else text
+    return F.regexp_replace(text, _LENIENT, "")
+
+
 def link_stems(text: Column | str) -> Column:
-    """File stems of local Markdown links, first occurrence kept."""
+    """File stems of local Markdown links, blanks and titles in them included; first occurrence kept."""
     text = F.col(text) if isinstance(text, str) else text
-    hrefs = F.regexp_extract_all(text, F.lit(r"\[[^\]]*\]\(([^)\s]+)\)"), F.lit(1))
+    hrefs = F.regexp_extract_all(text, F.lit(r"\[[^\]]*\]\(([^)]+)\)"), F.lit(1))
     local = F.filter(hrefs, lambda h: ~h.rlike(r"^(?:https?://|#|mailto:)"))
     names = F.transform(local, lambda h: F.regexp_extract(F.regexp_extract(h, r"^([^#?]*)", 1), r"([^/]*)/*$", 1))
     stems = F.transform(names, lambda n: F.when(n.rlike(r"^.+\.[^.]+$"), F.regexp_replace(n, r"\.[^.]*$", "")).otherwise(n))

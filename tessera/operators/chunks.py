@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import title_case
+from tessera.functions.text import stripped, text_lines, title_case, without_page_header
 
 HEADING_RATIO = 1.3
 #: The six ability lines of a stat block.
@@ -49,9 +49,9 @@ def _assembled(x: DataFrame) -> DataFrame:
 def by_caps(lines: DataFrame) -> DataFrame:
     """A chunk starts at the first heading of a run of headings; the run's others are dropped.
 
-    A heading is a caps line at least ``HEADING_RATIO`` times the body size.  A
-    chunk needs a line besides its heading; lines before the first heading are
-    a chunk called after their page.
+    A heading is a caps line at least ``HEADING_RATIO`` times the body size.  Only
+    a book's last chunk can consist of its heading alone; lines before the first
+    heading are a chunk called after their page.
     """
     w = Window.partitionBy("book").orderBy("page", "line_no")
     x = lines.join(body_size(lines), "book", "left")
@@ -60,8 +60,7 @@ def by_caps(lines: DataFrame) -> DataFrame:
     x = x.where(~(F.col("is_head") & F.col("was_head")))
     x = x.withColumn("chunk_no", F.sum(F.col("is_head").cast("int")).over(w))
     x = x.withColumn("head", F.when(F.col("is_head"), title_case(F.trim("line"))).otherwise(F.concat(F.lit("p."), F.col("page").cast("string"))))
-    full = x.groupBy("book", "chunk_no").agg(F.max((~F.col("is_head")).cast("int")).alias("full")).where("full = 1")
-    return _assembled(x.join(full, ["book", "chunk_no"], "left_semi"))
+    return _assembled(x)
 
 
 def by_heading(lines: DataFrame) -> DataFrame:
@@ -74,15 +73,16 @@ def by_heading(lines: DataFrame) -> DataFrame:
 
 
 def markdown_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A Markdown text as one page: heading levels 1–6 become sizes 6–1, other lines 0; frontmatter and trailing blanks go."""
-    from tessera.functions.text import without_frontmatter
-
-    body = F.regexp_replace(without_frontmatter(F.col(text)), r"\s+\z", "")
-    x = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("string").alias("book"), F.posexplode(F.split(body, "\n")).alias("i", "line"))
+    """A Markdown text as one page: heading levels 1–6 become sizes 6–1, other lines 0; the header and trailing blank lines go."""
+    lines = text_lines(without_page_header(F.col(text)))
+    filled = F.array_max(F.transform("lines", lambda x, i: F.when(stripped(x) != "", i + 1).otherwise(0)))
+    x = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("string").alias("book"), lines.alias("lines"))
+    x = x.select("book", F.posexplode(F.slice("lines", F.lit(1), filled)).alias("i", "line"))
     level = F.length(F.regexp_extract("line", r"^(#{1,6})\s", 1))
     return x.select("book", F.lit(1).alias("page"), (F.col("i") + 1).alias("line_no"), "line", F.when(level > 0, 7.0 - level).otherwise(0.0).alias("size"))
 
 
 def has_stat_block(text: Column, least: int = 4) -> Column:
-    own = F.transform(F.split(text, "\n"), lambda l: F.regexp_extract(F.trim(l), r"^(\p{Lu}{3})(?:\s+\d+)?$", 1))
+    """At least so many of the six ability lines, each standing alone on its line."""
+    own = F.transform(text_lines(text), lambda l: stripped(l))
     return F.size(F.array_intersect(own, F.array(*[F.lit(a) for a in ABILITIES]))) >= least

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import stripped, text_lines
+
 # Dollars per million tokens.
 PRICE_IN, PRICE_OUT = 1.0, 5.0
 TOLERANCE = 0.05
@@ -29,15 +31,17 @@ def arm_totals(responses: DataFrame) -> DataFrame:
     )
 
 
-def recall(retrieved: DataFrame, relevant: DataFrame) -> DataFrame:
-    """(query_id, recall): share of distinct relevant sources among the retrieved, without case.
+def recall(retrieved: DataFrame, queries: DataFrame, relevant: str = "relevant_sources") -> DataFrame:
+    """(query_id, recall): share of distinct relevant sources among the retrieved, compared exactly.
 
-    ``retrieved`` (query_id, source), ``relevant`` (query_id, source); a query
-    without relevant sources has no recall and is left out.
+    ``retrieved`` (query_id, source), ``queries`` (query_id, array of relevant sources);
+    reading a query without relevant sources fails, since it has no recall.
     """
-    want = relevant.select("query_id", F.lower("source").alias("s")).where("s is not null").distinct()
-    got = retrieved.select("query_id", F.lower("source").alias("s"), F.lit(1).alias("hit")).distinct()
-    return want.join(got, ["query_id", "s"], "left").groupBy("query_id").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
+    none = F.raise_error(F.concat(F.lit("no relevant sources: "), F.col("query_id").cast("string"))).cast("array<string>")
+    own = F.array_distinct(F.array_compact(F.col(relevant)))
+    want = queries.select("query_id", F.explode(F.when(F.size(own) > 0, own).otherwise(none)).alias("source"))
+    got = retrieved.select("query_id", "source", F.lit(1).alias("hit")).distinct()
+    return want.join(got, ["query_id", "source"], "left").groupBy("query_id").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
 
 
 def verdict(base: DataFrame, variant: DataFrame, least: float = 0.02) -> DataFrame:
@@ -96,8 +100,8 @@ def report(stats: DataFrame, arms: list[str]) -> DataFrame:
 
 
 def markdown_table(table: DataFrame) -> str:
-    """A small report as Markdown; metrics and arms are few, so it is formatted on the driver."""
-    rows = [table.columns, ["---"] * len(table.columns), *[list(map(str, r)) for r in table.orderBy(table.columns[0]).limit(1000).collect()]]
+    """A small report as Markdown; all of its rows are formatted on the driver, which reads them one partition at a time."""
+    rows = [table.columns, ["---"] * len(table.columns), *[list(map(str, r)) for r in table.orderBy(table.columns[0]).toLocalIterator()]]
     return "\n".join("| " + " | ".join(r) + " |" for r in rows)
 
 
@@ -132,9 +136,10 @@ def targets_of(edges: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
     return x.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "label"))), lambda r: r["label"]).alias("labels"))
 
 
-def call_targets(edges: DataFrame, low: int = 5, high: int = 25, k: int = 6) -> DataFrame:
-    """The functions with most callers within bounds; ties by id."""
-    n = edges.where("type = 'calls'").groupBy("dst").agg(F.count_distinct("src").alias("callers")).where(F.col("callers").between(low, high))
+def call_targets(edges: DataFrame, nodes: DataFrame, low: int = 5, high: int = 25, k: int = 6) -> DataFrame:
+    """The functions with most calling edges within bounds; ties by id."""
+    n = edges.where("type = 'calls'").groupBy("dst").agg(F.count(F.lit(1)).alias("callers")).where(F.col("callers").between(low, high))
+    n = n.join(nodes.where("type = 'function'").select(F.col("id").alias("dst")), "dst", "left_semi")
     return n.orderBy(F.col("callers").desc(), "dst").limit(k)
 
 
@@ -147,9 +152,14 @@ STORY_WORDS = r"(?i)\b(must|should|shall|when|given)\b"
 
 
 def stories(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, id, requirement): second- and third-level headings and bullets that state a requirement, numbered in order."""
-    x = docs.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, "\r?\n")).alias("n", "line"))
-    body = F.trim(F.regexp_extract("line", r"^(?:#{2,3}|\s*[-*])\s+(.+)$", 1))
+    """(key, id, requirement): second- and third-level headings and bullets (-, *, +) that state a requirement, numbered in order."""
+    x = docs.where(F.col(text).isNotNull()).select(key, F.posexplode(text_lines(text)).alias("n", "line"))
+    body = stripped(F.regexp_extract("line", r"^(?:#{2,3}|\s*[-*+])\s+(.+)$", 1))
     x = x.withColumn("requirement", body).where(F.col("requirement").rlike(STORY_WORDS))
     no = F.row_number().over(Window.partitionBy(key).orderBy("n"))
     return x.select(key, F.format_string("S-%02d", no).alias("id"), "requirement")
+
+
+def story_table(found: DataFrame) -> DataFrame:
+    """Stories as a table of four columns to be filled in: nothing is tested yet."""
+    return found.select(F.col("id").alias("Story ID"), F.col("requirement").alias("Requirement"), F.lit("").alias("Test IDs"), F.lit("✗ unmet").alias("Status"))

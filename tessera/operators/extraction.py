@@ -1,26 +1,21 @@
-"""Extraction: merged mentions, Markdown relations, code facts and their resolution."""
+"""Extraction: merged mentions and Markdown relations."""
 
 from __future__ import annotations
 
-import ast
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import frontmatter, link_stems, node_id, without_frontmatter
+from tessera.functions.text import frontmatter, link_stems, node_id, stripped, text_lines, without_frontmatter
 from tessera.operators.store import first_seen
 
 # Fields of note headers that state a relation, with the edge type and, where the field says more, the verb.
 RELATION_FIELDS = {
     "relates_to": ("relates_to", None),
+    "requires": ("requires", None),
     "supersedes": ("relates_to", "supersedes"),
+    "implements": ("requires", None),
+    "extends": ("relates_to", None),
     "replaces": ("relates_to", "replaces"),
-    "requires": ("requires", None),
-    "depends_on": ("requires", None),
-    "mentions": ("mentions", None),
 }
 # What extracted predicates become.
 PREDICATES = {
@@ -64,24 +59,24 @@ def header_relations(docs: DataFrame, key: str, text: str = "text") -> DataFrame
     """(key, ord, field, target) of the relation fields in note headers.
 
     Inline lists, block lists and single values; quotes go; a block item belongs
-    to the last field that opened a block.
+    to the field that opened the block, and any line that is no item, a blank one
+    too, closes it.
     """
-    lines = docs.select(key, F.posexplode(F.split(frontmatter(F.col(text)), "\n")).alias("n", "line")).where("line <> ''")
-    item = F.trim("line").startswith("- ")
-    field = F.lower(F.trim(F.regexp_extract("line", r"^([^:]*):", 1)))
-    value = F.trim(F.regexp_extract("line", r"^[^:]*:(.*)$", 1))
-    from pyspark.sql import Window
-
+    lines = docs.select(key, frontmatter(F.col(text)).alias("front")).where("front <> ''").select(key, F.posexplode(text_lines("front")).alias("n", "line"))
+    bare = stripped("line")
+    item = bare.startswith("- ")
+    field = F.lower(stripped(F.regexp_extract("line", r"^([^:]*):", 1)))
+    value = stripped(F.regexp_extract("line", r"^[^:]*:(.*)$", 1))
     w = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     opens = F.when(~item, F.when(F.col("line").contains(":") & (value == "") & field.isin(*RELATION_FIELDS), field).otherwise(F.lit("")))
     x = lines.withColumn("block", F.last(opens, ignorenulls=True).over(w))
-    strip = lambda c: F.regexp_replace(F.trim(c), r"^['\"]+|['\"]+$", "")
-    parts = F.when(item & (F.col("block") != ""), F.array(F.substring(F.trim("line"), 3, 1_000_000))).when(
+    strip = lambda c: F.regexp_replace(stripped(c), r"^['\"]+|['\"]+$", "")
+    parts = F.when(item & (F.col("block") != ""), F.array(F.substring(bare, 3, 2_000_000_000))).when(
         ~item & field.isin(*RELATION_FIELDS) & (value != ""), F.split(F.regexp_replace(value, r"^[\[\]]+|[\[\]]+$", ""), ",")
     )
     owner = F.when(item, F.col("block")).otherwise(field)
     y = x.select(key, "n", owner.alias("field"), F.posexplode(parts).alias("i", "raw")).withColumn("target", strip(F.col("raw"))).where("target <> ''")
-    return y.select(key, (F.col("n") * 1000 + F.col("i")).cast("bigint").alias("ord"), "field", "target")
+    return y.select(key, (F.col("n").cast("bigint") * 1_000_000 + F.col("i")).alias("ord"), "field", "target")
 
 
 def note_graph(docs: DataFrame, key: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -90,127 +85,9 @@ def note_graph(docs: DataFrame, key: str, text: str = "text") -> tuple[DataFrame
     verbs = F.when(F.col("field").isin(*[k for k, (_, v) in RELATION_FIELDS.items() if v]), F.col("field"))
     rel = header_relations(docs, key, text).select(F.col(key).alias("src"), F.col("target").alias("dst"), kinds[F.col("field")].alias("type"), verbs.alias("verb"), "ord")
     refs = docs.select(F.col(key).alias("src"), F.posexplode(link_stems(without_frontmatter(F.col(text)))).alias("i", "dst"))
-    refs = refs.select("src", "dst", F.lit("references").alias("type"), F.lit(None).cast("string").alias("verb"), (F.col("i") + 10**9).cast("bigint").alias("ord"))
+    refs = refs.select("src", "dst", F.lit("references").alias("type"), F.lit(None).cast("string").alias("verb"), (F.col("i") + F.lit(10**15)).cast("bigint").alias("ord"))
     edges = rel.unionByName(refs).where("src <> dst")
     attrs = F.when(F.col("verb").isNotNull(), F.create_map(F.lit("verb"), F.col("verb"))).otherwise(F.create_map().cast("map<string,string>"))
     ids = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
     nodes = ids.select("id", F.lit("entity").alias("type"), F.col("id").alias("label"), F.create_map().cast("map<string,string>").alias("attrs"), F.lit(0).cast("bigint").alias("ord"))
     return nodes, edges.select("src", "dst", "type", attrs.alias("attrs"), "ord")
-
-
-# -- source code ---------------------------------------------------------------------------
-
-FACTS = "path string, ord bigint, kind string, src string, dst string, name string"
-
-
-def python_facts(path: str, text: str) -> list[tuple[str, str, str | None, str | None]]:
-    """(kind, src, dst, name): definitions, imports, calls and bases of one Python file; unreadable files give only themselves."""
-    out: list[tuple[str, str, str | None, str | None]] = [("file", path, None, path)]
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return out
-
-    def callee(f: ast.expr) -> str | None:
-        return f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else None
-
-    stack: list[tuple[ast.AST, str, str | None]] = [(tree, path, None)]
-    while stack:
-        node, scope, func = stack.pop()
-        below = []
-        for child in ast.iter_child_nodes(node):
-            if isinstance(child, ast.ClassDef):
-                cid = f"{path}::{child.name}"
-                out.append(("class", scope, cid, child.name))
-                out += [("base", cid, None, b.id) for b in child.bases if isinstance(b, ast.Name)]
-                below.append((child, cid, None))
-            elif isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                fid = f"{scope}{'::' if scope == path else '.'}{child.name}"
-                out.append(("function", scope, fid, child.name))
-                below.append((child, fid, fid))
-            elif isinstance(child, ast.Import):
-                out.append(("import", path, None, child.names[0].name))
-            elif isinstance(child, ast.ImportFrom):
-                if child.module:
-                    out.append(("import", path, None, child.module))
-            else:
-                if isinstance(child, ast.Call) and func and (name := callee(child.func)):
-                    out.append(("call", func, None, name))
-                below.append((child, scope, func))
-        stack += reversed(below)
-    return out
-
-
-_JAVA = re.compile(
-    r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|(?P<imp>\bimport\s+(?:static\s+)?(?P<mod>[\w.]+)[^;]*;)|"
-    r"(?P<type>\b(?:class|interface)\s+(?P<cls>\w+)(?P<head>[^{;]*)\{)|(?P<fn>\b(?P<fname>[A-Za-z_]\w*)\s*\((?P<args>[^()]*)\)\s*(?:throws[\w\s.,]+)?\{)|(?P<call>\b(?P<cname>[A-Za-z_]\w*)\s*\()|[{}]",
-    re.S,
-)
-_JAVA_WORDS = frozenset("if for while switch catch synchronized return new throw else try do super this assert".split())
-
-
-def java_facts(path: str, text: str) -> list[tuple[str, str, str | None, str | None]]:
-    """As ``python_facts``, by a small tokenizer: classes, interfaces, methods, constructors, calls, extends and implements."""
-    out: list[tuple[str, str, str | None, str | None]] = [("file", path, None, path)]
-    scopes: list[tuple[str, str | None]] = [(path, None)]
-    for m in _JAVA.finditer(text):
-        scope, func = scopes[-1]
-        if m["imp"]:
-            out.append(("import", path, None, m["mod"].rstrip(".")))
-        elif m["type"]:
-            cid = f"{path}::{m['cls']}"
-            out.append(("class", scope, cid, m["cls"]))
-            bases = re.sub(r"<[^<>]*>", "", m["head"])
-            out += [("base", cid, None, b) for part in re.findall(r"\b(?:extends|implements)\s+([\w\s,.]+?)(?=\bimplements\b|\bextends\b|$)", bases) for b in re.findall(r"\w+", part)]
-            scopes.append((cid, None))
-        elif m["fn"] and m["fname"] not in _JAVA_WORDS:
-            fid = f"{scope}{'::' if scope == path else '.'}{m['fname']}"
-            out.append(("function", scope, fid, m["fname"]))
-            scopes.append((fid, fid))
-        elif m["fn"] or m["call"]:
-            name = m["fname"] or m["cname"]
-            if func and name not in _JAVA_WORDS:
-                out.append(("call", func, None, name))
-            if m["fn"]:
-                scopes.append((scope, func))
-        elif m[0] == "{":
-            scopes.append((scope, func))
-        elif m[0] == "}" and len(scopes) > 1:
-            scopes.pop()
-    return out
-
-
-def code_facts(files: DataFrame) -> DataFrame:
-    """Raw facts of source files (path, text); other suffixes are ignored."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for path, text in zip(b["path"], b["text"], strict=True):
-                if isinstance(path, str) and isinstance(text, str) and path.endswith((".py", ".java")):
-                    facts = python_facts(path, text) if path.endswith(".py") else java_facts(path, text)
-                    rows += [(path, i, *f) for i, f in enumerate(facts)]
-            yield pd.DataFrame(rows, columns=["path", "ord", "kind", "src", "dst", "name"])
-
-    return files.select("path", "text").mapInPandas(run, FACTS)
-
-
-def resolve_names(facts: DataFrame, kinds: tuple[str, ...] = ("call", "base")) -> DataFrame:
-    """(kind, src, dst): uses whose bare name has exactly one definition in the corpus."""
-    defs = facts.where("kind in ('class', 'function')").select("name", F.col("dst").alias("id")).distinct()
-    single = defs.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("dst")).where("n = 1")
-    uses = facts.where(F.col("kind").isin(*kinds)).select("kind", "src", "name").distinct()
-    return uses.join(single.select("name", "dst"), "name").select("kind", "src", "dst")
-
-
-def code_graph(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of source code from raw facts."""
-    plain = F.create_map().cast("map<string,string>")
-    ids = facts.where("kind in ('file', 'class', 'function')").select(F.coalesce("dst", "src").alias("id"), F.col("kind").alias("type"), F.col("name").alias("label"), "ord")
-    mods = facts.where("kind = 'import'").select(F.concat(F.lit("module:"), "name").alias("id"), F.lit("module").alias("type"), F.col("name").alias("label"), "ord")
-    nodes = first_seen(ids.unionByName(mods), ["id"]).select("id", "type", "label", plain.alias("attrs"), "ord")
-    defines = facts.where("kind in ('class', 'function')").select("src", "dst", F.lit("defines").alias("type"))
-    imports = facts.where("kind = 'import'").select("src", F.concat(F.lit("module:"), "name").alias("dst"), F.lit("imports").alias("type"))
-    uses = resolve_names(facts).select("src", "dst", F.when(F.col("kind") == "call", "calls").otherwise("inherits").alias("type"))
-    edges = defines.unionByName(imports).unionByName(uses).distinct()
-    return nodes, edges.select("src", "dst", "type", plain.alias("attrs"), F.xxhash64("src", "dst", "type").alias("ord"))

@@ -49,6 +49,25 @@ def hot_keys(df: DataFrame, keys: list[str], pieces: int | None = None) -> DataF
     return per_key.withColumn("rows_of_all", total).where(F.col("rows_of_key") * pieces > F.col("rows_of_all"))
 
 
+def salts(big: DataFrame, keys: list[str], pieces: int | None = None) -> DataFrame:
+    """(keys…, n_salts) of the hot keys: into how many parts the rows of each are to be split."""
+    pieces = pieces or pieces_of(big.sparkSession)
+    hot = hot_keys(big.select(*keys).dropna(), keys, pieces)
+    return hot.select(*keys, F.ceil(F.col("rows_of_key") * pieces / F.col("rows_of_all")).cast("int").alias("n_salts"))
+
+
+def with_salt(big: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """``big`` with a column ``salt``: 0, or for hot keys a hash of the whole row."""
+    own = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns if "map" not in big.schema[c].dataType.simpleString()]), F.col("n_salts")).cast("int")
+    return big.join(F.broadcast(hot), keys, "left").withColumn("salt", F.coalesce(own, F.lit(0))).select(*big.columns, "salt")
+
+
+def for_salts(small: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """``small`` with one row per salt of its key."""
+    n = F.coalesce(F.col("n_salts"), F.lit(1))
+    return small.join(F.broadcast(hot), keys, "left").select(*small.columns, F.explode(F.sequence(F.lit(0), n - 1)).alias("salt"))
+
+
 def key_totals(df: DataFrame, keys: list[str], value: str, at: str, pieces: int | None = None) -> DataFrame:
     """Per key: n_rows, n_values (distinct non-null ``value``), first_at, last_at.
 

@@ -11,7 +11,8 @@ from tessera.functions.ports import TextModel, complete
 from tessera.functions.text import token_estimate
 from tessera.operators.community import extractive_summaries, louvain, named, overlay
 from tessera.operators.evaluation import generation_cost, prompt_context
-from tessera.operators.extraction import code_facts, code_graph, merge_relations, note_graph
+from tessera.operators.code import code_facts, code_graph
+from tessera.operators.extraction import merge_relations, note_graph
 from tessera.operators.retrieval import Retriever
 from tessera.operators.store import GraphStore
 from tessera.sources.files import source_tree, text_files

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import named_entities, token_estimate
 from tessera.model import OVERLAY_EDGES, OVERLAY_NODES, Subgraph
-from tessera.operators.similarity import bags, similarities, top
+from tessera.operators.similarity import bags, nearest, scores_of
 from tessera.operators.store import GraphStore
+from tessera.workspace import Workspace
 
 RRF_K = 60
 POOL_BUDGET = 50_000
@@ -63,39 +64,40 @@ class Retriever:
             self._labels = bags(self.store.nodes.select(F.col("id").alias("key"), "label"), "key", "label")
         return self._labels
 
-    def _scores(self, queries: DataFrame) -> DataFrame:
-        asked = bags(queries.select("query_id", "query"), "query_id", "query")
-        return similarities(asked, self.label_bags()).withColumnRenamed("key", "id")
+    def asked(self, queries: DataFrame) -> DataFrame:
+        return bags(queries.select("query_id", "query"), "query_id", "query")
 
-    def _ranked_nodes(self, queries: DataFrame, overlay: bool) -> DataFrame:
+    def _best_nodes(self, queries: DataFrame, k: int, overlay: bool) -> DataFrame:
+        """(query_id, id, score, rank): the nodes whose label is most like the query, ties by arrival."""
         nodes = self.store.nodes if overlay else self.store.nodes.where(~F.col("type").isin(*OVERLAY_NODES))
-        return self._scores(queries).join(nodes.select("id", "ord"), "id")
+        return nearest(self.asked(queries), self.label_bags(), k, nodes.select(F.col("id").alias("key"), "ord")).withColumnRenamed("key", "id")
 
     def _expanded(self, queries: DataFrame, seeds: DataFrame, mode: str, attrs: bool, pagerank: DataFrame | None, weight: float, cost: Cost) -> DataFrame:
+        """Segments of what the seeds reach; their source is the node's id, which also orders equal scores."""
+        seeds = Workspace(self.store.nodes.sparkSession, "seeds").write(seeds.select("query_id", "id").distinct())[1]
         sub = self.store.subgraph(seeds, self.hops, OVERLAY_NODES, OVERLAY_EDGES)
+        near = scores_of(sub.nodes.select("query_id", F.col("id").alias("key")), self.asked(queries), self.label_bags()).select("query_id", F.col("key").alias("id"), F.col("score").alias("s"))
         score = F.coalesce("s", F.lit(0.0))
-        x = sub.nodes.join(relation_text(sub), ["query_id", "id"], "left").join(self._scores(queries).withColumnRenamed("score", "s"), ["query_id", "id"], "left")
+        x = sub.nodes.join(relation_text(sub), ["query_id", "id"], "left").join(near, ["query_id", "id"], "left")
         if pagerank is not None:
             best = pagerank.agg(F.max("score").alias("m")).scalar()
             x = x.join(pagerank.select("id", F.round(F.col("score") / best, 9).alias("pr")), "id", "left")
             score = F.lit(1 - weight) * score + F.lit(weight) * F.coalesce("pr", F.lit(0.0))
-        x = x.join(seeds.select("query_id", "id", F.lit(True).alias("anchor")).distinct(), ["query_id", "id"], "left")
-        segments = x.select("query_id", node_text(attrs).alias("text"), F.col("label").alias("source"), F.when(F.col("anchor"), 1.0).otherwise(score).alias("score"), "id")
-        order = [F.col("score").desc(), F.col("source"), F.col("id")]
-        return pack(segments.join(queries.select("query_id", "budget"), "query_id"), mode, cost, order)
+        x = x.join(seeds.withColumn("anchor", F.lit(True)), ["query_id", "id"], "left")
+        segments = x.select("query_id", node_text(attrs).alias("text"), F.col("id").alias("source"), F.when(F.col("anchor"), 1.0).otherwise(score).alias("score"))
+        return pack(segments.join(queries.select("query_id", "budget"), "query_id"), mode, cost)
 
     def vector(self, queries: DataFrame, k: int = 5, cost: Cost = token_estimate) -> DataFrame:
         """Documents by the cosine of their whole text."""
         docs = self.documents.select(F.col("ord").alias("key"), "label", "text")
         if self._texts is None:
             self._texts = bags(docs, "key", "text")
-        asked = bags(queries.select("query_id", "query"), "query_id", "query")
-        best = top(similarities(asked, self._texts), k, "key").join(docs, "key")
+        best = nearest(self.asked(queries), self._texts, k).join(docs, "key")
         segments = best.select("query_id", "text", F.col("label").alias("source"), "score", F.col("rank").alias("found"))
         return pack(segments.join(queries.select("query_id", "budget"), "query_id"), "vector", cost, [F.col("found")])
 
     def seeds(self, queries: DataFrame) -> DataFrame:
-        return top(self._ranked_nodes(queries, overlay=True), self.anchors, "ord").select("query_id", "id")
+        return self._best_nodes(queries, self.anchors, overlay=True).select("query_id", "id")
 
     def graph(self, queries: DataFrame, attrs: bool = False, pagerank: DataFrame | None = None, weight: float = 0.5, cost: Cost = token_estimate) -> DataFrame:
         """Anchors by label, expanded; PageRank (id, score) blends into the score if given."""
@@ -109,9 +111,9 @@ class Retriever:
         """Best node per entity that the query names; filled up by the query's own best nodes."""
         entities = queries.select("query_id", F.posexplode(named_entities("query")).alias("n", "entity"))
         sub = entities.select(F.concat_ws("#", "query_id", "n").alias("query_id"), F.col("query_id").alias("of"), F.col("entity").alias("query"))
-        one = top(self._ranked_nodes(sub, overlay=False), 1, "ord").join(sub.select("query_id", "of"), "query_id").select(F.col("of").alias("query_id"), "id").distinct()
+        one = self._best_nodes(sub, 1, overlay=False).join(sub.select("query_id", "of"), "query_id").select(F.col("of").alias("query_id"), "id").distinct()
         few = queries.select("query_id").join(one.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < self.anchors)
-        fill = top(self._ranked_nodes(queries.join(few.select("query_id"), "query_id", "left_semi"), overlay=False), self.anchors, "ord").select("query_id", "id")
+        fill = self._best_nodes(queries.join(few.select("query_id"), "query_id", "left_semi"), self.anchors, overlay=False).select("query_id", "id")
         return one.unionByName(fill).distinct()
 
     def multi_anchor(self, queries: DataFrame, cost: Cost = token_estimate) -> DataFrame:
@@ -119,7 +121,7 @@ class Retriever:
 
     def path(self, queries: DataFrame, max_hops: int | None = None, cost: Cost = token_estimate) -> DataFrame:
         """The directed shortest path between the two best nodes; without one, both nodes."""
-        two = top(self._ranked_nodes(queries, overlay=False), 2, "ord")
+        two = self._best_nodes(queries, 2, overlay=False)
         pairs = two.groupBy("query_id").agg(F.min_by("id", "rank").alias("src"), F.max_by("id", "rank").alias("dst"))
         found = self.store.shortest_paths(pairs, max_hops, OVERLAY_NODES, OVERLAY_EDGES)
         walk = pairs.join(found, "query_id", "left").select(
@@ -131,17 +133,16 @@ class Retriever:
         rel = self.store.pruned(OVERLAY_NODES, OVERLAY_EDGES).edges.groupBy(F.col("src").alias("id"), F.col("dst").alias("next")).agg(F.max_by("type", "ord").alias("rel"))
         x = steps.join(rel, ["id", "next"], "left").join(self.store.nodes.select("id", "label"), "id", "left")
         name = F.coalesce("label", "id")
-        text = F.when(F.col("next").isNull(), name).otherwise(F.concat(name, F.coalesce(F.concat(F.lit(" —["), "rel", F.lit("]→")), F.lit(" →"))))
+        text = F.when(F.col("next").isNull(), name).otherwise(F.concat(name, F.lit(" —["), F.coalesce("rel", F.lit("→")), F.lit("]→")))
         ends = (F.col("pos") == 0) | (F.col("pos") == F.col("last"))
-        segments = x.select("query_id", text.alias("text"), name.alias("source"), F.when(ends, 1.0).otherwise(0.7).alias("score"), "pos")
+        segments = x.select("query_id", text.alias("text"), F.col("id").alias("source"), F.when(ends, 1.0).otherwise(0.7).alias("score"), "pos")
         return pack(segments.join(queries.select("query_id", "budget"), "query_id"), "graph", cost, [F.col("pos")])
 
     def community(self, queries: DataFrame, summaries: DataFrame, top_k: int = 5, cost: Cost = token_estimate) -> DataFrame:
-        """Summaries (id, title, summary, ord) by the cosine of their text."""
-        s = summaries.select(F.col("id").alias("key"), "title", F.col("summary").alias("text"), "ord")
-        asked = bags(queries.select("query_id", "query"), "query_id", "query")
-        scored = similarities(asked, bags(s, "key", "text")).join(s, "key")
-        segments = top(scored, top_k, "ord").select("query_id", "text", F.col("title").alias("source"), "score")
+        """Summaries (id, summary, ord) by the cosine of their text."""
+        s = summaries.select(F.col("id").alias("key"), F.col("summary").alias("text"), "ord")
+        best = nearest(self.asked(queries), bags(s, "key", "text"), top_k, s.select("key", "ord")).join(s.select("key", "text"), "key")
+        segments = best.select("query_id", "text", F.col("key").alias("source"), "score")
         return pack(segments.join(queries.select("query_id", "budget"), "query_id"), "community", cost)
 
 

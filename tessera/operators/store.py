@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.model import EDGE_SCHEMA, NODE_SCHEMA, Subgraph, validated_edges, validated_nodes
+from tessera.operators.hotkeys import for_salts, salts, with_salt
 from tessera.workspace import Workspace
 
+#: Rounds of an iteration that are planned together before the result is written.
+CUT = 5
 _NODE = ["id", "type", "label", "attrs", "ord"]
 _EDGE = ["src", "dst", "type", "attrs", "ord"]
 
@@ -30,10 +33,9 @@ class GraphStore:
 
     def __init__(self, nodes: DataFrame, edges: DataFrame):
         self.nodes = nodes.select(*_NODE)
-        live = self.nodes.select("id")
-        found = edges.select(*_EDGE).join(live.withColumnRenamed("id", "src"), "src", "left_semi").join(live.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        self.edges = found.select(*_EDGE)
+        self.edges = _linked(self.nodes, edges.select(*_EDGE))
         self._raw_edges = edges.select(*_EDGE)
+        self._around: tuple[DataFrame, DataFrame] | None = None
 
     @classmethod
     def from_arrivals(cls, nodes: DataFrame, edges: DataFrame) -> GraphStore:
@@ -41,7 +43,10 @@ class GraphStore:
         deleted = F.col("deleted_at").isNotNull() if "deleted_at" in nodes.columns else F.lit(False)
         rows = nodes.withColumn("gone", deleted).select(*_NODE, "gone").where("id is not null")
         now = last_wins(rows, ["id"]).where("not gone").drop("gone")
-        return cls(now, last_wins(edges.select(*_EDGE).where("src is not null and dst is not null and type is not null"), ["src", "dst", "type"]))
+        arrived = edges.select(*_EDGE).where("src is not null and dst is not null and type is not null")
+        g = _trusted(now, last_wins(_linked(now, arrived), ["src", "dst", "type"]))
+        g._raw_edges = last_wins(arrived, ["src", "dst", "type"])
+        return g
 
     def upsert_nodes(self, new: DataFrame) -> GraphStore:
         return GraphStore(last_wins(self.nodes.unionByName(validated_nodes(new).select(*_NODE)), ["id"]), self._raw_edges)
@@ -64,24 +69,37 @@ class GraphStore:
         edges = self.edges.where(~F.col("type").isin(*no_edges)) if no_edges else self.edges
         return GraphStore(nodes, edges) if no_nodes else _trusted(nodes, edges)
 
+    def adjacency(self) -> tuple[DataFrame, DataFrame]:
+        """(id, to, salt) in both directions, and (id, n_salts) of the hubs; written once per store."""
+        if self._around is None:
+            ws = Workspace(self.nodes.sparkSession, "adjacency")
+            both = self.edges.select(F.col("src").alias("id"), F.col("dst").alias("to")).unionByName(self.edges.select(F.col("dst").alias("id"), F.col("src").alias("to")))
+            plain = ws.write(both.distinct())[1]
+            hubs = ws.write(salts(plain, ["id"]))[1]
+            self._around = with_salt(plain, ["id"], hubs), hubs
+        return self._around
+
     def reach(self, seeds: DataFrame, hops: int) -> DataFrame:
-        """(query_id, id, hop) within ``hops`` undirected steps of seeds (query_id, id); unknown seeds are skipped."""
-        both = self.edges.select(F.col("src").alias("id"), F.col("dst").alias("to")).unionByName(self.edges.select(F.col("dst").alias("id"), F.col("src").alias("to")))
-        both = both.distinct()
+        """(query_id, id, hop) within ``hops`` undirected steps of seeds (query_id, id); unknown seeds are skipped.
+
+        The arcs of a hub are split over several tasks.
+        """
         seen = seeds.select("query_id", "id").distinct().join(self.nodes.select("id"), "id", "left_semi").select("query_id", "id", F.lit(0).alias("hop"))
+        if not hops:
+            return seen
+        around, hubs = self.adjacency()
         for h in range(1, hops + 1):
-            step = seen.where(F.col("hop") == h - 1).join(both, "id").select("query_id", F.col("to").alias("id"), F.lit(h).alias("hop"))
+            step = for_salts(seen.where(F.col("hop") == h - 1), ["id"], hubs).join(around, ["id", "salt"]).select("query_id", F.col("to").alias("id"), F.lit(h).alias("hop"))
             seen = seen.unionByName(step).groupBy("query_id", "id").agg(F.min("hop").alias("hop"))
         return seen
 
     def subgraph(self, seeds: DataFrame, hops: int, no_nodes: Collection[str] = (), no_edges: Collection[str] = ()) -> Subgraph:
         """Nodes within reach and all edges of the pruned graph between them, also those on no path."""
         g = self.pruned(no_nodes, no_edges)
-        r = g.reach(seeds, hops)
+        r = Workspace(self.nodes.sparkSession, "reach").write(g.reach(seeds, hops))[1]
         ends = r.select("query_id", "id")
-        edges = (
-            ends.withColumnRenamed("id", "src").join(g.edges, "src").join(ends.withColumnRenamed("id", "dst"), ["query_id", "dst"], "left_semi")
-        )
+        out = ends.withColumnRenamed("id", "src").join(g.edges, "src")
+        edges = out.join(ends.withColumnRenamed("id", "dst"), ["query_id", "dst"], "left_semi")
         return Subgraph(r.join(g.nodes, "id").select("query_id", "hop", *_NODE), edges.select("query_id", *_EDGE))
 
     def neighbors(self, node: str, hops: int = 1, no_nodes: Collection[str] = (), no_edges: Collection[str] = ()) -> Subgraph:
@@ -118,32 +136,43 @@ class GraphStore:
         """(id, score) on the undirected, unpruned graph; scores sum to one.
 
         The weight between two nodes is the number of distinct edge types between
-        them in either direction.  Isolated nodes spread their mass evenly.  Without
-        a tolerance all iterations run.
+        them in either direction.  Isolated nodes all have one score, a number on
+        the driver, and spread their mass evenly.  Without a tolerance all
+        iterations run.
+
+        The arcs are written once, bucketed by their start, those of a hub over
+        several buckets; a round moves the scores to them and the contributions
+        back, and never the arcs.
         """
         spark = self.nodes.sparkSession
         ws = Workspace(spark, "pagerank")
-        typed = self.edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), "type").unionByName(self.edges.select(F.col("dst").alias("u"), F.col("src").alias("v"), "type"))
-        weights = typed.distinct().groupBy("u", "v").agg(F.count(F.lit(1)).cast("double").alias("w"))
-        degree = weights.groupBy("u").agg(F.sum("w").alias("d"))
-        arcs = ws.write(weights.join(degree, "u").select("u", "v", (F.col("w") / F.col("d")).alias("share")))[1]
-        base = ws.write(self.nodes.select("id").join(degree.select(F.col("u").alias("id"), F.lit(True).alias("linked")), "id", "left"))[1]
-        n = base.count()
+        both = self.edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), "type").unionByName(self.edges.select(F.col("dst").alias("u"), F.col("src").alias("v"), "type"))
+        weights = ws.write(both.distinct().groupBy("u", "v").agg(F.count(F.lit(1)).cast("double").alias("w")))[1]
+        degree = ws.write(weights.groupBy("u").agg(F.sum("w").alias("d")))[1]
+        hubs = ws.write(salts(weights, ["u"]))[1]
+        shares = with_salt(weights, ["u"], hubs).join(for_salts(degree, ["u"], hubs), ["u", "salt"])
+        arcs = ws.write_bucketed(shares.select("u", "salt", "v", (F.col("w") / F.col("d")).alias("share")), ["u", "salt"])
+        n, linked = self.nodes.count(), degree.count()
         if not n:
-            return base.select("id", F.lit(0.0).alias("score"))
-        path, rank = ws.write(base.select("id", "linked", F.lit(1.0 / n).alias("score")))
-        for i in range(iterations):
-            lost = rank.where("linked is null").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("x")).scalar()
-            given = rank.select(F.col("id").alias("u"), "score").join(arcs, "u").groupBy(F.col("v").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("g"))
-            new = rank.withColumnRenamed("score", "old").join(given, "id", "left").select(
-                "id", "linked", "old", (F.lit((1 - alpha) / n) + alpha * (F.coalesce("g", F.lit(0.0)) + lost / n)).alias("score")
-            )
-            new_path, new = ws.write(new)
-            ws.drop(path)
-            path, rank = new_path, new.drop("old")
-            if tolerance is not None and new.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] < n * tolerance:
-                break
-        return rank.select("id", "score")
+            return self.nodes.select("id", F.lit(0.0).alias("score"))
+        rank, alone, path = degree.select(F.col("u").alias("id"), F.lit(1.0 / n).alias("score")), 1.0 / n, None
+        for i in range(1, iterations + 1):
+            base = (1 - alpha) / n + alpha * (n - linked) * alone / n
+            given = for_salts(rank.select(F.col("id").alias("u"), "score"), ["u"], hubs).join(arcs, ["u", "salt"])
+            new = given.groupBy(F.col("v").alias("id")).agg((F.lit(base) + F.lit(alpha) * F.sum(F.col("score") * F.col("share"))).alias("score"))
+            moved, alone, old = abs(base - alone) * (n - linked), base, rank
+            rank = new
+            if tolerance is None and i % CUT and i < iterations:
+                continue
+            at, rank = ws.write(new)
+            if tolerance is not None:
+                change = rank.join(old.withColumnRenamed("score", "old"), "id").agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] or 0.0
+                if change + moved < n * tolerance:
+                    break
+            if path:
+                ws.drop(path)
+            path = at
+        return self.nodes.select("id").join(rank, "id", "left").select("id", F.coalesce("score", F.lit(alone)).alias("score"))
 
     # -- persistence -------------------------------------------------------------------
 
@@ -165,13 +194,44 @@ class GraphStore:
         edges = doc.select(F.posexplode("edges").alias("ord", "x")).select("x.*", F.col("ord").cast("bigint").alias("ord"))
         return cls(nodes, edges)
 
+    def save_json(self, path: str) -> None:
+        """One JSON object {"nodes": […], "edges": […]} by arrival, as ``load_json`` reads it.
+
+        A single document is written by the driver, row by row from a sorted stream of
+        partitions; a large graph exports as JSON lines instead.
+        """
+        import json
+
+        def rows(df: DataFrame, *names: str):
+            for r in df.select("ord", F.to_json(F.struct(*names)).alias("j")).orderBy("ord", "j").select("j").toLocalIterator():
+                yield r.j
+
+        with open(path, "w", encoding="utf-8") as out:
+            for key, df, names in (("nodes", self.nodes, ("id", "type", "label", "attrs")), ("edges", self.edges, ("src", "dst", "type", "attrs"))):
+                out.write(("{" if key == "nodes" else ",") + json.dumps(key) + ": [")
+                for i, j in enumerate(rows(df, *names)):
+                    out.write((",\n" if i else "\n") + j)
+                out.write("]")
+            out.write("}\n")
+
+    def views(self, prefix: str = "") -> None:
+        """Temporary views ``nodes`` and ``edges`` of the present graph, for SQL."""
+        self.nodes.createOrReplaceTempView(f"{prefix}nodes")
+        self.edges.createOrReplaceTempView(f"{prefix}edges")
+
     def save_json_lines(self, path: str) -> None:
         """Nodes and edges as JSON lines in two folders: what a large graph exports as."""
         self.nodes.write.mode("overwrite").json(f"{path}/nodes")
         self.edges.write.mode("overwrite").json(f"{path}/edges")
 
 
+def _linked(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges whose two ends are nodes; the rows of a hub are split by the adaptive skew join, which may split a semi-join's left side."""
+    live = nodes.select("id")
+    return edges.join(live.withColumnRenamed("id", "src"), "src", "left_semi").join(live.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns)
+
+
 def _trusted(nodes: DataFrame, edges: DataFrame) -> GraphStore:
     g = GraphStore.__new__(GraphStore)
-    g.nodes, g.edges, g._raw_edges = nodes, edges, edges
+    g.nodes, g.edges, g._raw_edges, g._around = nodes, edges, edges, None
     return g

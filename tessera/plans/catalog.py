@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.model import OVERLAY_EDGES, OVERLAY_NODES, STRUCTURAL_EDGES
+from tessera.model import OVERLAY_EDGES, OVERLAY_NODES
 from tessera.operators import chunks as ch
+from tessera.operators import code as cd
 from tessera.operators import community as co
 from tessera.operators import evaluation as ev
 from tessera.operators import extraction as ex
@@ -21,10 +22,9 @@ from tessera.sources.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-BUDGET = 200
-ARM_BUDGET = 1000
+BUDGET = 1000
+HOPS = 2
 PR_ROUNDS = 20
-PATH_HOPS = 6
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -125,17 +125,16 @@ def multi_seed_union(spark, d):
     return store(spark, d).reach(seeds, 1).select("id", "hop")
 
 
-def _paths_sql(pairs: str, nodes: str, edges: str, hops: int) -> str:
-    s = f"arcs AS MATERIALIZED (SELECT DISTINCT src, dst FROM {edges}), ends AS (SELECT * FROM {pairs} WHERE src IN (SELECT id FROM {nodes}) AND dst IN (SELECT id FROM {nodes})), "
-    s += "f0 AS MATERIALIZED (SELECT query_id, src AS id, dst AS goal, [src] AS path FROM ends), k0 AS MATERIALIZED (SELECT query_id, id FROM f0)"
-    for h in range(1, hops + 1):
-        s += f""", f{h} AS MATERIALIZED (SELECT f.query_id, arcs.dst AS id, f.goal, min(list_append(f.path, arcs.dst)) AS path FROM f{h - 1} f JOIN arcs ON arcs.src = f.id
-            WHERE f.query_id NOT IN (SELECT query_id FROM f{h - 1} WHERE id = goal) AND (f.query_id, arcs.dst) NOT IN (SELECT (query_id, id) FROM k{h - 1}) GROUP BY ALL),
-            k{h} AS MATERIALIZED (SELECT * FROM k{h - 1} UNION SELECT query_id, id FROM f{h})"""
-    return s + ", paths AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT query_id, path FROM f{h} WHERE id = goal" for h in range(hops + 1)) + ")"
+def _paths_sql(pairs: str, nodes: str, edges: str) -> str:
+    """Backwards from each goal, level by level, until nothing new is met; needs WITH RECURSIVE."""
+    return f"""arcs AS MATERIALIZED (SELECT DISTINCT src, dst FROM {edges}), ends AS MATERIALIZED (SELECT * FROM {pairs} WHERE src IN (SELECT id FROM {nodes}) AND dst IN (SELECT id FROM {nodes})),
+      back(goal, id, path) USING KEY (goal, id) AS (SELECT DISTINCT dst, dst, [dst] FROM ends
+        UNION SELECT b.goal, arcs.src, min(list_prepend(arcs.src, b.path)) FROM back b JOIN arcs ON arcs.dst = b.id
+          WHERE NOT EXISTS (SELECT 1 FROM recurring.back k WHERE k.goal = b.goal AND k.id = arcs.src) GROUP BY b.goal, arcs.src),
+      paths AS MATERIALIZED (SELECT e.query_id, b.path FROM ends e JOIN back b ON b.goal = e.dst AND b.id = e.src)"""
 
 
-@query(f"""WITH {_G}, pairs AS (SELECT id AS query_id, id AS src, 'fogo' AS dst FROM n WHERE ord % 50 = 0), {_paths_sql('pairs', 'n', 'e', PATH_HOPS)}
+@query(f"""WITH RECURSIVE {_G}, pairs AS (SELECT id AS query_id, id AS src, 'fogo' AS dst FROM n WHERE ord % 50 = 0), {_paths_sql('pairs', 'n', 'e')}
     SELECT query_id, array_to_string(path, ' > ') AS path FROM paths""")
 def shortest_path(spark, d):
     g = store(spark, d).stored()
@@ -214,7 +213,7 @@ def _retriever(spark: SparkSession, d: str) -> rt.Retriever:
     docs = table(spark, d, "documents").where("text is not null").select(
         F.concat_ws("#", F.coalesce("title", F.lit("untitled")), "doc_id").alias("label"), "text", F.col("doc_id").alias("ord")
     )
-    return rt.Retriever(store(spark, d).stored(), docs)
+    return rt.Retriever(store(spark, d).stored(), docs, hops=HOPS)
 
 
 _TERMS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
@@ -242,14 +241,14 @@ _PACK = """packed AS MATERIALIZED (SELECT *, row_number() OVER w AS rank, sum(co
 
 def _segments(score: str, attrs: bool, extra: str = "") -> str:
     shown = "CASE WHEN n.attrs IS NULL OR cardinality(n.attrs) = 0 THEN NULL ELSE array_to_string(list_sort(list_transform(map_entries(n.attrs), lambda x: x.key || ': ' || x.value)), '; ') END"
-    return f"""segments AS MATERIALIZED (SELECT reach.query_id, concat_ws(' — ', n.label, rels{', ' + shown if attrs else ''}) AS text, n.label AS source, n.id,
+    return f"""segments AS MATERIALIZED (SELECT reach.query_id, concat_ws(' — ', n.label, rels{', ' + shown if attrs else ''}) AS text, n.id AS source, n.id,
       CASE WHEN s.id IS NOT NULL THEN 1.0 ELSE {score} END AS score
       FROM reach JOIN n ON n.id = reach.id LEFT JOIN rels ON rels.query_id = reach.query_id AND rels.id = reach.id
       LEFT JOIN sim ON sim.query_id = reach.query_id AND sim.id = reach.id LEFT JOIN seeds s ON s.query_id = reach.query_id AND s.id = reach.id {extra})"""
 
 
 def _graph_sql(seeds: str, score: str = "coalesce(sim.score, 0)", attrs: bool = False, extra: str = "", before: str = "") -> str:
-    return f"""WITH {_G}, {_ASK}, {seeds}, {before}{_khop('seeds', 1, 'pn', 'pe')}, {_RELS.format(edges='pe')}, {_segments(score, attrs, extra)},
+    return f"""WITH {_G}, {_ASK}, {seeds}, {before}{_khop('seeds', HOPS, 'pn', 'pe')}, {_RELS.format(edges='pe')}, {_segments(score, attrs, extra)},
       {_PACK.format(order='score DESC, source, id', name='out', budget=BUDGET)}"""
 
 
@@ -262,12 +261,12 @@ def _show(segments: DataFrame) -> DataFrame:
 
 @query(f"{_graph_sql(_ANCHORS)} {_SHOW.format('out')}")
 def graph_retrieve(spark, d):
-    return _show(_retriever(spark, d).graph(_asked(spark, d, ARM_BUDGET)))
+    return _show(_retriever(spark, d).graph(_asked(spark, d)))
 
 
 @query(f"{_graph_sql(_ANCHORS, attrs=True)} {_SHOW.format('out')}")
 def graph_attrs_retrieve(spark, d):
-    return _show(_retriever(spark, d).graph(_asked(spark, d, ARM_BUDGET), attrs=True))
+    return _show(_retriever(spark, d).graph(_asked(spark, d), attrs=True))
 
 
 @query(
@@ -276,7 +275,7 @@ def graph_attrs_retrieve(spark, d):
 )
 def graph_pagerank_retrieve(spark, d):
     r = _retriever(spark, d)
-    return _show(r.graph(_asked(spark, d, ARM_BUDGET), pagerank=r.store.pagerank(PR_ROUNDS, tolerance=None)))
+    return _show(r.graph(_asked(spark, d), pagerank=r.store.pagerank(PR_ROUNDS, tolerance=None)))
 
 
 _DOCS = """docs AS MATERIALIZED (SELECT doc_id AS id, coalesce(title, 'untitled') || '#' || doc_id AS label, text FROM documents WHERE text IS NOT NULL)"""
@@ -301,12 +300,12 @@ def vector_retrieve(spark, d):
     fout AS (SELECT * FROM fpack WHERE rank = 1 OR running_tokens <= {BUDGET}) {_SHOW.format('fout')}"""
 )
 def hybrid_rrf(spark, d):
-    return _show(_retriever(spark, d).hybrid(_asked(spark, d, ARM_BUDGET)))
+    return _show(_retriever(spark, d).hybrid(_asked(spark, d)))
 
 
 _ENTITIES = """ents AS MATERIALIZED (SELECT query_id, entity, min(pos) AS pos FROM (
       SELECT query_id, entity, pos FROM (SELECT query_id, unnest(l) AS entity, unnest(range(len(l))) AS pos
-        FROM (SELECT query_id, regexp_extract_all(query, '(?i)(?:dec|adr)-[\\p{L}\\p{N}_-]+') || regexp_extract_all(query, '(?:^|[^\\p{L}\\p{N}_])(\\p{Lu}[\\p{L}\\p{N}_]{3,})', 1) AS l FROM asked)))
+        FROM (SELECT query_id, regexp_extract_all(query, '(?i)(?:dec|adr)-[\\p{L}\\p{N}_-]+') || regexp_extract_all(query, '(?:^|[^\\p{L}\\p{N}_])([A-Z][\\p{L}\\p{N}_]{3,})', 1) AS l FROM asked)))
       GROUP BY query_id, entity)"""
 _MULTI = f"""{_ENTITIES}, {_bag('eb', 'ents', "query_id || '#' || entity", 'entity')}, {_sims('esim', 'eb', 'nb')},
     ebest AS (SELECT ents.query_id, x.id FROM ents JOIN (SELECT esim.query_id, esim.id, row_number() OVER (PARTITION BY esim.query_id ORDER BY esim.score DESC, pn.ord) AS rn
@@ -324,17 +323,17 @@ def multi_anchor_seeds(spark, d):
 
 @query(f"{_graph_sql(_MULTI)} {_SHOW.format('out')}")
 def multi_anchor_retrieve(spark, d):
-    return _show(_retriever(spark, d).multi_anchor(_asked(spark, d, ARM_BUDGET)))
+    return _show(_retriever(spark, d).multi_anchor(_asked(spark, d)))
 
 
 @query(
-    f"""WITH {_G}, {_ASK}, two AS (SELECT * FROM (SELECT sim.query_id, sim.id, row_number() OVER (PARTITION BY sim.query_id ORDER BY sim.score DESC, pn.ord) AS rn
+    f"""WITH RECURSIVE {_G}, {_ASK}, two AS (SELECT * FROM (SELECT sim.query_id, sim.id, row_number() OVER (PARTITION BY sim.query_id ORDER BY sim.score DESC, pn.ord) AS rn
       FROM sim JOIN pn ON pn.id = sim.id) WHERE rn <= 2),
-    pairs AS MATERIALIZED (SELECT query_id, min_by(id, rn) AS src, max_by(id, rn) AS dst FROM two GROUP BY query_id), {_paths_sql('pairs', 'pn', 'pe', PATH_HOPS)},
+    pairs AS MATERIALIZED (SELECT query_id, min_by(id, rn) AS src, max_by(id, rn) AS dst FROM two GROUP BY query_id), {_paths_sql('pairs', 'pn', 'pe')},
     walk AS (SELECT p.query_id, x.path IS NOT NULL AS linked, coalesce(x.path, CASE WHEN p.src = p.dst THEN [p.src] ELSE [p.src, p.dst] END) AS path FROM pairs p LEFT JOIN paths x USING (query_id)),
     steps AS (SELECT query_id, linked, len(path) AS len, path[i] AS id, CASE WHEN linked THEN path[i + 1] END AS nxt, i FROM (SELECT *, unnest(range(1, len(path) + 1)) AS i FROM walk)),
     rel AS (SELECT src, dst, max_by(type, ord) AS rel FROM pe GROUP BY src, dst),
-    segments AS MATERIALIZED (SELECT s.query_id, n.label || CASE WHEN nxt IS NULL THEN '' WHEN rel IS NULL THEN ' →' ELSE ' —[' || rel || ']→' END AS text, n.label AS source,
+    segments AS MATERIALIZED (SELECT s.query_id, n.label || CASE WHEN nxt IS NULL THEN '' ELSE ' —[' || coalesce(rel, '→') || ']→' END AS text, n.id AS source,
       (CASE WHEN i = 1 OR i = len THEN 1.0 ELSE 0.7 END)::DOUBLE AS score, i FROM steps s JOIN n ON n.id = s.id LEFT JOIN rel ON rel.src = s.id AND rel.dst = s.nxt),
     {_PACK.format(order='i', name='out', budget=BUDGET)} {_SHOW.format('out')}"""
 )
@@ -352,7 +351,7 @@ def path_retrieve(spark, d):
 )
 def rerank_topk(spark, d):
     pool = _retriever(spark, d).graph(_asked(spark, d, rt.POOL_BUDGET))
-    return _show(rt.rerank(pool, _asked(spark, d, ARM_BUDGET), 5))
+    return _show(rt.rerank(pool, _asked(spark, d), 5))
 
 
 @query(
@@ -371,7 +370,7 @@ def budget_pack(spark, d):
 
 # -- communities ---------------------------------------------------------------------------
 
-_STRUCT = ", ".join(f"'{t}'" for t in STRUCTURAL_EDGES)
+_STRUCT = "'defines', 'imports', 'calls', 'inherits', 'references'"
 _COMP = f"""links AS MATERIALIZED (SELECT DISTINCT src AS a, dst AS b FROM e WHERE type IN ({_STRUCT}) AND src <> dst AND src IN (SELECT id FROM pn) AND dst IN (SELECT id FROM pn)),
     both_ways AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
     cc AS (SELECT id, id AS c FROM pn UNION SELECT cc.id, both_ways.b FROM cc JOIN both_ways ON both_ways.a = cc.c),
@@ -415,14 +414,14 @@ def community_histogram(spark, d):
       FROM (SELECT community_id, len(members) AS size, unnest(members[1:5]) AS m, unnest(range(least(len(members), 5))) AS i FROM named) x LEFT JOIN n ON n.id = x.m GROUP BY community_id),
     {_bag('sb', 'summ', 'id', 'text')}, {_sims('ssim', 'qb', 'sb')},
     best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM ssim) WHERE rn <= 5),
-    segments AS MATERIALIZED (SELECT b.query_id, s.text, s.title AS source, b.score FROM best b JOIN summ s ON s.id = b.id),
+    segments AS MATERIALIZED (SELECT b.query_id, s.text, s.id AS source, b.score FROM best b JOIN summ s ON s.id = b.id),
     {_PACK.format(order='score DESC, source', name='out', budget=BUDGET)} {_SHOW.format('out')}"""
 )
 def community_retrieve(spark, d):
     g = store(spark, d).stored()
     s = co.extractive_summaries(co.named(co.components(g)), g.nodes.select("id", F.col("label").alias("text")))
     r = rt.Retriever(g)
-    return _show(r.community(_asked(spark, d), s.select(F.col("community_id").alias("id"), "title", "summary", F.col("community_id").alias("ord"))))
+    return _show(r.community(_asked(spark, d), s.select(F.col("community_id").alias("id"), "summary", F.col("community_id").alias("ord"))))
 
 
 # -- chunks and text -----------------------------------------------------------------------
@@ -440,7 +439,7 @@ _CAPS = """WITH z AS (SELECT book, page_id AS page, unnest(lines) AS line, unnes
     w AS (SELECT *, coalesce(lag(is_head) OVER (PARTITION BY book ORDER BY page, line_no), false) AS was FROM h),
     k AS (SELECT *, sum(is_head::INT) OVER (PARTITION BY book ORDER BY page, line_no) AS chunk_no FROM w WHERE NOT (is_head AND was))
     SELECT book, chunk_no::BIGINT AS chunk_no, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY page, line_no) AS text,
-      array_to_string(list_transform(list_sort(list(DISTINCT page)), lambda x: x::VARCHAR), ',') AS pages FROM k GROUP BY book, chunk_no HAVING bool_or(NOT is_head)"""
+      array_to_string(list_transform(list_sort(list(DISTINCT page)), lambda x: x::VARCHAR), ',') AS pages FROM k GROUP BY book, chunk_no"""
 
 
 def _caps(spark: SparkSession, d: str) -> DataFrame:
@@ -458,26 +457,33 @@ _CAPS_LABEL = """CASE WHEN first(is_head ORDER BY page, line_no) THEN array_to_s
     regexp_extract_all(lower(trim(first(line ORDER BY page, line_no))), '[\\p{L}\\p{M}]+|[^\\p{L}\\p{M}]+'), lambda r: upper(r[1]) || r[2:]), '') ELSE 'p.' || first(page ORDER BY page, line_no) END AS label"""
 
 
-@query(_CAPS.split("SELECT book, chunk_no::BIGINT AS chunk_no, count(*)")[0] + f"SELECT book, chunk_no::BIGINT AS chunk_no, {_CAPS_LABEL} FROM k GROUP BY book, chunk_no HAVING bool_or(NOT is_head)")
+@query(_CAPS.split("SELECT book, chunk_no::BIGINT AS chunk_no, count(*)")[0] + f"SELECT book, chunk_no::BIGINT AS chunk_no, {_CAPS_LABEL} FROM k GROUP BY book, chunk_no")
 def caps_labels(spark, d):
     return _caps(spark, d).select("book", "chunk_no", "label")
 
 
 @query(f"""WITH k AS ({_CAPS}) SELECT book, chunk_no FROM k
-    WHERE len(list_intersect(list_transform(string_split(text, chr(10)), lambda x: regexp_extract(trim(x), '^(\\p{{Lu}}{{3}})(?:\\s+\\d+)?$', 1)), ['FOR', 'DES', 'CON', 'INT', 'SAB', 'CAR'])) >= 4""")
+    WHERE len(list_intersect(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), ['FOR', 'DES', 'CON', 'INT', 'SAB', 'CAR'])) >= 4""")
 def stat_filter(spark, d):
     return _caps(spark, d).where(ch.has_stat_block(F.col("text"))).select("book", "chunk_no")
 
 
-_FM = "'^---\\n([\\s\\S]*?)\\n---(?:\\n|\\z)'"
+_FM = "'^---\\n([\\s\\S]*?)\\n---\\n?'"
+_LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]"
+
+
+def _lines(text: str) -> str:
+    return f"regexp_split_to_array(regexp_replace({text}, '(?:{_LINE_END})$', ''), '{_LINE_END}')"
 
 
-@query(f"""WITH b AS (SELECT doc_id::VARCHAR AS book, string_split(regexp_replace(regexp_replace(text, {_FM}, ''), '\\s+\\z', ''), chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+@query(f"""WITH b0 AS (SELECT doc_id::VARCHAR AS book, {_lines("regexp_replace(text, '^\\s*---\\s*\\n[\\s\\S]*?\\n---[^\\S\\n]*\\n', '')")} AS l FROM documents WHERE text IS NOT NULL),
+    b AS (SELECT book, l[1:list_max(list_transform(l, lambda x, i: CASE WHEN regexp_matches(x, '[^\\s\\p{{Z}}\\x1c-\\x1f\\x{{85}}]') THEN i ELSE 0 END))] AS l FROM b0),
     x AS (SELECT book, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS no FROM b), h AS (SELECT *, regexp_matches(line, '^#{{1,6}}\\s') AS head FROM x),
     k AS (SELECT *, sum(head::INT) OVER (PARTITION BY book ORDER BY no) AS chunk_no FROM h)
-    SELECT book, chunk_no::BIGINT AS chunk_no, string_agg(line, chr(10) ORDER BY no) AS text FROM k GROUP BY book, chunk_no""")
+    SELECT book, chunk_no::BIGINT AS chunk_no, CASE WHEN first(head ORDER BY no) THEN trim(regexp_replace(first(line ORDER BY no), '^#+', '')) ELSE 'p.1' END AS label,
+      string_agg(line, chr(10) ORDER BY no) AS text FROM k GROUP BY book, chunk_no""")
 def heading_chunks(spark, d):
-    return ch.by_heading(ch.markdown_lines(table(spark, d, "documents"))).select("book", "chunk_no", "text")
+    return ch.by_heading(ch.markdown_lines(table(spark, d, "documents"))).select("book", "chunk_no", "label", "text")
 
 
 _NID = "lower(trim(regexp_replace({0}, '[\\s\\p{{Z}}\\x1c-\\x1f\\x85]+', ' ', 'g')))"
@@ -492,7 +498,8 @@ def _merged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return ex.merge_relations(table(spark, d, "extracted_relations").select(F.col("rel_id").alias("ord"), "subject", "predicate", "object"))
 
 
-_PRED = "CASE upper(predicate) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ex.PREDICATES.items()) + " END"
+_PRED = """CASE upper(predicate) WHEN 'RESISTS' THEN 'resists' WHEN 'IMMUNE_TO' THEN 'immune_to' WHEN 'VULNERABLE_TO' THEN 'vulnerable_to' WHEN 'INHABITS' THEN 'inhabits' WHEN 'SUMMONS' THEN 'summons'
+      WHEN 'RELATES_TO' THEN 'relates_to' WHEN 'MENTIONS' THEN 'mentions' WHEN 'PART_OF' THEN 'requires' WHEN 'DEPENDS_ON' THEN 'requires' WHEN 'AUTHORED_BY' THEN 'mentions' END"""
 _MERGE = f"""r AS (SELECT rel_id AS ord, subject, object, {_NID.format('subject')} AS s, {_NID.format('object')} AS o, {_PRED} AS type FROM extracted_relations),
     ok AS (SELECT * FROM r WHERE type IS NOT NULL AND s <> '' AND o <> ''),
     m AS (SELECT ord * 2 AS ord, s AS id, subject AS surface FROM ok UNION ALL SELECT ord * 2 + 1, o, object FROM ok)"""
@@ -509,38 +516,40 @@ def merge_mentions(spark, d):
     return _merged(spark, d)[1].select("src", "dst", "type", "ord")
 
 
-@query("""WITH h AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\[[^\\]]*\\]\\(([^)\\s]+)\\)', 1)) AS href FROM documents),
+@query("""WITH h AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\[[^\\]]*\\]\\(([^)]+)\\)', 1)) AS href FROM documents),
     s AS (SELECT doc_id, regexp_extract(regexp_extract(href, '^([^#?]*)', 1), '([^/]*)/*$', 1) AS name FROM h WHERE NOT regexp_matches(href, '^(?:https?://|#|mailto:)'))
     SELECT DISTINCT doc_id, CASE WHEN regexp_matches(name, '^.+\\.[^.]+$') THEN regexp_replace(name, '\\.[^.]*$', '') ELSE name END AS stem FROM s WHERE name <> ''""")
 def link_refs(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(tx.link_stems("text")).alias("stem"))
 
 
-_FIELDS = ", ".join(f"'{k}'" for k in ex.RELATION_FIELDS)
+def _header_sql(docs: str) -> str:
+    """Relation fields of headers as h (key, ord, field, target); the fields are written out by hand."""
+    strip = "regexp_replace({0}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+    return f"""fm AS (SELECT key, {_lines(f"regexp_extract(text, {_FM}, 1)")} AS l FROM ({docs}) WHERE regexp_matches(text, {_FM})),
+    fl AS (SELECT key, unnest(l) AS line, unnest(range(len(l))) AS n FROM fm),
+    ff AS (SELECT *, {strip.format("line")} AS bare, lower({strip.format("regexp_extract(line, '^([^:]*):', 1)")}) AS field, {strip.format("regexp_extract(line, '^[^:]*:(.*)$', 1)")} AS value,
+      field IN ('relates_to', 'requires', 'supersedes', 'implements', 'extends', 'replaces') AS known FROM fl),
+    fo AS (SELECT *, starts_with(bare, '- ') AS item, last_value(CASE WHEN starts_with(bare, '- ') THEN NULL WHEN known AND value = '' AND contains(line, ':') THEN field ELSE '' END IGNORE NULLS)
+      OVER (PARTITION BY key ORDER BY n ROWS UNBOUNDED PRECEDING) AS block FROM ff),
+    fi AS (SELECT key, n, CASE WHEN item THEN block ELSE field END AS field,
+      CASE WHEN item AND block <> '' THEN [bare[3:]] WHEN NOT item AND known AND value <> '' THEN string_split(regexp_replace(value, '^[\\[\\]]+|[\\[\\]]+$', '', 'g'), ',') ELSE [] END AS parts FROM fo),
+    fu AS (SELECT key, n, field, unnest(parts) AS raw, unnest(range(len(parts))) AS i FROM fi),
+    h AS (SELECT key, n * 1000000 + i AS ord, field, regexp_replace({strip.format("raw")}, '^[''"]+|[''"]+$', '', 'g') AS target FROM fu WHERE target <> '')"""
 
 
-@query(f"""WITH f AS (SELECT doc_id, string_split(regexp_extract(text, {_FM}, 1), chr(10)) AS l FROM documents WHERE regexp_matches(text, {_FM})),
-    x AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS n FROM f),
-    y AS (SELECT *, lower(trim(regexp_extract(line, '^([^:]*):', 1))) AS field, trim(regexp_extract(line, '^[^:]*:(.*)$', 1)) AS value, trim(line) LIKE '- %' AS item FROM x WHERE line <> ''),
-    i AS (SELECT doc_id, n, field, unnest(string_split(regexp_replace(value, '^[\\[\\]]+|[\\[\\]]+$', '', 'g'), ',')) AS raw FROM y WHERE NOT item AND field IN ({_FIELDS}) AND value <> '')
-    SELECT doc_id, field, regexp_replace(trim(raw), '^[''"]+|[''"]+$', '', 'g') AS target FROM i WHERE trim(raw) <> ''""")
+@query(f"WITH {_header_sql('SELECT doc_id AS key, text FROM documents')} SELECT key AS doc_id, field, target FROM h")
 def frontmatter_relations(spark, d):
     return ex.header_relations(table(spark, d, "documents"), "doc_id").select("doc_id", "field", "target")
 
 
-_FIELD_TYPES = " ".join(f"WHEN '{k}' THEN '{t}'" for k, (t, _) in ex.RELATION_FIELDS.items())
-
-
-@query(f"""WITH d AS (SELECT 'doc-' || doc_id AS src, text FROM documents WHERE doc_kind IN ('note', 'decision') AND text IS NOT NULL),
-    x AS (SELECT src, unnest(string_split(regexp_extract(text, {_FM}, 1), chr(10))) AS line, unnest(range(len(string_split(regexp_extract(text, {_FM}, 1), chr(10))))) AS n FROM d),
-    y AS (SELECT *, lower(trim(regexp_extract(line, '^([^:]*):', 1))) AS field, string_split(regexp_replace(trim(regexp_extract(line, '^[^:]*:(.*)$', 1)), '^[\\[\\]]+|[\\[\\]]+$', '', 'g'), ',') AS l FROM x WHERE line <> ''),
-    h AS (SELECT src, field, n, unnest(l) AS raw, unnest(range(len(l))) AS i FROM y WHERE field IN ({_FIELDS})),
-    f AS (SELECT src, regexp_replace(trim(raw), '^[''"]+|[''"]+$', '', 'g') AS dst, field, n * 1000 + i AS ord FROM h WHERE trim(raw) <> ''),
-    hr AS (SELECT src, list_filter(regexp_extract_all(regexp_replace(text, {_FM}, ''), '\\[[^\\]]*\\]\\(([^)\\s]+)\\)', 1), lambda u: NOT regexp_matches(u, '^(?:https?://|#|mailto:)')) AS hs FROM d),
+@query(f"""WITH d AS (SELECT 'doc-' || doc_id AS src, text FROM documents WHERE doc_kind IN ('note', 'decision') AND text IS NOT NULL), {_header_sql('SELECT src AS key, text FROM d')},
+    hr AS (SELECT src, list_filter(regexp_extract_all(regexp_replace(text, {_FM}, ''), '\\[[^\\]]*\\]\\(([^)]+)\\)', 1), lambda u: NOT regexp_matches(u, '^(?:https?://|#|mailto:)')) AS hs FROM d),
     nm AS (SELECT src, list_filter(list_transform(hs, lambda u: regexp_replace(regexp_extract(regexp_extract(u, '^([^#?]*)', 1), '([^/]*)/*$', 1), '^(.+)\\.[^.]*$', '\\1')), lambda u: u <> '') AS ns FROM hr),
     un AS (SELECT src, list_filter(ns, lambda u, i: list_position(ns, u) = i) AS us FROM nm),
-    r AS (SELECT src, unnest(us) AS dst, unnest(range(len(us))) + 1000000000 AS ord FROM un)
-    SELECT * FROM (SELECT src, dst, CASE field {_FIELD_TYPES} END AS type, ord FROM f UNION ALL SELECT src, dst, 'references', ord FROM r) WHERE src <> dst""")
+    r AS (SELECT src, unnest(us) AS dst, unnest(range(len(us))) + 1000000000000000 AS ord FROM un)
+    SELECT * FROM (SELECT key AS src, target AS dst, CASE WHEN field IN ('requires', 'implements') THEN 'requires' ELSE 'relates_to' END AS type, ord FROM h
+      UNION ALL SELECT src, dst, 'references', ord FROM r) WHERE src <> dst""")
 def note_graph_edges(spark, d):
     docs = table(spark, d, "documents").where("doc_kind in ('note', 'decision')").withColumn("key", F.concat(F.lit("doc-"), "doc_id"))
     return ex.note_graph(docs, "key")[1].select("src", "dst", "type", "ord")
@@ -548,17 +557,17 @@ def note_graph_edges(spark, d):
 
 def _facts(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("doc_kind = 'code'")
-    return ex.code_facts(docs.select(F.concat_ws("/", F.col("doc_id").cast("string"), F.coalesce("title", F.lit("untitled.py"))).alias("path"), "text"))
+    return cd.code_facts(docs.select(F.concat_ws("/", F.col("doc_id").cast("string"), F.coalesce("title", F.lit("untitled.py"))).alias("path"), "text"))
 
 
 @query()
 def code_graph_edges(spark, d):
-    return ex.code_graph(_facts(spark, d))[1].select("src", "dst", "type")
+    return cd.code_graph(_facts(spark, d))[1].select("src", "dst", "type")
 
 
 @query()
 def code_kind_counts(spark, d):
-    n, e = ex.code_graph(_facts(spark, d))
+    n, e = cd.code_graph(_facts(spark, d))
     count = F.count(F.lit(1)).alias("n")
     return n.groupBy("type").agg(count).unionByName(e.groupBy("type").agg(count))
 
@@ -571,7 +580,7 @@ def unique_name_resolution(spark, d):
     none = F.lit(None).cast("string")
     defs = store(spark, d).nodes.where("type <> 'section'").select(F.lit("function").alias("kind"), none.alias("src"), F.col("id").alias("dst"), F.col("label").alias("name"))
     uses = table(spark, d, "eval_queries").select(F.lit("call").alias("kind"), F.col("id").alias("src"), none.alias("dst"), F.explode("relevant_labels").alias("name"))
-    return ex.resolve_names(defs.unionByName(uses)).select(F.col("src").alias("id"), "dst")
+    return cd.resolve_names(defs.unionByName(uses)).select(F.col("src").alias("id"), "dst")
 
 
 @query("SELECT doc_id, (length(text) + 3) // 4 AS tokens FROM documents WHERE text IS NOT NULL")
@@ -591,10 +600,10 @@ def expected_answer(spark, d):
     return table(spark, d, "eval_queries").select("id", F.array_join("relevant_labels", ", ").alias("labels"), ev.expected_answer().alias("answer"))
 
 
-@query("""WITH x AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\r?\\n')) AS line, unnest(range(len(regexp_split_to_array(text, '\\r?\\n')))) AS n FROM documents WHERE text IS NOT NULL),
-    r AS (SELECT doc_id, n, trim(regexp_extract(line, '^(?:#{2,3}|\\s*[-*])\\s+(.+)$', 1)) AS requirement FROM x),
+@query("""WITH x AS (SELECT doc_id, unnest({LINES}) AS line, unnest(range(len({LINES}))) AS n FROM documents WHERE text IS NOT NULL),
+    r AS (SELECT doc_id, n, trim(regexp_extract(line, '^(?:#{2,3}|\\s*[-*+])\\s+(.+)$', 1)) AS requirement FROM x),
     k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS no FROM r WHERE regexp_matches(requirement, '(?i)\\b(must|should|shall|when|given)\\b'))
-    SELECT doc_id, 'S-' || lpad(no::VARCHAR, greatest(2, length(no::VARCHAR))::INT, '0') AS id, requirement FROM k""")
+    SELECT doc_id, 'S-' || lpad(no::VARCHAR, greatest(2, length(no::VARCHAR))::INT, '0') AS id, requirement FROM k""".replace("{LINES}", _lines("text")))
 def story_numbering(spark, d):
     return ev.stories(table(spark, d, "documents"))
 
@@ -607,7 +616,7 @@ def prompt_context(spark, d):
 
 
 @query("""SELECT id, array_to_string(list_distinct_in_order, ',') AS entities FROM (SELECT id, list_filter(l, lambda x, i: list_position(l, x) = i) AS list_distinct_in_order FROM (
-    SELECT id, regexp_extract_all(question, '(?i)(?:dec|adr)-[\\p{L}\\p{N}_-]+') || regexp_extract_all(question, '(?:^|[^\\p{L}\\p{N}_])(\\p{Lu}[\\p{L}\\p{N}_]{3,})', 1) AS l FROM eval_queries))""")
+    SELECT id, regexp_extract_all(question, '(?i)(?:dec|adr)-[\\p{L}\\p{N}_-]+') || regexp_extract_all(question, '(?:^|[^\\p{L}\\p{N}_])([A-Z][\\p{L}\\p{N}_]{3,})', 1) AS l FROM eval_queries))""")
 def named_entities(spark, d):
     return table(spark, d, "eval_queries").select("id", F.array_join(tx.named_entities("question"), ",").alias("entities"))
 
@@ -621,29 +630,31 @@ def arm_cost(spark, d):
     return ev.arm_totals(table(spark, d, "responses"))
 
 
-_RECALL = """want AS (SELECT DISTINCT id AS query_id, lower(unnest(relevant_sources)) AS s FROM eval_queries), asked_want AS (SELECT want.* FROM want JOIN asked USING (query_id)),
-    got AS (SELECT DISTINCT query_id, lower(source) AS s FROM {0}), rec AS (SELECT w.query_id, count(g.s) / count(*)::DOUBLE AS recall FROM asked_want w LEFT JOIN got g USING (query_id, s) GROUP BY w.query_id)"""
+_RECALL = """want AS (SELECT DISTINCT id AS query_id, unnest(relevant_sources) AS source FROM eval_queries{1}), asked_want AS (SELECT want.* FROM want JOIN asked USING (query_id)),
+    got AS (SELECT DISTINCT query_id, source FROM {0}), rec AS (SELECT w.query_id, count(g.source) / count(*)::DOUBLE AS recall FROM asked_want w LEFT JOIN got g USING (query_id, source) GROUP BY w.query_id)"""
 
 
-def _recall(spark: SparkSession, d: str, segments: DataFrame) -> DataFrame:
-    relevant = table(spark, d, "eval_queries").select(F.col("id").alias("query_id"), F.explode("relevant_sources").alias("source"))
-    return ev.recall(segments, relevant.join(_asked(spark, d).select("query_id"), "query_id", "left_semi"))
+def _recall(spark: SparkSession, d: str, segments: DataFrame, favored: bool = False) -> DataFrame:
+    q = table(spark, d, "eval_queries").where("graph_favored") if favored else table(spark, d, "eval_queries")
+    asked = _asked(spark, d).select("query_id")
+    return ev.recall(segments, q.select(F.col("id").alias("query_id"), "relevant_sources").join(asked, "query_id", "left_semi"))
 
 
-@query(f"{_graph_sql(_ANCHORS)}, {_RECALL.format('out')} SELECT query_id, round(recall, 6) AS recall FROM rec")
+@query(f"{_graph_sql(_ANCHORS)}, {_RECALL.format('out', '')} SELECT query_id, round(recall, 6) AS recall FROM rec")
 def recall_at_budget(spark, d):
-    return _recall(spark, d, _retriever(spark, d).graph(_asked(spark, d, ARM_BUDGET))).select("query_id", F.round("recall", 6).alias("recall"))
+    return _recall(spark, d, _retriever(spark, d).graph(_asked(spark, d))).select("query_id", F.round("recall", 6).alias("recall"))
 
 
 def _mean_recall(name: str, attrs: bool) -> str:
-    return f"(SELECT round(avg(recall), 6) AS {name} FROM ({_graph_sql(_ANCHORS, attrs=attrs)}, {_RECALL.format('out')} SELECT recall FROM rec))"
+    return f"(SELECT round(avg(recall), 6) AS {name} FROM ({_graph_sql(_ANCHORS, attrs=attrs)}, {_RECALL.format('out', ' WHERE graph_favored')} SELECT recall FROM rec))"
 
 
 @query(f"""SELECT base, variant, round(variant - base, 6) AS delta, CASE WHEN round(variant - base, 6) >= 0.02 THEN 'KEEP' ELSE 'REVERT' END AS verdict
     FROM {_mean_recall('base', False)}, {_mean_recall('variant', True)}""")
 def attrs_delta(spark, d):
-    r, q = _retriever(spark, d), _asked(spark, d, ARM_BUDGET)
-    return ev.verdict(_recall(spark, d, r.graph(q)), _recall(spark, d, r.graph(q, attrs=True)))
+    """Over the questions that a graph should answer best."""
+    r, q = _retriever(spark, d), _asked(spark, d)
+    return ev.verdict(_recall(spark, d, r.graph(q), True), _recall(spark, d, r.graph(q, attrs=True), True))
 
 
 @query("""SELECT count(*) AS n, count(*) FILTER (attack_vs_resistance_confusion) AS confusions, round(coalesce(count(*) FILTER (attack_vs_resistance_confusion) / nullif(count(*), 0), 0), 6) AS rate,
@@ -666,7 +677,7 @@ def regression_check(spark, d):
 
 _BOOT = """w AS (SELECT arm AS g, latency_ms AS x, row_number() OVER (PARTITION BY arm ORDER BY response_id) - 1 AS i FROM responses WHERE latency_ms IS NOT NULL),
     c AS (SELECT g, count(*) AS n, avg(x) AS mean FROM w GROUP BY g HAVING count(*) > 1),
-    sl AS (SELECT w.g, c.n, w.i AS j, b, ('0x' || substr(md5('0:' || w.g || ':' || b || ':' || w.i), 1, 8))::BIGINT % c.n AS i FROM w JOIN c USING (g), range(100) t(b)),
+    sl AS (SELECT w.g, c.n, w.i AS j, b, ('0x' || substr(md5('0:' || w.g || ':' || b || ':' || w.i), 1, 8))::BIGINT % c.n AS i FROM w JOIN c USING (g), range(2000) t(b)),
     mm AS (SELECT sl.g, b, avg(w.x) AS m FROM sl JOIN w ON w.g = sl.g AND w.i = sl.i GROUP BY sl.g, b),
     ci AS (SELECT g, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM mm GROUP BY g),
     boot AS (SELECT c.g AS arm, round(mean, 4) AS mean, round(lo, 4) AS ci_low, round(hi, 4) AS ci_high, n FROM c JOIN ci USING (g))"""
@@ -713,9 +724,11 @@ def targets_of(spark, d):
     return ev.targets_of(g.edges, g.nodes, "inhabits").select("src", F.array_join("labels", ", ").alias("targets"))
 
 
-@query(f"WITH {_G} SELECT dst, count(DISTINCT src) AS callers FROM e WHERE type = 'calls' GROUP BY dst HAVING count(DISTINCT src) BETWEEN 2 AND 25 ORDER BY callers DESC, dst LIMIT 6")
+@query(f"""WITH {_G} SELECT dst, count(*) AS callers FROM e WHERE type = 'calls' AND dst IN (SELECT id FROM n WHERE type = 'function')
+    GROUP BY dst HAVING count(*) BETWEEN 5 AND 25 ORDER BY callers DESC, dst LIMIT 6""")
 def callers_topk(spark, d):
-    return ev.call_targets(store(spark, d).edges, low=2)
+    g = store(spark, d)
+    return ev.call_targets(g.edges, g.nodes)
 
 
 @query(f"WITH {_G} SELECT dst, count(*) AS heirs FROM e WHERE type = 'inherits' GROUP BY dst")

@@ -61,6 +61,7 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        self._tables: list[str] = []
         atexit.register(self.close)
 
     def write(self, df: DataFrame, by: list[str] | None = None) -> tuple[str, DataFrame]:
@@ -75,6 +76,14 @@ class Workspace:
             schema = T.StructType([f for f in schema if f.name not in by] + [schema[c] for c in by])
         return path, self.spark.read.schema(schema).parquet(path)
 
+    def write_bucketed(self, df: DataFrame, by: list[str]) -> DataFrame:
+        """Written as a table of hash buckets, one per shuffle partition, so that joins on ``by`` move the other side only."""
+        self._n += 1
+        name, n = f"t_{uuid.uuid4().hex}", shuffle_partitions(self.spark)
+        df.repartition(n, *by).write.bucketBy(n, *by).sortBy(*by).option("path", f"{self.root}/t{self._n:04d}").saveAsTable(name)
+        self._tables.append(name)
+        return self.spark.table(name)
+
     def read(self, paths: list[str], schema: T.StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*paths)
 
@@ -85,6 +94,8 @@ class Workspace:
 
     def close(self) -> None:
         try:
+            for name in self._tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             self.drop(self.root)
         except Exception:  # the session may be gone already
             pass

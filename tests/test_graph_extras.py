@@ -1,6 +1,9 @@
+import pytest
+
 from conftest import rows
 from tessera.model import EDGE_SCHEMA, NODE_SCHEMA
 from tessera.operators import chunks as ch
+from tessera.operators import code as cd
 from tessera.operators import community as co
 from tessera.operators import evaluation as ev
 from tessera.operators import extraction as ex
@@ -42,14 +45,20 @@ def lines(spark, *rows_):
 
 def test_caps_chunks(spark):
     got = ch.by_caps(lines(spark, (1, "intro", 9.0), (1, "GOBLIN", 14.0), (1, "KUO-TOA", 14.0), (2, "corpo", 9.0), (2, "a", 9.0), (2, "b", 9.0), (2, "13", 14.0), (2, "ORC", 14.0))).orderBy("chunk_no").collect()
-    assert [(r.label, r.text, r.pages) for r in got] == [("p.1", "intro", [1]), ("Goblin", "GOBLIN\ncorpo\na\nb\n13", [1, 2])]
+    assert [(r.label, r.text, r.pages) for r in got] == [("p.1", "intro", [1]), ("Goblin", "GOBLIN\ncorpo\na\nb\n13", [1, 2]), ("Orc", "ORC", [2])]
     assert ch.by_caps(lines(spark, (1, "x", 9.0)).limit(0)).count() == 0
 
 
 def test_markdown_chunks(spark):
-    docs = spark.createDataFrame([(1, "---\nk: v\n---\npre\n# One\na\n## Two\nb\n\n"), (2, None), (3, "")], "doc_id bigint, text string")
-    got = ch.by_heading(ch.markdown_lines(docs)).where("book = '1'").orderBy("chunk_no").collect()
-    assert [(r.label, r.text) for r in got] == [("p.1", "pre"), ("One", "# One\na"), ("Two", "## Two\nb")]
+    docs = spark.createDataFrame([(1, " \n---  \nk: v\n--- \npre\r\n# One\na \n## Two\rb\n \n"), (2, None), (3, "")], "doc_id bigint, text string")
+    got = ch.by_heading(ch.markdown_lines(docs)).orderBy("book", "chunk_no").collect()
+    assert [(r.book, r.label, r.text) for r in got] == [("1", "p.1", "pre"), ("1", "One", "# One\na "), ("1", "Two", "## Two\nb")]
+
+
+def test_stat_block(spark):
+    rows_ = [("FOR\nDES \n CON\nINT\nx",), ("FOR 18\nDES 12\nCON 1\nINT 2\nSAB 3",), ("FOR\nDES\nCON",), (None,)]
+    df = spark.createDataFrame(rows_, "t string")
+    assert [r[0] for r in df.select(ch.has_stat_block(df.t)).collect()][:3] == [True, False, False]
 
 
 def test_merge(spark):
@@ -68,43 +77,90 @@ def test_notes(spark):
     assert [r.attrs for r in e.where("dst = 'dec-0'").collect()] == [{"verb": "supersedes"}]
 
 
-PY = """import os as o, sys
+PY = """from __future__ import annotations
+import os as o, sys
 from collections import deque
-class Base:
-    def greet(self):
-        helper()
-class Worker(Base):
-    def run(self):
-        self.greet()
+from . import near
+from ..up.here import x
+@mark()
+class Shelf:
+    @wrap(arg())
+    def lend(self, n=sort()):
+        sort()
+class Drawer(Shelf, other.Thing, metaclass=M):
+    async def close(self):
+        self.lend()
         nope()
         x[0]()
-def helper():
+        @mark()
+        def late(): pass
+def sort():
     def inner(): pass
-helper()
+def mark(): pass
+sort()
 """
-JAVA = """import java.util.List;
-class Base { void greet() { helper(); } }
-class Worker extends Base implements Runner { void run() { greet(); } }
-interface Runner { }
+PY_EDGES = {
+    ("a.py", "module:os", "imports"), ("a.py", "module:collections", "imports"), ("a.py", "module:.", "imports"), ("a.py", "module:..up.here", "imports"),
+    ("a.py", "a.py::Shelf", "defines"), ("a.py::Shelf", "a.py::Shelf.lend", "defines"), ("a.py", "a.py::Drawer", "defines"), ("a.py::Drawer", "a.py::Drawer.close", "defines"),
+    ("a.py::Drawer.close", "a.py::Drawer.close.late", "defines"), ("a.py", "a.py::sort", "defines"), ("a.py::sort", "a.py::sort.inner", "defines"), ("a.py", "a.py::mark", "defines"),
+    ("a.py::Shelf.lend", "a.py::sort", "calls"), ("a.py::Drawer.close", "a.py::Shelf.lend", "calls"), ("a.py::Drawer.close", "a.py::mark", "calls"), ("a.py::Drawer", "a.py::Shelf", "inherits"),
+}
+JAVA = """package x.y; // class Not { }
+import java.util.List; import static java.lang.Math.*;
+@Tag(value = "class Nope {")
+class Shelf<T extends Comparable<T>> { int n = count(); void lend(@Ann("x") int a, List<T> b) throws E { sort(); new Drawer(sort()); } abstract int size(); Shelf() { super(); sort(); } }
+class Drawer extends Shelf<Key> implements Opens, Closes { void close() { this.lend(1, null); if (open()) { } run(() -> { sort(); }); new Opens() { void turn() { sort(); } }; } }
+interface Opens extends Closes { boolean open(); default void x() { open(); } }
+interface Closes { String s = \"\"\"
+  class InText { } \"\"\"; }
+record Pair(int a, int b) { Pair { sort(); } int sum() { return a + b; } }
+enum Kind { A(1), B { void bend() { } }; Kind(int i) { } int of() { return 1; } }
+@interface Tag { String value(); }
+class Tools { static void sort() { } class Key { } }
 """
+JAVA_EDGES = {
+    ("B.java", "module:java.util.List", "imports"), ("B.java", "module:java.lang.Math", "imports"),
+    *[("B.java", f"B.java::{c}", "defines") for c in ("Shelf", "Drawer", "Opens", "Closes", "Tools", "sum", "bend", "Kind", "of")],
+    ("B.java::Shelf", "B.java::Shelf.lend", "defines"), ("B.java::Shelf", "B.java::Shelf.size", "defines"), ("B.java::Shelf", "B.java::Shelf.Shelf", "defines"),
+    ("B.java::Drawer", "B.java::Drawer.close", "defines"), ("B.java::Drawer.close", "B.java::Drawer.close.turn", "defines"),
+    ("B.java::Opens", "B.java::Opens.open", "defines"), ("B.java::Opens", "B.java::Opens.x", "defines"), ("B.java::Tools", "B.java::Tools.sort", "defines"), ("B.java::Tools", "B.java::Key", "defines"),
+    ("B.java::Shelf.lend", "B.java::Tools.sort", "calls"), ("B.java::Shelf.Shelf", "B.java::Tools.sort", "calls"), ("B.java::Drawer.close", "B.java::Shelf.lend", "calls"),
+    ("B.java::Drawer.close", "B.java::Opens.open", "calls"), ("B.java::Drawer.close", "B.java::Tools.sort", "calls"), ("B.java::Drawer.close.turn", "B.java::Tools.sort", "calls"),
+    ("B.java::Opens.x", "B.java::Opens.open", "calls"),
+    ("B.java::Drawer", "B.java::Opens", "inherits"), ("B.java::Drawer", "B.java::Closes", "inherits"), ("B.java::Drawer", "B.java::Key", "inherits"),
+}
 
 
 def test_code(spark):
     files = spark.createDataFrame([("a.py", PY), ("B.java", JAVA), ("c.txt", "def f(): pass"), ("bad.py", "def ("), ("n.py", None)], "path string, text string")
-    n, e = ex.code_graph(ex.code_facts(files.where("path <> 'B.java'")))
-    have = set(rows(e, "src", "dst", "type"))
-    assert {("a.py", "module:os", "imports"), ("a.py", "module:collections", "imports"), ("a.py::Base", "a.py::Base.greet", "defines"), ("a.py::helper", "a.py::helper.inner", "defines")} <= have
-    assert {x for x in have if x[2] in ("calls", "inherits")} == {("a.py::Base.greet", "a.py::helper", "calls"), ("a.py::Worker.run", "a.py::Base.greet", "calls"), ("a.py::Worker", "a.py::Base", "inherits")}
-    j = set(rows(ex.code_graph(ex.code_facts(files.where("path = 'B.java'")))[1], "src", "dst", "type"))
-    assert {("B.java::Worker", "B.java::Base", "inherits"), ("B.java::Worker", "B.java::Runner", "inherits"), ("B.java::Worker.run", "B.java::Base.greet", "calls"), ("B.java", "module:java.util.List", "imports")} <= j
-    both = ex.resolve_names(ex.code_facts(files))
-    assert both.where("src = 'a.py::Worker.run'").count() == 0  # greet is defined twice now
+    assert set(rows(cd.code_graph(cd.code_facts(files.where("path <> 'B.java'")))[1], "src", "dst", "type")) == PY_EDGES
+    assert set(rows(cd.code_graph(cd.code_facts(files.where("path = 'B.java'")))[1], "src", "dst", "type")) == JAVA_EDGES
+    both = cd.resolve_names(cd.code_facts(files))
+    assert both.where("src = 'a.py::Drawer.close' and kind = 'call'").count() == 1  # lend and sort are defined twice now
+
+
+def test_java_that_breaks_off():
+    for text in ("class A {", "class A { void f(", "class A { int x = (", "}}}", "@", "import", "new", "class", "enum E {", "record R(", "/* open", "class A<B {"):
+        assert cd.java_facts("X.java", text)[0] == ("file", "X.java", None, "X.java")
+
+
+def test_header_fields(spark):
+    text = "---\nrelates_to: [a, 'b']\nrequires: c\nsupersedes:\n  - d\n  - \"e\"\n\n  - lost\nimplements: f\nextends:\n- g\nother: z\n- lost\nreplaces: h, i\ndepends_on: no\nmentions: no\n---\n[l](x y.md) [m](k.md \"T\")"
+    e = ex.note_graph(spark.createDataFrame([("self", text)], "id string, text string"), "id")[1]
+    got = [(r.dst, r.type, r.attrs.get("verb")) for r in e.orderBy("ord").collect()]
+    assert got == [
+        ("a", "relates_to", None), ("b", "relates_to", None), ("c", "requires", None), ("d", "relates_to", "supersedes"), ("e", "relates_to", "supersedes"), ("f", "requires", None),
+        ("g", "relates_to", None), ("h", "relates_to", "replaces"), ("i", "relates_to", "replaces"), ("x y", "references", None), ("k", "references", None),
+    ]
 
 
 def test_evaluation(spark):
-    want = spark.createDataFrame([("q", s) for s in "abcda"] + [("p", "x")], "query_id string, source string")
-    got = spark.createDataFrame([("q", "A"), ("q", "b"), ("q", "x")], "query_id string, source string")
+    want = spark.createDataFrame([("q", list("abcda")), ("p", ["x"])], "query_id string, relevant_sources array<string>")
+    got = spark.createDataFrame([("q", "a"), ("q", "b"), ("q", "B"), ("q", "C"), ("q", "x")], "query_id string, source string")
     assert rows(ev.recall(got, want)) == [("p", 0.0), ("q", 0.5)]
+    for none in ([], None):
+        with pytest.raises(Exception, match="no relevant sources: e"):
+            ev.recall(got, spark.createDataFrame([("e", none)], want.schema)).collect()
     q = spark.createDataFrame([("a", True), ("b", True), ("c", False), ("d", False), ("e", False), ("f", None)], "id string, attack_vs_resistance_confusion boolean")
     assert tuple(ev.confusion(q).first()) == (5, 2, 0.4, "a,b") and ev.confusion(q.limit(0)).first().rate == 0.0
     k = spark.createDataFrame([('["fogo", "frio"]', ["x"]), ("1/4", ["x"]), (None, ["Balor", "Vrock"])], "answer_key string, relevant_labels array<string>")
