@@ -46,3 +46,45 @@ def test_rows(spark):
     assert got == [(1, "empty"), (3, "truncated"), (4, "empty"), (5, "copies_question"), (5, "copies_question")]
     assert pair_defects(responses.limit(0), cases).count() == 0
     assert pair_defects(responses.limit(1), cases.limit(0)).count() == 1
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["Beats me.", "No clue, honestly.", "Não faço a menor ideia.", "The passages provided stay silent on this.", "Que pergunta difícil; passo.", "No puedo responder a esa pregunta.", "Je ne sais pas.",
+     "I can't answer that. " * 40, "Faltam elementos para responder.", "O contexto não menciona isso.", "Unfortunately this is beyond what I can do here.", "I cannot say, " + "and I really mean it, " * 12 + "what the answer is."],
+)
+def test_refusals_follow_the_grammar(text):
+    assert pairs.is_refusal(text)
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["ND 3", "The loader never drops rows.", "Ele não resiste a nada.", "It is called by scan_notes_1 and nothing else.", "Não há resistência a fogo, mas a frio sim.", "The second passage puts it next to Tajiju and adds nothing else of use.",
+     "I am not sure about the rest. It resists fire."],
+)
+def test_answers_are_no_refusals(text):
+    assert not pairs.is_refusal(text)
+
+
+@pytest.mark.parametrize(
+    ("question", "answer", "other"),
+    [("Why does it care?", "Limozu gillar inte när någon kommer för nära, eftersom den är rädd om sina ungar.", True), ("Why does it care?", "On nie lubi, kiedy ktoś podchodzi zbyt blisko, ponieważ boi się o swoje młode.", True),
+     ("Why does it care?", "Nu îi place când cineva se apropie prea mult, pentru că se teme pentru puii săi.", True), ("Por que ele foge?", "Hän ei pidä siitä, että joku tulee liian lähelle, koska pelkää poikastensa puolesta.", True),
+     ("Why does it care?", "The renderer skips our smallest vault without warning, because labels disagree.", False), ("Que danos?", "necrótico; fogo; ácido; veneno; corte", False)],
+)
+def test_languages_by_ngrams(question, answer, other):
+    assert pairs.other_language(answer, question) is other
+
+
+@pytest.mark.parametrize(
+    ("text", "left"),
+    [("<div><p>open", ["<div>", "<p>"]), ("<b>unclosed tag here. Done.", ["<b>"]), ("<b>x</b> ok.", []), ("a < b and c", []), ("- one\n- two\n- ", ["item"]), ("1. a\n2.", ["item"]), ("- foo bar", []), ("<br> ok", []), ("```\n( [\n```", []), ('it is 5" long', [])],
+)
+def test_stack_of_markup_and_lists(text, left):
+    assert pairs.open_at_end(text) == left
+
+
+def test_repeated_questions_of_any_length(spark):
+    q = "What do the notes say about budgets?"
+    assert pairs.copies_question(" ".join([q] * 50), q) and pairs.copies_question("You asked: " + " ".join([q] * 300), q)
+    assert not pairs.copies_question(" ".join([q] * 50) + " They say little.", q)
