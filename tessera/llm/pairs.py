@@ -525,11 +525,11 @@ def truncated(answer: str, contexts: list[str], last_n: int, last_final: int) ->
     return never if last_n == 0 else often if last_n >= OFTEN and last_final == 0 else other
 
 
-_LAST = re.compile(r"([^\W\d_]+(?:[-'’][^\W\d_]+)*)[\W\d_]*$")
+_LAST = re.compile(r"([^\W\d_]+(?:[-'’][^\W\d_]+)*)[\W_]*$")
 
 
 def folded_last(answer: str) -> str:
-    """The last word in lower case and without accents, as the corpus counts have it."""
+    """The last word in lower case and without accents, as the corpus counts have it; empty behind a number, which no count has."""
     m = _LAST.search(unicodedata.normalize("NFC", answer))
     return "".join(c for c in unicodedata.normalize("NFD", m.group(1).lower()) if not unicodedata.combining(c)) if m else ""
 
