@@ -56,7 +56,7 @@ _FUNCTION = {
     "it": "il lo la i gli le un uno una di del della dello dei degli delle in nel nella nei nelle al alla ai e o che si con per ma quando dove come più molto è sono fu essere fino senza su sul sulla tra fra suo sua suoi sue questo questa quello quella lui lei essi anche già solo perché mentre da dal dalla non ha hanno chi quale contro poco allora",
     "nl": "de het een van in op aan en of dat die is zijn was waren met voor maar wanneer waar hoe meer zeer tot zonder over tussen zijn haar hun dit deze hij zij het ook al alleen omdat terwijl sinds niet naar bij uit als nog geen wel er door",
 }
-# Frequent words of further languages, for their character n-grams only.
+# Frequent words of further languages, for their character n-grams only; Catalan, too close to Portuguese, only competes.
 _MORE = {
     "sv": "och att det som en på är av för med den till inte om ett han men var jag sig från vi så kan när år under också efter eller nu sin där vid mot ska skulle kommer ut får finns vara hade alla andra mycket än här då sedan över bara",
     "da": "og at det som en på er af for med den til ikke om et han men var jeg sig fra vi så kan når også efter eller nu sin der ved mod skal skulle kommer ud får være havde alle andre meget end her da siden over kun hvor hvad",
@@ -74,7 +74,7 @@ _LANG = {k: frozenset(_WORDS_OF[k]) for k in _FUNCTION}
 #: A word of several languages says less.
 _SHARES = {w: [(k, 1 / sum(w in own for own in _LANG.values())) for k, own in _LANG.items() if w in own] for words in _LANG.values() for w in words}
 #: How much likelier a word's n-grams must be, per word, in another language; and in how many words at least.
-NGRAM_MARGIN, NGRAM_WORDS = 0.35, 5
+NGRAM_MARGIN, NGRAM_WORDS = 0.4, 6
 
 
 def _grams(word: str) -> list[str]:
@@ -133,7 +133,8 @@ _CLASSES = {
     "A": "responder respondo responderia responda resposta answer answering answered answerable respond response reply responder contestar respuesta repondre reponse help ajudar ayudar aider assist comment comentar speculate especular guess adivinhar arriscar opinar opine opinion discuss discutir provide fornecer oferecer give dar dou esclarecer especificar specify",
     "I": "information informacao informacoes info dados data detail details detalhes detalhe elementos elemento context contexto contextos contexts passage passages trecho trechos texto text texts material materials base basis evidence evidencia excerpt excerpts source sources fonte fontes clue clues idea ideia idee informacion informaciones datos information informations donnees contexte mention mencao mention mentions condicoes records notes provided above grounds",
     "V": "mention mentions mentioned menciona mencionam cover covers address addresses state states consta constam diz dizem diga fala falam trata informa informam appear appears aparece aparecem dice dicen dit",
-    "H": "have has had tenho tem temos ter terei disponho dispoe contain contains contem include includes inclui incluem traz trazem existe existem ha encontro encontrei encontra encontrar find found localizo localizei achei acho see basta bastam permite permitem contiene tengo hay dispose faco fait hago enough sufficient suficiente suficientes available disponivel about",
+    "H": "have has had tenho tem temos ter terei disponho dispoe contain contains contem include includes inclui incluem traz trazem existe existem ha basta bastam permite permitem contiene tengo hay dispose faco fait hago enough sufficient suficiente suficientes available disponivel about",
+    "F": "encontro encontrei encontra encontrar encuentro find found localizo localizei localizar achei acho achar see saw locate trouve vejo vi",
     "S": "silent silence silencio insufficient insuficiente insuficientes lack lacks lacking missing falta faltam faltava faltando faltou carece carecem thin vague vago vaga scarce sparse short little pouco poucas escasso omit omits omisso omissa omitem outside beyond fora alcance escopo scope reach unknown unclear",
     "D": "decline declines declining declino declinar refuse refuses refuso recuso recusar abstain abstenho abster skip passo pass pular passar deixar leave leaving unanswered blank open aside prefiro preferiria prefer rather rehusar rehuso refuser decliner evitar avoid",
     "P": "eu i i'm i'd i'll we me myself je yo nos",
@@ -144,8 +145,8 @@ _PRODUCTIONS = re.compile(
         (
             r"N.{0,4}[MKAD]",  # negation, ability or knowledge: I cannot answer, não sei, je ne sais pas
             r"M.{0,3}N.{0,2}[KA]",  # pode não saber, would not know
-            r"N.{0,5}I|N.{0,3}V",  # negation and what one would have: não tenho dados, does not mention it, no clue, nothing in the text
-            r"I.{0,5}S|I.{0,4}N.{0,3}[HVMKA]",  # a source that is silent: the passages stay silent, o contexto não diz
+            r"N.{0,5}I|N.{0,3}[VF]",  # negation and what one would have: não tenho dados, does not mention it, no clue, nothing in the text
+            r"I.{0,5}S|I.{0,4}N.{0,3}[HVFMKA]",  # a source that is silent: the passages stay silent, o contexto não diz
             r"[HV].{0,3}N.{0,2}I",  # have no information
             r"S.{0,4}[IAM]|S$",  # lack: faltam elementos, too little context, outside my scope
             r"[PM].{0,3}D|^D.{0,6}|D.{0,4}[NA]|D$",  # declining: I'll pass, prefiro não responder, deixar sem resposta
@@ -382,7 +383,7 @@ def other_language(answer: str, question: str | None) -> bool:
     if n < NGRAM_WORDS or score[own] * 5 >= n:  # enough words of the question's own language
         return False
     kind, near = ngram_language(words)
-    return kind not in ("pt", "en") and near[kind] - near[own] >= NGRAM_MARGIN
+    return kind in _MORE and kind != "ca" and near[kind] - near[own] >= NGRAM_MARGIN
 
 
 # -- truncated: pushdown parser ------------------------------------------------------------

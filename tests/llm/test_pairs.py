@@ -51,7 +51,7 @@ def test_rows(spark):
 @pytest.mark.parametrize(
     "text",
     ["Beats me.", "No clue, honestly.", "Não faço a menor ideia.", "The passages provided stay silent on this.", "Que pergunta difícil; passo.", "No puedo responder a esa pregunta.", "Je ne sais pas.",
-     "I can't answer that. " * 40, "Faltam elementos para responder.", "O contexto não menciona isso.", "Unfortunately this is beyond what I can do here.", "I cannot say, " + "and I really mean it, " * 12 + "what the answer is."],
+     "I can't answer that. " * 40, "Faltam elementos para responder.", "O contexto não menciona isso.", "Unfortunately this is beyond what I can do here.", "I could not find anything that settles the matter.", "I cannot say, " + "and I really mean it, " * 12 + "what the answer is."],
 )
 def test_refusals_follow_the_grammar(text):
     assert pairs.is_refusal(text)
