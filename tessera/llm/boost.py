@@ -20,6 +20,7 @@ class Boosted:
     depth: int = 3
     rate: float = 0.25
     l2: float = 1.0
+    sample: float = 1.0  # share of the rows that a tree is grown on, drawn anew for each
     base: float = 0.0
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
 
@@ -36,7 +37,13 @@ class Boosted:
         self.base = float(np.log(p / (1 - p)))
         f = np.full(n, self.base)
         offsets = np.arange(k) * width
+        draw = np.random.default_rng(0)
+        whole = (x, y, binned, f)
         for _ in range(self.rounds):
+            if self.sample < 1:
+                own = np.flatnonzero(draw.random(len(whole[1])) < self.sample)
+                x, y, binned, f = whole[0][own], whole[1][own], whole[2][own], whole[3][own]
+                n = len(own)
             q = 1 / (1 + np.exp(-f))
             g, h = y - q, q * (1 - q)
             size = 2 ** (self.depth + 1) - 1
@@ -62,17 +69,23 @@ class Boosted:
                     feat[m], cut[m] = j, cuts[j][b]
                     node[own] = 2 * m + 1 + (x[own, j] > cut[m])
             self.trees.append((feat, cut, leaf))
-            f += leaf[node]
+            if self.sample < 1:
+                whole[3][:] += self._leaf(self.trees[-1], whole[0])
+            else:
+                f += leaf[node]
         return self
 
+    def _leaf(self, tree: tuple[np.ndarray, np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarray:
+        feat, cut, leaf = tree
+        rows, node = np.arange(len(x)), np.zeros(len(x), int)
+        for _ in range(self.depth):
+            j = feat[node]
+            node = np.where(j >= 0, 2 * node + 1 + (x[rows, np.maximum(j, 0)] > cut[node]), node)
+        return leaf[node]
+
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability of the label."""
         f = np.full(len(x), self.base)
-        rows = np.arange(len(x))
-        for feat, cut, leaf in self.trees:
-            node = np.zeros(len(x), int)
-            for _ in range(self.depth):
-                j = feat[node]
-                node = np.where(j >= 0, 2 * node + 1 + (x[rows, np.maximum(j, 0)] > cut[node]), node)
-            f += leaf[node]
+        for tree in self.trees:
+            f += self._leaf(tree, x)
         return 1 / (1 + np.exp(-f))

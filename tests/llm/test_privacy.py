@@ -26,17 +26,43 @@ def test_kinds(line, kinds):
     assert {s.kind for s in detect([line], models())[0]} == kinds
 
 
-def test_held_out_accuracy():
-    w = _Lines(99)
-    hit = n = 0
-    for i in range(500):
-        kind = KINDS[i % len(KINDS)]
+#: Another writer: names, words before and words behind that the training lines don't have.
+OTHERS = "Przemysław Siobhán Kwame Yuki Ludmila Henrietta Baltasar Wanda Roderick Constança Bartolomeu Imogen Nikolai Mercedes Ottavio Freya Leopold Marisol Zuzanna Desmond".split()
+FAMILIES = "kowalczyk o'reilly adjei hashimoto vasquez-ortega fitzgerald montenegro wójcik sutherland quintana pemberton figueiredo abernathy lindgren castellano brightwater".split()
+FRONT = {
+    "email": "drop a line to|answers go to|correio para|reply-to", "phone": "ring|her number is|numero dele,|pager", "id_number": "taxpayer number|personal number|bilhete de identidade|insurance number",
+    "address": "resides at|delivery point:|correspondencia para|meet me outside", "name": "according to|interview with|carta de|sobrinha de|composer:|drawn by|em memoria de|hired",
+}
+BACK = {k: "|, as agreed|. Thank you|; see below| (confirmed)" for k in FRONT}
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_held_out_writer(kind):
+    w = _Lines(99, given=OTHERS, surnames=FAMILIES, before=FRONT, behind=BACK)
+    hit, n = 0, 200
+    for _ in range(n):
         text, true = w.labelled(kind)
-        found = [s for s in detect([text], models())[0] if s.kind == kind]
-        hit += any(abs(s.start - true[0].start) <= 1 for s in found)
-        n += 1
-    wrong = sum(bool(detect([w.decoy()], models())[0]) for _ in range(300))
-    assert hit / n >= 0.93 and wrong <= 15
+        hit += any(s.kind == kind and abs(s.start - true[0].start) <= 1 for s in detect([text], models())[0])
+    assert hit / n >= (0.45 if kind == "name" else 0.9)  # unknown names behind unknown words are the hardest
+
+
+def test_look_alikes():
+    w = _Lines(98)
+    assert sum(bool(detect([w.decoy()], models())[0]) for _ in range(300)) <= 15
+
+
+@pytest.mark.parametrize("line", ["Interview with Przemysław Kowalczyk", "Thanks, Siobhán O'Reilly", "Contato: Ludmila Vasquez-Ortega", "Dear Yuki Tanaka,"])
+def test_names_of_many_languages(line):
+    assert "name" in {s.kind for s in detect([line], models())[0]}
+
+
+@pytest.mark.parametrize("line", ["She lives at Bergstraße 12.", "mora em Calle Mayor 14", "ship to 12 rue de la Paix", "address: Via Roma, 5"])
+def test_streets_of_many_languages(line):
+    assert "address" in {s.kind for s in detect([line], models())[0]}
+
+
+def test_an_account_is_an_identity_number():
+    assert {s.kind for s in detect(["IBAN DE89 3704 0044 0532 0130 00 on the form"], models())[0]} == {"id_number"}
 
 
 def test_placeholders_keep_the_rest():
