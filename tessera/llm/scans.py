@@ -2,7 +2,8 @@
 
 1. Page edges: every first and last line gets a key that survives misreadings
    (look-alike characters fall together) and numbers; keys, and their beginnings
-   up to a colon, that recur on several pages of a book are running headers.
+   up to a colon, that recur on several pages of a book are titles.  Lines with
+   such a key, or with trigrams like it, are running headers anywhere on a page.
    Decorated numbers are page numbers; a bare number is one if it keeps the
    distance to the page's place that most bare numbers of the book keep.
 2. Reading order: the text line that follows a page's last one is found through
@@ -19,15 +20,15 @@ pages without both have no lines; null lines are blank lines.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.orphans import hot_safe_left_join
 from tessera.workspace import Workspace, spread
 
 #: Pages of a book whose order one task settles.
@@ -35,6 +36,11 @@ BLOCK = 512
 #: A misread form has at most this share of the right word's count; of words of two letters, the second.
 RARE, RARE_SHORT = 0.15, 0.02
 
+#: Words above so many letters are searched by their bones for what two look-alikes can't reach; shorter ones also by trial.
+LONG = 24
+#: Letters that the key of a running header has at least.
+SHORTEST = 5
+
 #: Characters that break words at line ends; the last three are never a compound's own hyphen.
 HYPHENS = "-‐­¬"
 # What scanners make of characters; fixed values, misread form first.
@@ -89,9 +95,10 @@ def number_of(v: str, trimmed: bool = False) -> tuple[int, bool] | None:
     return (int(d), False) if d.isdigit() and (trimmed or any(c.isdigit() for c in v)) else None
 
 
+@functools.lru_cache(maxsize=100_000)
 def page_number(line: str) -> tuple[str, int, bool] | None:
     s = unicodedata.normalize("NFC", line).strip()
-    if not 0 < len(s) <= 24:
+    if not s:
         return None
     for style, p in _STYLES:
         m = p.match(plain(s))
@@ -100,6 +107,7 @@ def page_number(line: str) -> tuple[str, int, bool] | None:
     return None
 
 
+@functools.lru_cache(maxsize=100_000)
 def header_key(line: str) -> tuple[str, str]:
     """Key of a header without its page number, and of its beginning up to a colon."""
     s = _ENDS.sub(" ", plain(line.strip()))
@@ -107,54 +115,98 @@ def header_key(line: str) -> tuple[str, str]:
     return clean(s), clean(s.split(":")[0]) if ":" in s else ""
 
 
+@functools.lru_cache(maxsize=100_000)
 def _title_like(line: str) -> bool:
     s = _ENDS.sub(" ", plain(line.strip())).strip()
-    return bool(s) and not re.search(rf"[.,;!?{re.escape(HYPHENS)}]$", s) and not s[:1].islower() and "," not in s
+    return bool(s) and not re.search(rf"[.,;!?{re.escape(HYPHENS)}]$", s) and not s[:1].islower()
 
 
-_EDGE = "page_id bigint, book string, number int, line_no int, top boolean, key string, head string, title boolean, style string, value int, roman boolean"
+_EDGE = "page_id bigint, book string, number int, line_no int, edge boolean, top boolean, key string, head string, title boolean, style string, value int, roman boolean"
+_NO_TITLE = tuple(".,;!?" + HYPHENS)
 
 
 def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Lines at a page's edges, and lines anywhere in it that look like a title."""
     for b in batches:
         out = []
         for pid, book, number, lines in zip(b["page_id"], b["book"], b["number"], b["lines"], strict=True):
             lines = [x or "" for x in lines] if lines is not None else []
             filled = [i for i, x in enumerate(lines) if x.strip()]
-            for i in sorted({*filled[:2], *filled[-2:]}):
-                outer = i in (filled[0], filled[-1])
-                top = i in filled[:2] and (i == filled[0] or i not in filled[-1:])
-                n = page_number(lines[i])
-                other = filled[0] if top else filled[-1]
-                if not outer and not page_number(lines[other]) and not n:
-                    continue  # a second line counts only beside a page number, or as one
+            near = {*filled[:2], *filled[-2:]}
+            for i in filled:
+                edge = i in near
+                if not edge:
+                    s = lines[i].strip()
+                    if s[-1] in _NO_TITLE or s[0].islower() or not _title_like(s):
+                        continue
+                else:
+                    n, outer = page_number(lines[i]), i in (filled[0], filled[-1])
+                    top = i in filled[:2] and (i == filled[0] or i not in filled[-1:])
+                    if not outer and not n and not page_number(lines[filled[0] if top else filled[-1]]):
+                        edge = False  # a second line counts only beside a page number, or as one
                 key, head = header_key(lines[i])
-                out.append((pid, book, number, i + 1, top, key, head, _title_like(lines[i]), *(n or (None, None, None)), outer))
-        df = pd.DataFrame(out, columns=["page_id", "book", "number", "line_no", "top", "key", "head", "title", "style", "value", "roman", "outer"])
+                if edge:
+                    out.append((pid, book, number, i + 1, True, top, key, head, _title_like(lines[i]), *(n or (None, None, None)), outer))
+                else:
+                    out.append((pid, book, number, i + 1, False, False, key, head, _title_like(lines[i]), None, None, None, True))
+        df = pd.DataFrame(out, columns=["page_id", "book", "number", "line_no", "edge", "top", "key", "head", "title", "style", "value", "roman", "outer"])
         df.loc[~df["outer"].astype(bool) & (df["style"] == "bare"), "style"] = None
         yield df.drop(columns="outer").astype({"value": "Int32", "roman": "boolean"})
 
 
+#: Share of common character trigrams that makes two title keys of a book the same title.
+ALIKE = 0.6
+
+
+def _trigrams(key: Column) -> Column:
+    """Distinct trigrams of a key and its ends."""
+    padded = F.concat(F.lit(" "), key, F.lit(" "))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substring(padded, i, F.lit(3))))
+
+
+def similar_keys(known: DataFrame, others: DataFrame) -> DataFrame:
+    """(book, key) of ``others`` whose trigrams are like those of a known key of the book (both: book, key).
+
+    Only keys that share a trigram meet, each pair counted by its shared trigrams.
+    """
+
+    def grams(df: DataFrame, name: str) -> DataFrame:
+        own = df.select("book", "key", _trigrams(F.col("key")).alias("grams"))
+        return own.select("book", F.col("key").alias(name), F.size("grams").alias(f"n_{name}"), F.explode("grams").alias("g"))
+
+    x = grams(others, "other").join(grams(known, "title"), ["book", "g"]).groupBy("book", "other", "title", "n_other", "n_title").agg(F.count(F.lit(1)).alias("both"))
+    return x.where(F.col("both") >= ALIKE * (F.col("n_other") + F.col("n_title") - F.col("both"))).select("book", F.col("other").alias("key")).distinct()
+
+
 def edge_noise(edges: DataFrame) -> DataFrame:
     """(page_id, line_no, noise) for running headers and page numbers, from ``edges`` as ``_edges`` gives them.
 
+    A title is known if it recurs at the edges of several pages.  Whatever has its
+    key, or trigrams like it, is a running header too, wherever on a page it stands.
     A few lines per page meet small per-book statistics; where a book holds many
     of the pages, the adaptive skew join splits it.
     """
+    outer = edges.where("edge and title")
 
     def recurring(col: str) -> DataFrame:
-        own = edges.where((F.length(col) >= 8) & F.col("title")).select("book", col, "number").distinct()
-        n = own.groupBy("book", col).agg(F.count(F.lit(1)).alias(f"n_{col}"))
-        return n.where((F.col(f"n_{col}") >= 3) | ((F.col(f"n_{col}") == 2) & (F.size(F.split(col, " ")) <= 5)))
-
+        own = edges.where(F.col("title") & (F.length(col) >= SHORTEST)).groupBy("book", F.col(col).alias("key"))
+        n = own.agg(F.count_distinct(F.when(F.col("edge"), F.col("number"))).alias("n"), F.count_distinct("number").alias("pages"))
+        n = n.where(F.col("n") * 2 > F.col("pages"))  # what stands within pages more often than at their edges is text
+        short = F.length("key") < 8
+        return n.where((F.col("n") >= F.when(short, 4).otherwise(3)) | ((F.col("n") == 2) & ~short & (F.size(F.split("key", " ")) <= 5))).select("book", "key")
+
+    keys, heads = recurring("key"), recurring("head")
+    rare = outer.where((F.length("key") >= 8) & F.col("style").isNull()).select("book", "key").distinct().join(keys, ["book", "key"], "left_anti")
+    keys = keys.unionByName(similar_keys(keys.where(F.length("key") >= 8), rare)).withColumn("is_key", F.lit(True))
+    heads = heads.withColumnsRenamed({"key": "head"}).withColumn("is_head", F.lit(True))
     bare = edges.where("style = 'bare' and not roman and number is not null").select("book", "top", "number", (F.col("value") - F.col("number")).alias("shift")).distinct()
     shifts = bare.groupBy("book", "top", "shift").agg(F.count(F.lit(1)).alias("n"))
     best = shifts.groupBy("book").agg(F.max(F.struct("n", "top", "shift")).alias("b")).where("b.n >= 2")
     best = best.select("book", F.col("b.top").alias("b_top"), F.col("b.shift").alias("b_shift"))
-    x = edges.join(recurring("key"), ["book", "key"], "left").join(recurring("head"), ["book", "head"], "left").join(best, "book", "left")
+    x = edges.join(keys, ["book", "key"], "left").join(heads, ["book", "head"], "left").join(best, "book", "left")
     bare_ok = F.col("roman") | ((F.col("top") == F.col("b_top")) & (F.col("value") - F.col("number") == F.col("b_shift")))
     noise = F.when(F.col("style").isin("page", "trim"), "page_number").when((F.col("style") == "bare") & bare_ok, "page_number").when(
-        F.col("title") & F.col("style").isNull() & (F.col("n_key").isNotNull() | F.col("n_head").isNotNull()), "running_header"
+        F.col("title") & F.col("style").isNull() & (F.col("is_key").isNotNull() | (F.col("is_head").isNotNull() & (F.col("head") != ""))), "running_header"
     )
     return x.select("page_id", "line_no", noise.alias("noise")).where("noise is not null")
 
@@ -256,7 +308,7 @@ def neighbours(text: DataFrame) -> DataFrame:
 
 
 def undo(word: str) -> set[str]:
-    """Words of which ``word`` may be a misreading: all symbols, then up to two letter look-alikes undone."""
+    """Words of which ``word`` may be a misreading: all symbols, then one or two letter look-alikes undone."""
     forms = {word}
     if not word.isalpha():
         plain = word
@@ -279,28 +331,63 @@ def undo(word: str) -> set[str]:
                     new.add(f[:i] + b + f[i + len(a) :])
                     i = f.find(a, i + 1)
         out |= new
-        if len(word) > 24 or len(new) > 400:
+        if len(forms) > 1 and len(word) > LONG:
             break
         forms = new
     return out - {word}
 
 
+def explained(word: str, right: str) -> bool:
+    """Whether ``word`` becomes ``right`` by undoing any number of look-alikes, letter by letter."""
+    steps = [*SYMBOLS.items(), *SYMBOLS_TOO.items(), *LETTERS.items()]
+    todo, seen = [(0, 0)], set()
+    while todo:
+        i, j = todo.pop()
+        if (i, j) in seen:
+            continue
+        seen.add((i, j))
+        if i == len(word) and j == len(right):
+            return True
+        if i < len(word) and j < len(right) and word[i] == right[j]:
+            todo.append((i + 1, j + 1))
+        todo += [(i + len(a), j + len(b)) for a, b in steps if word.startswith(a, i) and right.startswith(b, j)]
+    return False
+
+
 def _undone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in _sliced(batches, 1000):
         rows = [(w, n, c, t) for w, n, c in zip(b["word"], b["n"], b["n_cap"], strict=True) for t in undo(w) if t.isalpha() or "-" in t]
         yield pd.DataFrame(rows, columns=["word", "n", "n_cap", "right"])
 
 
+def _boned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield b.assign(bone=[skeleton(w) for w in b["word"]])
+
+
+def _explained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield b[[explained(w, r) for w, r in zip(b["word"], b["right"], strict=True)]]
+
+
 def misreadings(vocabulary: DataFrame) -> DataFrame:
-    """(word, right): words of a vocabulary (word, n, n_cap) that are misread forms of a much commoner word."""
+    """(word, right): words of a vocabulary (word, n, n_cap) that are misread forms of a much commoner word.
+
+    One or two look-alikes are undone by trial.  Beyond that, and for words of any
+    length, words whose look-alikes fall together share a bone, and the commonest
+    word of a bone is tried for the others, if look-alikes explain all differences.
+    """
     known = vocabulary.select(F.col("word").alias("right"), F.col("n").alias("n_right"), F.col("n_cap").alias("cap_right"))
     tries = vocabulary.mapInPandas(_undone, "word string, n bigint, n_cap bigint, right string")
+    boned = vocabulary.mapInPandas(_boned, "word string, n bigint, n_cap bigint, bone string")
+    top = boned.groupBy("bone").agg(F.max_by("word", F.struct("n", "word")).alias("right"), F.count(F.lit(1)).alias("forms")).where("forms > 1").drop("forms")
+    far = boned.join(top, "bone").where("word <> right").select("word", "n", "n_cap", "right").mapInPandas(_explained, "word string, n bigint, n_cap bigint, right string")
     # what always has a capital, beside a word that seldom has one, is a name
     name = (F.col("n") >= 3) & (F.col("n_cap") == F.col("n")) & (F.col("cap_right") * 2 < F.col("n_right")) & F.col("word").rlike(r"^\p{L}+$")
     share = F.when(F.length("right") >= 3, F.lit(RARE)).otherwise(F.lit(RARE_SHORT))
     few = (F.col("n") <= 2) & (F.col("n_right") >= 4 * F.col("n")) & (F.length("right") >= 4)
     odd = F.col("word").rlike(r"[^\p{L}\p{M}'’-]") & (F.length("right") >= 2)
-    hit = tries.join(known, "right").where(~name).where((F.col("n") <= share * F.col("n_right")) | few | odd)
+    hit = tries.unionByName(far).join(known, "right").where(~name).where((F.col("n") <= share * F.col("n_right")) | few | odd)
     return hit.groupBy("word").agg(F.max_by("right", "n_right").alias("right"))
 
 
@@ -338,7 +425,10 @@ class Scans:
         self.tokens = self.ws.write(tokens)[1]
         words = self.tokens.select(F.explode("tokens").alias("t")).where("t.part is null or t.part = 0")
         self.vocabulary = self.ws.write(words.groupBy(F.col("t.word").alias("word")).agg(F.count(F.lit(1)).alias("n"), F.count_if("t.cap").alias("n_cap")))[1]
-        self.forms = self.ws.write(misreadings(self.vocabulary))[1]
+        forms = misreadings(self.vocabulary)
+        signed = self.vocabulary.where(F.col("word").rlike(_SIGN)).select("word")
+        # a misread form is far rarer than its word, so no word of this table holds many of the rows
+        self.forms = self.ws.write(forms.join(signed, "word", "full").select("word", "right"))[1]
 
     def breaks(self) -> DataFrame:
         """(page_id, line_no) of the lines that end inside a word."""
@@ -356,7 +446,7 @@ class Scans:
     def misread(self) -> DataFrame:
         """(page_id, line_no, word, right) of misread words; a broken word counts for the line that has the misread part."""
         t = self.tokens.select("page_id", F.explode("tokens").alias("t")).select("page_id", "t.*")
-        x = hot_safe_left_join(t, self.forms, ["word"]).where(F.col("found") | F.col("word").rlike(_SIGN)).drop("found")
+        x = t.join(self.forms, "word")
 
         def here(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
