@@ -1,18 +1,23 @@
-"""Evaluation texts inside training texts: a positional inverted index.
-
-The index is partitioned by document: every batch of documents is a shard that
-stores the positions of all test terms, sorted by term.  A test text is looked
-up window by window.  Of a window's terms the three rarest in the shard are
-taken; with at most one changed word two of them must stand at their places, so
-their posting lists, each shifted by the term's place in the test text, are
-intersected in pairs.  Every start that survives is compared word by word: a
-phrase match has all words of a window, a proximity match all but one.
-
-The test set is a stated query set of fixed size and is shipped to the workers;
-the corpus is read once and never shuffled.
-
-Defined cases: null, empty and blank texts hold nothing; a test text of fewer
-words than a window is never found; repeated documents are each reported.
+"""Evaluation texts inside training texts: a stored positional inverted index.
+
+``build_index`` writes the postings of all words of all documents, once, as a
+table that can be asked again: every shard of documents gives one row per term
+with the term's documents and positions, so a term that every text has is spread
+over as many rows as there are shards, and no row is shuffled.
+
+``leaks`` asks it.  Of every window of a test text the three rarest terms of the
+corpus are its anchors; with at most one changed word two of them stand at their
+places.  Their postings, each shifted by the anchor's offset, are intersected by
+an aggregation; what two anchors agree on is compared word by word in the
+documents concerned.  A *phrase* has all words of a window; *changed* has one
+other word in place of one; *shifted* has one word more or one less.
+
+Any number of test texts can be asked: nothing of them or of the documents is
+collected.  The one broadcast is a table of at most ``BUCKETS`` hash buckets.
+
+Defined cases: null, empty and blank texts hold nothing; rows without a key are
+left out; a test text of fewer words than a window is never found; repeated
+documents and test items are each reported once per key and item.
 """
 
 from __future__ import annotations
@@ -26,16 +31,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.workspace import spread
+from tessera.workspace import Workspace, spread
 
-#: Words in a row that make a leak, and how many of them may be changed.
+#: Words in a row that make a leak, how many of them may be changed, and the rarest terms that anchor a window.
 WINDOW, CHANGED = 12, 1
-#: Characters of text that make a shard.
-SHARD = 3_000_000
+#: Words of a shard.
+SHARD = 400_000
+#: Hash buckets that tell which documents may be concerned.
+BUCKETS = 1 << 16
 _LINK = re.compile(r"!?\[([^\]\n]*)\]\([^)\n]*\)")
-_TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,80}>|&(?:[a-z]{2,8}|#\d{1,6});")
+_TAG = re.compile(r"</?[a-zA-Z][^<>\n]*>|&(?:[a-z]+|#\d+);")
 _LABEL = re.compile(r"^[\s>*_#\-]*(?:q|a|p|r|question|answer|pergunta|resposta)\s*[*_]*\s*[:.)][*_]*\s", re.I | re.M)
-_GONE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
+_GONE = re.compile("[­​-‏⁠﻿]")
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -46,95 +53,140 @@ def words(text: str | None) -> list[str]:
     text = _GONE.sub("", text)
     if "](" in text:
         text = _LINK.sub(r"\1", text)
-    text = _LABEL.sub(" ", _TAG.sub(" ", text))
+    if "<" in text or "&" in text:
+        text = _TAG.sub(" ", text)
+    text = _LABEL.sub(" ", text)
+    if text.isascii():
+        return _WORD.findall(text.lower())
     text = unicodedata.normalize("NFKD", text)
-    return _WORD.findall("".join(c for c in text if not unicodedata.combining(c)).casefold() if not text.isascii() else text.lower())
-
-
-class Shard:
-    """Positions of the test terms in some documents."""
-
-    def __init__(self, texts: list[str | None], terms: dict[str, int]):
-        gap = np.full(2 * WINDOW, -1, np.int32)
-        parts, owner = [gap], [np.full(len(gap), -1, np.int32)]
-        for i, t in enumerate(texts):
-            ids = np.array([terms.get(w, -1) for w in words(t)], np.int32)
-            parts += [ids, gap]
-            owner += [np.full(len(ids), i, np.int32), np.full(len(gap), -1, np.int32)]
-        self.ids, self.doc = np.concatenate(parts), np.concatenate(owner)
-        held = np.flatnonzero(self.ids >= 0)
-        order = np.argsort(self.ids[held], kind="stable")
-        self.postings = held[order]
-        self.starts = np.searchsorted(self.ids[self.postings], np.arange(len(terms) + 1))
-        self.df = np.diff(self.starts)
-
-    def at(self, term: int) -> np.ndarray:
-        return self.postings[self.starts[term] : self.starts[term + 1]]
-
-    def find(self, test: np.ndarray) -> np.ndarray:
-        """Documents (by number) that hold a window of the test text, and whether as a phrase."""
-        n = len(test) - WINDOW + 1
-        if n < 1:
-            return np.empty((0, 2), np.int64)
-        df = self.df[test]
-        pairs = set()
-        for s in range(n):
-            a = s + np.argsort(df[s : s + WINDOW], kind="stable")[: CHANGED + 2]
-            a.sort()
-            pairs.update((int(a[i]), int(a[j])) for i in range(len(a)) for j in range(i) if df[a[i]] and df[a[j]])
-        starts = [np.intersect1d(self.at(test[i]) - i, self.at(test[j]) - j, assume_unique=True) for i, j in pairs]
-        if not starts:
-            return np.empty((0, 2), np.int64)
-        d = np.unique(np.concatenate(starts))
-        if not len(d):
-            return np.empty((0, 2), np.int64)
-        where = d[:, None] + np.arange(len(test))[None, :]
-        inside = (where >= 0) & (where < len(self.ids))
-        where = np.where(inside, where, 0)
-        same = (self.ids[where] == test[None, :]) & inside
-        run = np.cumsum(np.pad(same, ((0, 0), (1, 0))), axis=1)
-        held = run[:, WINDOW:] - run[:, :-WINDOW]
-        first, last = self.doc[where[:, : n]], self.doc[where[:, WINDOW - 1 :]]
-        hit = (held >= WINDOW - CHANGED) & (first == last) & (first >= 0)
-        k, s = np.nonzero(hit)
-        return np.unique(np.stack([first[k, s], held[k, s] == WINDOW], axis=1), axis=0)
-
-
-def leaks(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", texts: list[list[str]] | None = None) -> DataFrame:
-    """(key, item, phrase boolean) for every document and test item found in it.
-
-    ``texts`` names the test texts of an item as lists of columns to be joined.
-    """
-    texts = texts or [["passage"], ["question", "answer"]]
-    held = [(r[item], [words(" ".join(r[c] or "" for c in cols)) for cols in texts]) for r in tests.collect()]
-    terms: dict[str, int] = {}
-    coded = []
-    for i, seqs in held:
-        for s in seqs:
-            coded.append((i, np.array([terms.setdefault(w, len(terms)) for w in s], np.int32)))
-    kinds = docs.schema[key].dataType.simpleString(), tests.schema[item].dataType.simpleString()
+    return _WORD.findall("".join(c for c in text if not unicodedata.combining(c)).casefold())
+
+
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", shard: int = SHARD) -> DataFrame:
+    """(term, n, keys, positions) of all words of all documents, one row per term and shard; parallel arrays in order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def search(keys: list, bodies: list) -> pd.DataFrame:
-            shard = Shard(bodies, terms)
-            found: dict[tuple[int, object], bool] = {}
-            for i, seq in coded:
-                for doc, phrase in shard.find(seq):
-                    found[int(doc), i] = found.get((int(doc), i), False) or bool(phrase)
-            return pd.DataFrame({"key": [keys[d] for d, _ in found], "item": [i for _, i in found], "phrase": list(found.values())})
-
-        keys, bodies, size = [], [], 0
+        def rows(keys: list, lengths: list[int], tokens: list[str]) -> pd.DataFrame:
+            codes, terms = pd.factorize(np.array(tokens, dtype=object))
+            order = np.argsort(codes, kind="stable")
+            cuts = np.flatnonzero(np.diff(codes[order])) + 1
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            place = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
+            names = np.array(keys, dtype=None if isinstance(keys[0], (int, np.integer)) else object)
+            ks, ps = np.split(names[owner[order]], cuts), np.split(place[order], cuts)
+            return pd.DataFrame({"term": terms, "n": [len(p) for p in ps], "keys": ks, "positions": ps})
+
+        keys, lengths, tokens = [], [], []
         for b in batches:
             for k, t in zip(b["key"], b["text"], strict=True):
-                if isinstance(t, str):
+                own = words(t) if isinstance(t, str) else []
+                if own:
                     keys.append(k)
-                    bodies.append(t)
-                    size += len(t)
-                if size >= SHARD:
-                    yield search(keys, bodies)
-                    keys, bodies, size = [], [], 0
-        if keys:
-            yield search(keys, bodies)
-
-    rows = spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
-    return rows.mapInPandas(run, f"key {kinds[0]}, item {kinds[1]}, phrase boolean").withColumnsRenamed({"key": key, "item": item})
+                    lengths.append(len(own))
+                    tokens += own
+                if len(tokens) >= shard:
+                    yield rows(keys, lengths, tokens)
+                    keys, lengths, tokens = [], [], []
+        if tokens:
+            yield rows(keys, lengths, tokens)
+
+    own = spread(docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")))
+    return own.mapInPandas(run, f"term string, n int, keys array<{_kind(docs, key)}>, positions array<int>")
+
+
+def asked_texts(tests: DataFrame, item: str, texts: list[list[str]]) -> DataFrame:
+    """(item, seq, words) of the test texts, each a list of columns to be joined."""
+    columns = sorted({c for cols in texts for c in cols})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for i, values in zip(b["item"], b[columns].itertuples(index=False), strict=True):
+                have = dict(zip(columns, values, strict=True))
+                rows += [(i, s, words(" ".join(have[c] for c in cols if isinstance(have[c], str)))) for s, cols in enumerate(texts)]
+            yield pd.DataFrame(rows, columns=["item", "seq", "words"])
+
+    own = tests.where(F.col(item).isNotNull()).select(F.col(item).alias("item"), *columns)
+    return own.mapInPandas(run, f"item {_kind(tests, item)}, seq int, words array<string>").where(F.size("words") >= WINDOW)
+
+
+def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Offsets and terms of the rarest terms of all windows of a text."""
+    for b in batches:
+        rows = []
+        for item, seq, own, counts in zip(b["item"], b["seq"], b["words"], b["counts"], strict=True):
+            df = {c["term"]: c["df"] for c in counts} if counts is not None else {}
+            n = np.array([df.get(w, 0) for w in own])
+            picked: set[int] = set()
+            for s in range(len(n) - WINDOW + 1):
+                picked.update((s + np.argsort(n[s : s + WINDOW], kind="stable")[: CHANGED + 2]).tolist())
+            rows += [(item, seq, i, own[i]) for i in sorted(picked) if n[i]]
+        yield pd.DataFrame(rows, columns=["item", "seq", "offset", "term"])
+
+
+def match(doc: list[str], test: list[str], start: int) -> str | None:
+    """How a test text's windows are found around one alignment: "phrase", "changed", "shifted" or not at all."""
+    low, high = max(0, -start), min(len(test), len(doc) - start)
+    same = [doc[start + i] == test[i] for i in range(low, high)]
+    run = sum(same[:WINDOW])
+    best = run if len(same) >= WINDOW else -1
+    for i in range(WINDOW, len(same)):
+        run += same[i] - same[i - WINDOW]
+        best = max(best, run)
+    if best >= WINDOW - CHANGED:
+        return "phrase" if best == WINDOW else "changed"
+    # one word more or less: a run that ends, and one that goes on beside it
+    before = [0] * (len(test) + 1)  # length of the run that ends before i, at this alignment
+    for i in range(len(test)):
+        before[i + 1] = before[i] + 1 if 0 <= start + i < len(doc) and doc[start + i] == test[i] else 0
+    for by in (-1, 1):
+        n = 0
+        for i in range(len(test) - 1, -1, -1):
+            n = n + 1 if 0 <= start + by + i < len(doc) and doc[start + by + i] == test[i] else 0
+            gap = i - 1 if by < 0 else i  # a word of the test that the document lacks stands between
+            if n and gap >= 0 and before[gap] and before[gap] + n + (by < 0) >= WINDOW:
+                return "shifted"
+    return None
+
+
+def leaks(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", texts: list[list[str]] | None = None, index: DataFrame | None = None) -> DataFrame:
+    """(key, item, match) for every document and test item found in it; the best of phrase, changed and shifted.
+
+    ``texts`` names the test texts of an item as lists of columns to be joined;
+    ``index`` is a stored index of the documents, built and written here if not given.
+    """
+    ws = Workspace(docs.sparkSession, "leaks")
+    index = index if index is not None else ws.write(build_index(docs, key, text))[1]
+    asked = ws.write(asked_texts(tests, item, texts or [["passage"], ["question", "answer"]]))[1]
+    terms = asked.select("item", "seq", F.explode(F.array_distinct("words")).alias("term"))
+    df = index.select("term", "n").join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
+    counts = terms.join(df, "term").groupBy("item", "seq").agg(F.collect_list(F.struct("term", "df")).alias("counts"))
+    kind = asked.schema["item"].dataType.simpleString()
+    anchors = ws.write(asked.join(counts, ["item", "seq"]).mapInPandas(_anchors, f"item {kind}, seq int, offset int, term string"))[1]
+    posted = index.select("term", "keys", "positions").join(anchors, "term").select("item", "seq", "offset", F.explode(F.arrays_zip("keys", "positions")).alias("p"))
+    placed = posted.select("item", "seq", F.col("p.keys").alias("key"), (F.col("p.positions") - F.col("offset")).alias("start"))
+    starts = ws.write(placed.groupBy("item", "seq", "key", "start").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("item", "seq", "key", "start"))[1]
+    slot = F.pmod(F.xxhash64("key"), F.lit(BUCKETS))
+    some = F.broadcast(starts.select(slot.alias("slot")).distinct())
+    bodies = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("slot", slot).join(some, "slot", "left_semi").drop("slot")
+    pairs = starts.groupBy("item", "seq", "key").agg(F.array_sort(F.collect_set("start")).alias("starts")).join(asked, ["item", "seq"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, doc = None, []
+        for b in batches:
+            found = []
+            for t, own, at in zip(b["text"], b["words"], b["starts"], strict=True):
+                if t is not last:
+                    last, doc = t, words(t)
+                kinds = {match(doc, list(own), int(s)) for s in at}
+                found.append(next((k for k in ("phrase", "changed", "shifted") if k in kinds), None))
+            out = b[["key", "item"]].assign(match=found)
+            yield out[out["match"].notna()]
+
+    joined = bodies.join(pairs, "key").select("key", "item", "text", "words", "starts")
+    hits = joined.mapInPandas(run, f"key {_kind(docs, key)}, item {kind}, match string").groupBy("key", "item").agg(F.min("match").alias("m"), F.max(F.col("match") == "phrase").alias("phrase"))
+    return hits.select(F.col("key").alias(key), F.col("item").alias(item), F.when(F.col("phrase"), "phrase").otherwise(F.col("m")).alias("match"))
