@@ -139,18 +139,21 @@ def match(doc: list[str], test: list[str], start: int) -> str | None:
         best = max(best, run)
     if best >= WINDOW - CHANGED:
         return "phrase" if best == WINDOW else "changed"
-    # one word more or less: a run that ends, and one that goes on beside it
-    before = [0] * (len(test) + 1)  # length of the run that ends before i, at this alignment
+    return "shifted" if any(_joined(doc, test, a, b) for a, b in ((start, start - 1), (start, start + 1), (start - 1, start), (start + 1, start))) else None
+
+
+def _joined(doc: list[str], test: list[str], first: int, then: int) -> bool:
+    """Whether a run at one alignment goes on at the next, with one word less or more in the document, over a window's length."""
+    ends = [0] * (len(test) + 1)  # length of the run that ends before i
     for i in range(len(test)):
-        before[i + 1] = before[i] + 1 if 0 <= start + i < len(doc) and doc[start + i] == test[i] else 0
-    for by in (-1, 1):
-        n = 0
-        for i in range(len(test) - 1, -1, -1):
-            n = n + 1 if 0 <= start + by + i < len(doc) and doc[start + by + i] == test[i] else 0
-            gap = i - 1 if by < 0 else i  # a word of the test that the document lacks stands between
-            if n and gap >= 0 and before[gap] and before[gap] + n + (by < 0) >= WINDOW:
-                return "shifted"
-    return None
+        ends[i + 1] = ends[i] + 1 if 0 <= first + i < len(doc) and doc[first + i] == test[i] else 0
+    lost, n = then < first, 0
+    for i in range(len(test) - 1, -1, -1):
+        n = n + 1 if 0 <= then + i < len(doc) and doc[then + i] == test[i] else 0
+        gap = i - lost  # where the first run ends: in front of the word that the document lacks
+        if n and gap > 0 and ends[gap] and ends[gap] + n + lost >= WINDOW:
+            return True
+    return False
 
 
 def leaks(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", texts: list[list[str]] | None = None, index: DataFrame | None = None) -> DataFrame:
