@@ -12,8 +12,9 @@ depth, path and number of descendants from them.  Nodes of a core lie on a
 cycle; what hangs below has no root and is reported as such.
 
 Defined cases: rows with a null type, parent or child are no links; repeated
-rows count once; a child with several parents hangs below the smallest one and
-``n_parents`` tells; a row to itself is a cycle of one node.
+rows count once; a child with several parents hangs below the smallest one for
+root, depth and path, and ``n_parents`` tells, while ``states`` takes all its
+parents into account; a row to itself is a cycle of one node.
 """
 
 from __future__ import annotations
@@ -172,6 +173,68 @@ def hierarchy(links: DataFrame, kind: str = "type", parent: str = "src", child:
     )
 
 
+def states(links: DataFrame, kind: str = "type", parent: str = "src", child: str = "dst") -> DataFrame:
+    """(type, id, state) over all distinct links, also where a child has several parents.
+
+    Where no child has, these are the states of ``hierarchy``.  Else the ends of the
+    graph are peeled off, the cycles of the remaining core are its strongly
+    connected parts, found by colours, and what they reach lies below them.
+    """
+    ws = Workspace(links.sparkSession, "states")
+    rows = ws.write(links.select(F.col(kind).alias("t"), F.col(parent).alias("p"), F.col(child).alias("v")).dropna().distinct())[1]
+    if rows.groupBy("t", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return hierarchy(rows, "t", "p", "v", paths=False).select(F.col("type").alias(kind), "id", "state")
+    core, on = _peeled(ws, rows), ws.write(rows.where("p = v").select("t", "v"))[1]
+    core = ws.write(core.where("p <> v"))[1]
+    while not core.isEmpty():
+        colour = _spread(ws, core.select("t", F.col("p").alias("v")).unionByName(core.select("t", "v")).distinct().withColumn("c", F.col("v")), core)
+        inner = core.join(colour, ["t", "v"]).join(colour.select("t", F.col("v").alias("p"), F.col("c").alias("pc")), ["t", "p"]).where("c = pc").select("t", "c", "p", "v")
+        inner = ws.write(inner)[1]
+        part = _reached(ws, inner.where("v = c").select("t", "v").distinct(), inner.select("t", F.col("v").alias("a"), F.col("p").alias("b")))
+        on = ws.write(on.unionByName(part).distinct())[1]
+        tops = colour.where("v = c").select("t", "v").unionByName(part).distinct()
+        core = core.join(tops, ["t", "v"], "left_anti").join(tops.withColumnRenamed("v", "p"), ["t", "p"], "left_anti")
+        core = _peeled(ws, ws.write(core)[1])
+    below = _reached(ws, on, rows.select("t", F.col("p").alias("a"), F.col("v").alias("b")))
+    ids = rows.select("t", "v").unionByName(rows.select("t", F.col("p").alias("v"))).distinct()
+    x = ids.join(on.withColumn("o", F.lit(True)), ["t", "v"], "left").join(below.withColumn("b", F.lit(True)), ["t", "v"], "left")
+    state = F.when(F.col("o"), "on_cycle").when(F.col("b"), "below_cycle").otherwise("tree")
+    return x.select(F.col("t").alias(kind), F.col("v").alias("id"), state.alias("state"))
+
+
+def _peeled(ws: Workspace, core: DataFrame) -> DataFrame:
+    """The links whose parent has a parent and whose child has a child, and so on."""
+    n = core.count()
+    while n:
+        kept = core.join(core.select("t", F.col("v").alias("p")).distinct(), ["t", "p"], "left_semi").join(core.select("t", F.col("p").alias("v")).distinct(), ["t", "v"], "left_semi")
+        core = ws.write(kept.select("t", "p", "v"))[1]
+        n, before = core.count(), n
+        if n == before:
+            break
+    return core
+
+
+def _spread(ws: Workspace, colour: DataFrame, core: DataFrame) -> DataFrame:
+    """Every node with the greatest colour of those that reach it."""
+    while True:
+        got = core.join(colour.select("t", F.col("v").alias("p"), "c"), ["t", "p"]).select("t", "v", "c")
+        new = ws.write(colour.withColumn("old", F.col("c")).unionByName(got.withColumn("old", F.lit(None).cast("string"))).groupBy("t", "v").agg(F.max("c").alias("c"), F.max("old").alias("old")))[1]
+        if new.where("c <> old").isEmpty():
+            return new.select("t", "v", "c")
+        colour = new.select("t", "v", "c")
+
+
+def _reached(ws: Workspace, seeds: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(t, v) of the seeds and all that arcs (t, a, b) lead to from them."""
+    at, front = ws.write(seeds.select("t", "v"))
+    paths = [at]
+    while not front.isEmpty():
+        known = ws.read(paths, front.schema)
+        at, front = ws.write(front.join(arcs, (front.t == arcs.t) & (front.v == arcs.a)).select(front.t, F.col("b").alias("v")).distinct().join(known, ["t", "v"], "left_anti"))
+        paths.append(at)
+    return ws.read(paths, front.schema)
+
+
 def descendants(nodes: DataFrame) -> DataFrame:
     """(type, id, descendant, distance) of all nodes with a path, from the paths."""
     up = nodes.where(F.col("path").isNotNull()).select("type", F.col("id").alias("descendant"), "depth", F.posexplode("path").alias("level", "id"))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.workspace import shuffle_partitions
+from tessera.workspace import Workspace, shuffle_partitions
 
 
 def pieces_of(spark: SparkSession) -> int:
@@ -82,20 +82,21 @@ def key_totals(df: DataFrame, keys: list[str], value: str, at: str, pieces: int
     rows = df.select(
         *[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(value).alias("value"), F.col(at).alias("at")
     )
-    hot = hot_keys(rows, names, pieces).withColumn("key_no", F.row_number().over(Window.orderBy(*names))).select(
+    ws = Workspace(spark, "hotkeys")
+    hot = ws.write(hot_keys(rows, names, pieces).withColumn("key_no", F.row_number().over(Window.orderBy(*names))).select(
         *[F.col(n).alias(f"h_{n}") for n in names], "key_no", "rows_of_all"
-    )
+    ))[1]
     match = F.lit(True)
     for n in names:
         match = match & F.col(n).eqNullSafe(F.col(f"h_{n}"))
 
     # Hot keys: a small integer stands for the key from here on.
-    pre = (
+    pre = ws.write(
         rows.join(F.broadcast(hot), match)
         .groupBy("key_no", "value")
         .agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"), F.first("rows_of_all").alias("rows_of_all"))
         .withColumn("slice", F.pmod(F.xxhash64("value"), F.lit(slices)))
-    )
+    )[1]
     cells = pre.groupBy("key_no", "slice").agg(F.count(F.lit(1)).alias("c"))
     before = Window.partitionBy("key_no").orderBy("slice")
     offsets = cells.select("key_no", "slice", (F.sum("c").over(before) - F.col("c")).alias("offset"))

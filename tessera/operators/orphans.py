@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.hotkeys import hot_keys
@@ -53,14 +53,29 @@ def hot_safe_left_join(left: DataFrame, right: DataFrame, keys: list[str]) -> Da
     return left_hot.join(F.broadcast(right_hot), keys, "left").unionByName(left_cold.join(right, keys, "left"))
 
 
-def orphans(refs: DataFrame, keys: list[str], targets: DataFrame, match: str = "simple") -> DataFrame:
-    """The rows of ``refs`` without a target, one null mask at a time.
+def _reason(at: str) -> Column:
+    """Why a reference made at ``at`` finds no live target; null if it does."""
+    late, gone = F.col("first_at") > F.col(at), F.col("gone_at") <= F.col(at)
+    return F.when(F.col("found").isNull(), "missing").when(late, "late").when(gone, "deleted")
+
+
+def orphans(refs: DataFrame, keys: list[str], targets: DataFrame, match: str = "simple", at: str | None = None) -> DataFrame:
+    """The rows of ``refs`` without a target, one null mask at a time, with a ``reason``.
 
     ``targets`` has the same key columns and may repeat keys.  All columns of
-    ``refs`` are kept; repeated references are all reported.
+    ``refs`` are kept, but for one called ``reason``; repeated references are all reported.
+
+    Undated, every reason is ``missing``.  With ``at``, the time of a reference,
+    targets also have first_at and gone_at, and the join of each mask brings them
+    along: of the targets that match, the first arrival, and the last deletion if
+    all are deleted.  A target that came after the reference is ``late``, one gone
+    by then ``deleted``.  A null time makes a found reference neither.
     """
     if match not in MATCHES:
         raise ValueError(f"match must be one of {MATCHES}")
+    own, names = refs.columns, [f"r_{c}" for c in refs.columns]  # so that no column of the references clashes
+    refs, targets = refs.toDF(*names), targets.withColumnsRenamed({k: f"r_{k}" for k in keys})
+    keys, at = [f"r_{k}" for k in keys], at and f"r_{at}"
     parts = []
     for mask in product((True, False), repeat=len(keys)):
         present = [k for k, there in zip(keys, mask, strict=True) if there]
@@ -70,28 +85,23 @@ def orphans(refs: DataFrame, keys: list[str], targets: DataFrame, match: str = "
         for k, there in zip(keys, mask, strict=True):
             of_mask = of_mask.where(F.col(k).isNotNull() if there else F.col(k).isNull())
         if match == "full" and len(present) < len(keys):
-            parts.append(of_mask)
+            parts.append(of_mask.withColumn("reason", F.lit("missing")))
             continue
-        known = targets.select(*present).dropna().distinct()
-        parts.append(hot_safe_left_join(of_mask, known, present).where(F.col("found").isNull()).select(*refs.columns))
+        known = targets.dropna(subset=present).groupBy(*present)
+        if at is None:
+            found = hot_safe_left_join(of_mask, known.agg(F.lit(1).alias("one")).drop("one"), present)
+            reason = F.when(F.col("found").isNull(), "missing")
+        else:
+            gone = F.when(F.count("gone_at") == F.count(F.lit(1)), F.max("gone_at"))
+            found = hot_safe_left_join(of_mask, known.agg(F.min("first_at").alias("first_at"), gone.alias("gone_at")), present)
+            reason = _reason(at)
+        parts.append(found.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(*refs.columns, "reason"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, own, strict=True) if c != "reason"], "reason")
 
 
 def dated_orphans(refs: DataFrame, key: str, at: str, nodes: DataFrame) -> DataFrame:
-    """``refs`` with a ``reason``: ``missing``, ``late`` or ``deleted``.
-
-    One left join per null mask (one key column: the non-null mask) is both the
-    anti-join that finds missing targets and the lookup of their lifetimes.  A
-    null time makes a found reference neither late nor deleted.
-    """
-    present = refs.where(F.col(key).isNotNull())
-    reason = (
-        F.when(F.col("found").isNull(), "missing")
-        .when(F.col("first_at") > F.col(at), "late")
-        .when(F.col("gone_at") <= F.col(at), "deleted")
-    )
-    joined = hot_safe_left_join(present, lifetimes(nodes, key), [key])
-    return joined.withColumn("reason", reason).where(F.col("reason").isNotNull()).drop("found", "first_at", "gone_at")
+    """``refs`` with a ``reason``, by the lifetimes of the rows of ``nodes`` (key, ord, ingested_at, deleted_at)."""
+    return orphans(refs, [key], lifetimes(nodes, key), at=at)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import node_id
-from tessera.operators.hierarchy import descendants, hierarchy
+from tessera.operators.hierarchy import descendants, hierarchy, states
 from tessera.operators.hotkeys import heavy_share, key_totals
 from tessera.operators.orphans import dated_orphans, orphans
 from tessera.sources.tables import table
@@ -128,11 +128,11 @@ def _trees(spark: SparkSession, d: str, paths: bool = True) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return _trees(spark, d, paths=False).where("state <> 'tree'").select("type", "id", "state")
+    return states(table(spark, d, "edges").where(F.col("type").isin("contains", "defines"))).where("state <> 'tree'")
 
 
 def p5_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return _trees(spark, d).select("type", "id", "root", "depth", F.array_join("path", "\n").alias("path"), "n_descendants", "state")
+    return _trees(spark, d).select("type", "id", "root", "depth", F.array_join("path", "\n").alias("path"), "n_descendants", "state", "n_parents")
 
 
 def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
@@ -141,7 +141,7 @@ def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 _P5 = """
     WITH RECURSIVE rows AS (SELECT DISTINCT type, src, dst FROM edges WHERE type IN ('contains', 'defines') AND src IS NOT NULL AND dst IS NOT NULL),
-    par AS (SELECT type, dst AS id, min(src) AS p FROM rows GROUP BY type, dst),
+    par AS (SELECT type, dst AS id, min(src) AS p, count(*) AS n_parents FROM rows GROUP BY type, dst),
     ids AS (SELECT type, src AS id FROM rows UNION SELECT type, dst FROM rows),
     down AS (
       SELECT type, id, id AS root, 0::BIGINT AS depth, [id] AS path FROM ids WHERE (type, id) NOT IN (SELECT (type, id) FROM par)
@@ -154,13 +154,24 @@ _P5_NODES = f"""{_P5},
       SELECT type, id, count(*) AS n FROM (
         SELECT type, unnest(path) AS id, path[-1] AS d FROM down UNION SELECT type, a, id FROM up) WHERE id <> d GROUP BY type, id)
     SELECT ids.type, ids.id, root, depth, array_to_string(path, chr(10)) AS path,
-           CASE WHEN coalesce(state, '') <> 'on_cycle' THEN coalesce(n, 0) END AS n_descendants, coalesce(state, 'tree') AS state
-    FROM ids LEFT JOIN down USING (type, id) LEFT JOIN states USING (type, id) LEFT JOIN below USING (type, id)"""
+           CASE WHEN coalesce(state, '') <> 'on_cycle' THEN coalesce(n, 0) END AS n_descendants, coalesce(state, 'tree') AS state, coalesce(n_parents, 0) AS n_parents
+    FROM ids LEFT JOIN par USING (type, id) LEFT JOIN down USING (type, id) LEFT JOIN states USING (type, id) LEFT JOIN below USING (type, id)"""
 _P5_DESCENDANTS = f"""{_P5}
     SELECT type, path[i] AS id, path[-1] AS descendant, depth + 1 - i AS distance
     FROM (SELECT type, path, depth, unnest(range(1, depth + 1)) AS i FROM down)"""
 
 
+#: Over all parents: above holds every ancestor that a chain of links within one walk of cycles can give.
+_P5_FOUND = """
+    WITH RECURSIVE rows AS (SELECT DISTINCT type, src, dst FROM edges WHERE type IN ('contains', 'defines') AND src IS NOT NULL AND dst IS NOT NULL),
+    gone(type, id) USING KEY (type, id) AS (SELECT DISTINCT type, src FROM rows WHERE (type, src) NOT IN (SELECT (type, dst) FROM rows)
+      UNION SELECT r.type, r.dst FROM gone g JOIN rows r ON r.type = g.type AND r.src = g.id
+        WHERE NOT EXISTS (SELECT 1 FROM rows o WHERE o.type = r.type AND o.dst = r.dst AND NOT EXISTS (SELECT 1 FROM recurring.gone k WHERE k.type = o.type AND k.id = o.src))),
+    left_ AS MATERIALIZED (SELECT * FROM rows WHERE (type, src) NOT IN (SELECT (type, id) FROM gone)),
+    up AS (SELECT type, dst AS id, src AS a FROM left_ UNION SELECT up.type, up.id, l.src FROM up JOIN left_ l ON l.type = up.type AND l.dst = up.a)
+    SELECT type, id, CASE WHEN bool_or(a = id) THEN 'on_cycle' ELSE 'below_cycle' END AS state FROM up GROUP BY type, id"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (p1_found, p1_totals_dst, p1_totals_type, p1_totals_pair, p3_found, p3_counts, p3_triples, p5_found, p5_nodes, p5_descendants)
     return {f.__name__: f for f in own}
@@ -176,7 +187,7 @@ def oracle_sql() -> dict[str, str]:
         "p3_counts": f"""{_P3} SELECT ref_table, period, field, reason, count(*) AS n_orphans FROM judged WHERE reason IS NOT NULL
             GROUP BY ref_table, period, field, reason""",
         "p3_triples": _P3_TRIPLES,
-        "p5_found": f"{_P5} SELECT type, id, state FROM states",
+        "p5_found": _P5_FOUND,
         "p5_nodes": _P5_NODES,
         "p5_descendants": _P5_DESCENDANTS,
     }

@@ -1,7 +1,7 @@
 import random
 
 from conftest import rows
-from tessera.operators.hierarchy import descendants, hierarchy
+from tessera.operators.hierarchy import descendants, hierarchy, states
 
 
 def brute(links):
@@ -69,3 +69,31 @@ def test_empty_and_descendants(spark):
     assert none.count() == 0
     got = hierarchy(spark.createDataFrame([("t", "a", "b"), ("t", "b", "c")], "type string, src string, dst string"))
     assert rows(descendants(got), "id", "descendant", "distance") == [("a", "b", 1), ("a", "c", 2), ("b", "c", 1)]
+
+
+def by_all_parents(links):
+    rows_ = {x for x in links if None not in x}
+    up = {}
+    for t, p, v in rows_:
+        up.setdefault((t, v), set()).add((t, p))
+    ids = {(t, x) for t, p, v in rows_ for x in (p, v)}
+
+    def above(n):
+        seen, todo = set(), list(up.get(n, ()))
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += up.get(x, ())
+        return seen
+
+    on = {n for n in ids if n in above(n)}
+    return sorted(((*n, "on_cycle" if n in on else "below_cycle" if above(n) & on else "tree") for n in ids), key=repr)
+
+
+def test_states_over_all_parents(spark):
+    r = random.Random(7)
+    links = [("a", "A", "B"), ("a", "B", "B"), ("a", "B", "C"), ("a", "Z", "C"), ("a", None, "C"), ("b", "x", "y")]
+    links += [("r", f"n{r.randrange(40)}", f"n{r.randrange(40)}") for _ in range(38)] + [("s", f"n{r.randrange(40)}", f"n{r.randrange(40)}") for _ in range(60)]
+    got = states(spark.createDataFrame(links, "type string, src string, dst string"))
+    assert rows(got, "type", "id", "state") == by_all_parents(links)

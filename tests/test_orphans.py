@@ -16,7 +16,7 @@ def refs(spark):
 def test_match_semantics(spark):
     t = spark.createDataFrame([("x", "y"), ("x", "y"), ("z", None)], "a string, b string")
     keys = ["a", "b"]
-    r = refs(spark).drop("found")
+    r = refs(spark)
     assert rows(orphans(r, keys, t, "simple"), "n") == [(2,), (6,)]
     assert rows(orphans(r, keys, t, "partial"), "n") == [(2,), (4,), (6,)]
     assert rows(orphans(r, keys, t, "full"), "n") == [(2,), (3,), (4,), (6,)]
@@ -51,3 +51,10 @@ def test_hot_reference(spark):
     r = spark.createDataFrame([(i, "hub" if i % 2 else f"m{i}", day(1)) for i in range(400)], "n int, id string, at timestamp_ntz")
     got = dated_orphans(r, "id", "at", nodes).groupBy("reason").count()
     assert rows(got) == [("late", 200), ("missing", 200)]
+
+
+def test_dated_references_of_two_columns(spark):
+    targets = spark.createDataFrame([("x", "y", day(1), day(3)), ("x", "z", day(5), None), ("w", "y", day(9), None)], "a string, b string, first_at timestamp_ntz, gone_at timestamp_ntz")
+    data = [(1, "x", "y", day(2)), (2, "x", "y", day(4)), (3, "x", None, day(4)), (4, None, "y", day(1)), (5, "w", None, day(1)), (6, "no", None, day(1)), (7, None, None, day(1))]
+    r = spark.createDataFrame(data, "n int, a string, b string, first_at timestamp_ntz")
+    assert rows(orphans(r, ["a", "b"], targets, "partial", at="first_at"), "n", "reason") == [(2, "deleted"), (5, "late"), (6, "missing")]
