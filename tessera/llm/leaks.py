@@ -5,11 +5,12 @@ table that can be asked again: every shard of documents gives one row per term
 with the term's documents and positions, so a term that every text has is spread
 over as many rows as there are shards, and no row is shuffled.
 
-``leaks`` asks it.  Of every window of a test text the three rarest terms of the
-corpus are its anchors; with at most one changed word two of them stand at their
-places.  Their postings, each shifted by the anchor's offset, are intersected by
-an aggregation; what two anchors agree on is compared word by word in the
-documents concerned.  A *phrase* has all words of a window; *changed* has one
+``leaks`` asks it.  Of every window of a test text the five rarest terms of the
+corpus are its anchors; with at most one changed word four of them stand at
+their places, or together at two neighbouring ones if a word is lost or added.
+Their postings, each shifted by the anchor's offset, are intersected by an
+aggregation; what four anchors of a window agree on is compared word by word in
+the documents concerned.  A *phrase* has all words of a window; *changed* has one
 other word in place of one; *shifted* has one word more or one less.
 
 Any number of test texts can be asked: nothing of them or of the documents is
@@ -35,6 +36,8 @@ from tessera.workspace import Workspace, spread
 
 #: Words in a row that make a leak, how many of them may be changed, and the rarest terms that anchor a window.
 WINDOW, CHANGED = 12, 1
+#: Terms that anchor a window; all of them but the changed word stand at their places, or on both sides of a gap.
+ANCHORS = 5
 #: Words of a shard.
 SHARD = 400_000
 #: Hash buckets that tell which documents may be concerned.
@@ -123,7 +126,7 @@ def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             n = np.array([df.get(w, 0) for w in own])
             picked: set[int] = set()
             for s in range(len(n) - WINDOW + 1):
-                picked.update((s + np.argsort(n[s : s + WINDOW], kind="stable")[: CHANGED + 2]).tolist())
+                picked.update((s + np.argsort(n[s : s + WINDOW], kind="stable")[:ANCHORS]).tolist())
             rows += [(item, seq, i, own[i]) for i in sorted(picked) if n[i]]
         yield pd.DataFrame(rows, columns=["item", "seq", "offset", "term"])
 
@@ -139,6 +142,8 @@ def match(doc: list[str], test: list[str], start: int) -> str | None:
         best = max(best, run)
     if best >= WINDOW - CHANGED:
         return "phrase" if best == WINDOW else "changed"
+    if max(best, run) * 2 < WINDOW - 2:  # on one side of a gap stands half a window at least
+        return None
     return "shifted" if any(_joined(doc, test, a, b) for a, b in ((start, start - 1), (start, start + 1), (start - 1, start), (start + 1, start))) else None
 
 
@@ -171,8 +176,14 @@ def leaks(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: str = "t
     kind = asked.schema["item"].dataType.simpleString()
     anchors = ws.write(asked.join(counts, ["item", "seq"]).mapInPandas(_anchors, f"item {kind}, seq int, offset int, term string"))[1]
     posted = index.select("term", "keys", "positions").join(anchors, "term").select("item", "seq", "offset", F.explode(F.arrays_zip("keys", "positions")).alias("p"))
-    placed = posted.select("item", "seq", F.col("p.keys").alias("key"), (F.col("p.positions") - F.col("offset")).alias("start"))
-    starts = ws.write(placed.groupBy("item", "seq", "key", "start").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("item", "seq", "key", "start"))[1]
+    placed = posted.select("item", "seq", "offset", F.col("p.keys").alias("key"), (F.col("p.positions") - F.col("offset")).alias("start"))
+    within = lambda all_: F.array_max(F.transform(all_, lambda o: F.size(F.filter(all_, lambda p: (p >= o) & (p < o + WINDOW)))))
+    agreed = ws.write(placed.groupBy("item", "seq", "key", "start").agg(F.collect_set("offset").alias("offsets")).select("item", "seq", "key", "start", within(F.col("offsets")).alias("n")))[1]
+    place = ["item", "seq", "key", "start"]
+    need = ANCHORS - CHANGED
+    part = agreed.where(f"n < {need} and n >= {(need + 1) // 2}").select(*place, "n", F.explode(F.array(F.col("start") - 1, F.col("start") + 1)).alias("beside"))
+    part = part.join(agreed.select("item", "seq", "key", F.col("start").alias("beside"), F.col("n").alias("m")), ["item", "seq", "key", "beside"]).where(f"n + m >= {need}").select(*place).distinct()
+    starts = ws.write(agreed.where(F.col("n") >= need).select(*place).unionByName(part))[1]
     slot = F.pmod(F.xxhash64("key"), F.lit(BUCKETS))
     some = F.broadcast(starts.select(slot.alias("slot")).distinct())
     bodies = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("slot", slot).join(some, "slot", "left_semi").drop("slot")
