@@ -3,18 +3,16 @@
 ``build_index`` writes the postings of all words of all documents, once, as a
 table that can be asked again: every shard of documents gives one row per term
 with the term's documents and positions, so a term that every text has is spread
-over as many rows as there are shards, and no row is shuffled.
+over as many rows as there are shards.
 
-``leaks`` asks it.  Of every window of a test text the five rarest terms of the
-corpus are its anchors; with at most one changed word four of them stand at
-their places, or together at two neighbouring ones if a word is lost or added.
-Their postings, each shifted by the anchor's offset, are intersected by an
-aggregation; what four anchors of a window agree on is compared word by word in
-the documents concerned.  A *phrase* has all words of a window; *changed* has one
-other word in place of one; *shifted* has one word more or one less.
-
-Any number of test texts can be asked: nothing of them or of the documents is
-collected.  The one broadcast is a table of at most ``BUCKETS`` hash buckets.
+``leaks`` asks it with the test texts, in blocks of ``BLOCK`` items.  The index is
+read for the block's terms only and gathered by shard, which bounds what a task
+holds.  Of every window of a test text the three rarest terms of the shard are
+taken; with at most one changed word two of them stand at their places, so their
+posting lists, each shifted by the term's place, are intersected in pairs.  Every
+start that survives is compared word by word: a *phrase* has all words of a
+window; *changed* has one other word in place of one; *shifted* has one word more
+or one less.
 
 Defined cases: null, empty and blank texts hold nothing; rows without a key are
 left out; a test text of fewer words than a window is never found; repeated
@@ -25,7 +23,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -34,14 +32,12 @@ from pyspark.sql import functions as F
 
 from tessera.workspace import Workspace, spread
 
-#: Words in a row that make a leak, how many of them may be changed, and the rarest terms that anchor a window.
+#: Words in a row that make a leak, and how many of them may be changed.
 WINDOW, CHANGED = 12, 1
-#: Terms that anchor a window; all of them but the changed word stand at their places, or on both sides of a gap.
-ANCHORS = 5
 #: Words of a shard.
 SHARD = 400_000
-#: Hash buckets that tell which documents may be concerned.
-BUCKETS = 1 << 16
+#: Test items that are asked at once: what one call ships to the workers.
+BLOCK = 2000
 _LINK = re.compile(r"!?\[([^\]\n]*)\]\([^)\n]*\)")
 _TAG = re.compile(r"</?[a-zA-Z][^<>\n]*>|&(?:[a-z]+|#\d+);")
 _LABEL = re.compile(r"^[\s>*_#\-]*(?:q|a|p|r|question|answer|pergunta|resposta)\s*[*_]*\s*[:.)][*_]*\s", re.I | re.M)
@@ -70,7 +66,7 @@ def _kind(df: DataFrame, column: str) -> str:
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", shard: int = SHARD) -> DataFrame:
-    """(term, n, keys, positions) of all words of all documents, one row per term and shard; parallel arrays in order."""
+    """(shard, term, keys, positions) of all words of all documents, one row per term and shard; parallel arrays in order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows(keys: list, lengths: list[int], tokens: list[str]) -> pd.DataFrame:
@@ -81,8 +77,13 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", shard:
             place = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
             names = np.array(keys, dtype=None if isinstance(keys[0], (int, np.integer)) else object)
             ks, ps = np.split(names[owner[order]], cuts), np.split(place[order], cuts)
-            return pd.DataFrame({"term": terms, "n": [len(p) for p in ps], "keys": ks, "positions": ps})
+            nonlocal made
+            made += 1
+            return pd.DataFrame({"shard": part * 1_000_000 + made, "term": terms, "keys": ks, "positions": ps})
+
+        from pyspark import TaskContext
 
+        part, made = TaskContext.get().partitionId(), 0
         keys, lengths, tokens = [], [], []
         for b in batches:
             for k, t in zip(b["key"], b["text"], strict=True):
@@ -98,40 +99,60 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", shard:
             yield rows(keys, lengths, tokens)
 
     own = spread(docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")))
-    return own.mapInPandas(run, f"term string, n int, keys array<{_kind(docs, key)}>, positions array<int>")
-
-
-def asked_texts(tests: DataFrame, item: str, texts: list[list[str]]) -> DataFrame:
-    """(item, seq, words) of the test texts, each a list of columns to be joined."""
-    columns = sorted({c for cols in texts for c in cols})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for i, values in zip(b["item"], b[columns].itertuples(index=False), strict=True):
-                have = dict(zip(columns, values, strict=True))
-                rows += [(i, s, words(" ".join(have[c] for c in cols if isinstance(have[c], str)))) for s, cols in enumerate(texts)]
-            yield pd.DataFrame(rows, columns=["item", "seq", "words"])
-
-    own = tests.where(F.col(item).isNotNull()).select(F.col(item).alias("item"), *columns)
-    return own.mapInPandas(run, f"item {_kind(tests, item)}, seq int, words array<string>").where(F.size("words") >= WINDOW)
-
-
-def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Offsets and terms of the rarest terms of all windows of a text."""
-    for b in batches:
-        rows = []
-        for item, seq, own, counts in zip(b["item"], b["seq"], b["words"], b["counts"], strict=True):
-            df = {c["term"]: c["df"] for c in counts} if counts is not None else {}
-            n = np.array([df.get(w, 0) for w in own])
-            picked: set[int] = set()
-            for s in range(len(n) - WINDOW + 1):
-                picked.update((s + np.argsort(n[s : s + WINDOW], kind="stable")[:ANCHORS]).tolist())
-            rows += [(item, seq, i, own[i]) for i in sorted(picked) if n[i]]
-        yield pd.DataFrame(rows, columns=["item", "seq", "offset", "term"])
-
-
-def match(doc: list[str], test: list[str], start: int) -> str | None:
+    return own.mapInPandas(run, f"shard bigint, term string, keys array<{_kind(docs, key)}>, positions array<int>")
+
+
+class Shard:
+    """Words of some documents as numbers of test terms, in reading order, and where each term stands."""
+
+    def __init__(self, terms: np.ndarray, keys: list[np.ndarray], positions: list[np.ndarray], size: int):
+        n = [len(p) for p in positions]
+        every = np.concatenate(keys)
+        self.keys, own = np.unique(every, return_inverse=True)
+        place = np.concatenate(positions).astype(np.int64)
+        last = np.zeros(len(self.keys), np.int64)
+        np.maximum.at(last, own, place)
+        begin = np.cumsum(np.concatenate([[0], last + 1 + 2 * WINDOW])) + 2 * WINDOW
+        self.ids = np.full(int(begin[-1]) + 2 * WINDOW, -1, np.int32)
+        self.doc = np.full(len(self.ids), -1, np.int32)
+        at = begin[own] + place
+        self.ids[at] = np.repeat(terms, n)
+        for d, (a, z) in enumerate(zip(begin[:-1], last, strict=True)):
+            self.doc[a : a + z + 1] = d
+        held = np.flatnonzero(self.ids >= 0)
+        self.postings = held[np.argsort(self.ids[held], kind="stable")]
+        self.starts = np.searchsorted(self.ids[self.postings], np.arange(size + 1))
+        self.df = np.diff(self.starts)
+
+    def find(self, test: np.ndarray) -> dict[int, str]:
+        """Documents (by number) that hold a window of the test text, and how."""
+        df, pairs = self.df[test], set()
+        for s in range(len(test) - WINDOW + 1):
+            a = np.sort(s + np.argsort(df[s : s + WINDOW], kind="stable")[: CHANGED + 2])
+            pairs.update((int(a[i]), int(a[j])) for i in range(len(a)) for j in range(i) if df[a[i]] and df[a[j]])
+        at = lambda i: self.postings[self.starts[test[i]] : self.starts[test[i] + 1]] - i
+        places = [np.intersect1d(at(i), at(j), assume_unique=True) for i, j in pairs]
+        d = np.unique(np.concatenate(places)) if places else np.empty(0, np.int64)
+        out: dict[int, str] = {}
+        if not len(d):
+            return out
+        where = d[:, None] + np.arange(len(test))[None, :]
+        inside = (where >= 0) & (where < len(self.ids))
+        where = np.where(inside, where, 0)
+        same = (self.ids[where] == test[None, :]) & inside
+        run = np.cumsum(np.pad(same, ((0, 0), (1, 0))), axis=1)
+        held = (run[:, WINDOW:] - run[:, :-WINDOW]).max(axis=1)
+        owner, plain = np.where(same, self.doc[where], -1).max(axis=1), test.tolist()
+        for doc, n, k in zip(owner.tolist(), held.tolist(), d.tolist(), strict=True):
+            if n * 2 >= WINDOW - 2 and doc >= 0 and out.get(doc) != "phrase":
+                low = max(0, k - WINDOW)
+                how = match(self.ids[low : k + len(test) + WINDOW].tolist(), plain, k - low)
+                if how and (doc not in out or how < out[doc] or how == "phrase"):
+                    out[doc] = how
+        return out
+
+
+def match(doc: Sequence, test: Sequence, start: int) -> str | None:
     """How a test text's windows are found around one alignment: "phrase", "changed", "shifted" or not at all."""
     low, high = max(0, -start), min(len(test), len(doc) - start)
     same = [doc[start + i] == test[i] for i in range(low, high)]
@@ -147,7 +168,7 @@ def match(doc: list[str], test: list[str], start: int) -> str | None:
     return "shifted" if any(_joined(doc, test, a, b) for a, b in ((start, start - 1), (start, start + 1), (start - 1, start), (start + 1, start))) else None
 
 
-def _joined(doc: list[str], test: list[str], first: int, then: int) -> bool:
+def _joined(doc: Sequence, test: Sequence, first: int, then: int) -> bool:
     """Whether a run at one alignment goes on at the next, with one word less or more in the document, over a window's length."""
     ends = [0] * (len(test) + 1)  # length of the run that ends before i
     for i in range(len(test)):
@@ -169,38 +190,30 @@ def leaks(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: str = "t
     """
     ws = Workspace(docs.sparkSession, "leaks")
     index = index if index is not None else ws.write(build_index(docs, key, text))[1]
-    asked = ws.write(asked_texts(tests, item, texts or [["passage"], ["question", "answer"]]))[1]
-    terms = asked.select("item", "seq", F.explode(F.array_distinct("words")).alias("term"))
-    df = index.select("term", "n").join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
-    counts = terms.join(df, "term").groupBy("item", "seq").agg(F.collect_list(F.struct("term", "df")).alias("counts"))
-    kind = asked.schema["item"].dataType.simpleString()
-    anchors = ws.write(asked.join(counts, ["item", "seq"]).mapInPandas(_anchors, f"item {kind}, seq int, offset int, term string"))[1]
-    posted = index.select("term", "keys", "positions").join(anchors, "term").select("item", "seq", "offset", F.explode(F.arrays_zip("keys", "positions")).alias("p"))
-    placed = posted.select("item", "seq", "offset", F.col("p.keys").alias("key"), (F.col("p.positions") - F.col("offset")).alias("start"))
-    within = lambda all_: F.array_max(F.transform(all_, lambda o: F.size(F.filter(all_, lambda p: (p >= o) & (p < o + WINDOW)))))
-    agreed = ws.write(placed.groupBy("item", "seq", "key", "start").agg(F.collect_set("offset").alias("offsets")).select("item", "seq", "key", "start", within(F.col("offsets")).alias("n")))[1]
-    place = ["item", "seq", "key", "start"]
-    need = ANCHORS - CHANGED
-    part = agreed.where(f"n < {need} and n >= {(need + 1) // 2}").select(*place, "n", F.explode(F.array(F.col("start") - 1, F.col("start") + 1)).alias("beside"))
-    part = part.join(agreed.select("item", "seq", "key", F.col("start").alias("beside"), F.col("n").alias("m")), ["item", "seq", "key", "beside"]).where(f"n + m >= {need}").select(*place).distinct()
-    starts = ws.write(agreed.where(F.col("n") >= need).select(*place).unionByName(part))[1]
-    slot = F.pmod(F.xxhash64("key"), F.lit(BUCKETS))
-    some = F.broadcast(starts.select(slot.alias("slot")).distinct())
-    bodies = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("slot", slot).join(some, "slot", "left_semi").drop("slot")
-    pairs = starts.groupBy("item", "seq", "key").agg(F.array_sort(F.collect_set("start")).alias("starts")).join(asked, ["item", "seq"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, doc = None, []
-        for b in batches:
-            found = []
-            for t, own, at in zip(b["text"], b["words"], b["starts"], strict=True):
-                if t is not last:
-                    last, doc = t, words(t)
-                kinds = {match(doc, list(own), int(s)) for s in at}
-                found.append(next((k for k in ("phrase", "changed", "shifted") if k in kinds), None))
-            out = b[["key", "item"]].assign(match=found)
-            yield out[out["match"].notna()]
-
-    joined = bodies.join(pairs, "key").select("key", "item", "text", "words", "starts")
-    hits = joined.mapInPandas(run, f"key {_kind(docs, key)}, item {kind}, match string").groupBy("key", "item").agg(F.min("match").alias("m"), F.max(F.col("match") == "phrase").alias("phrase"))
-    return hits.select(F.col("key").alias(key), F.col("item").alias(item), F.when(F.col("phrase"), "phrase").otherwise(F.col("m")).alias("match"))
+    texts = texts or [["passage"], ["question", "answer"]]
+    schema = f"key {_kind(docs, key)}, item {_kind(tests, item)}, match string"
+    asked = tests.where(F.col(item).isNotNull()).select(F.col(item).alias("item"), *sorted({c for cols in texts for c in cols}))
+    blocks = max(1, -(-asked.count() // BLOCK))
+    out = None
+    for b in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).collect()
+        part = _block(index, [(r["item"], [words(" ".join(r[c] or "" for c in cols)) for cols in texts]) for r in own], schema)
+        out = part if out is None else out.unionByName(part)
+    best = out.groupBy("key", "item").agg(F.min(F.struct((F.col("match") != "phrase").alias("no"), "match")).alias("m"))
+    return best.select(F.col("key").alias(key), F.col("item").alias(item), F.col("m.match").alias("match"))
+
+
+def _block(index: DataFrame, held: list[tuple[object, list[list[str]]]], schema: str) -> DataFrame:
+    """What a bounded number of test items have in common with the indexed documents."""
+    terms: dict[str, int] = {}
+    coded = [(i, np.array([terms.setdefault(w, len(terms)) for w in s], np.int32)) for i, seqs in held for s in seqs if len(s) >= WINDOW]
+    spark = index.sparkSession
+    numbers = spark.createDataFrame(pd.DataFrame({"term": list(terms), "no": list(terms.values())}), "term string, no int")
+    posted = index.join(F.broadcast(numbers), "term").select("shard", "no", "keys", "positions")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        shard = Shard(rows["no"].to_numpy(np.int32), list(rows["keys"]), list(rows["positions"]), len(terms))
+        found = [(shard.keys[d], i, how) for i, test in coded for d, how in shard.find(test).items()]
+        return pd.DataFrame(found, columns=["key", "item", "match"])
+
+    return posted.groupBy("shard").applyInPandas(run, schema)
