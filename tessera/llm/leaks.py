@@ -66,7 +66,10 @@ def _kind(df: DataFrame, column: str) -> str:
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", shard: int = SHARD) -> DataFrame:
-    """(shard, term, keys, positions) of all words of all documents, one row per term and shard; parallel arrays in order."""
+    """(shard, term, keys, positions) of all words of all documents, one row per term and shard; parallel arrays in order.
+
+    The empty term has the lengths of a shard's documents.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows(keys: list, lengths: list[int], tokens: list[str]) -> pd.DataFrame:
@@ -79,7 +82,8 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", shard:
             ks, ps = np.split(names[owner[order]], cuts), np.split(place[order], cuts)
             nonlocal made
             made += 1
-            return pd.DataFrame({"shard": part * 1_000_000 + made, "term": terms, "keys": ks, "positions": ps})
+            ks, ps = [*ks, names], [*ps, np.array(lengths, np.int32)]  # under the empty term, the lengths of all documents
+            return pd.DataFrame({"shard": part * 1_000_000 + made, "term": [*terms, ""], "keys": ks, "positions": ps})
 
         from pyspark import TaskContext
 
@@ -107,16 +111,17 @@ class Shard:
 
     def __init__(self, terms: np.ndarray, keys: list[np.ndarray], positions: list[np.ndarray], size: int):
         n = [len(p) for p in positions]
-        every = np.concatenate(keys)
-        self.keys, own = np.unique(every, return_inverse=True)
-        place = np.concatenate(positions).astype(np.int64)
+        self.keys, own = np.unique(np.concatenate(keys), return_inverse=True)
+        place, no = np.concatenate(positions).astype(np.int64), np.repeat(terms, n)
         last = np.zeros(len(self.keys), np.int64)
-        np.maximum.at(last, own, place)
+        np.maximum.at(last, own[no < 0], place[no < 0] - 1)  # the lengths
+        own, place, no = own[no >= 0], place[no >= 0], no[no >= 0]
         begin = np.cumsum(np.concatenate([[0], last + 1 + 2 * WINDOW])) + 2 * WINDOW
         self.ids = np.full(int(begin[-1]) + 2 * WINDOW, -1, np.int32)
         self.doc = np.full(len(self.ids), -1, np.int32)
         at = begin[own] + place
-        self.ids[at] = np.repeat(terms, n)
+        self.ids[at] = no
+        self.begin, self.end = begin[:-1], begin[:-1] + last + 1
         for d, (a, z) in enumerate(zip(begin[:-1], last, strict=True)):
             self.doc[a : a + z + 1] = d
         held = np.flatnonzero(self.ids >= 0)
@@ -145,8 +150,8 @@ class Shard:
         owner, plain = np.where(same, self.doc[where], -1).max(axis=1), test.tolist()
         for doc, n, k in zip(owner.tolist(), held.tolist(), d.tolist(), strict=True):
             if n * 2 >= WINDOW - 2 and doc >= 0 and out.get(doc) != "phrase":
-                low = max(0, k - WINDOW)
-                how = match(self.ids[low : k + len(test) + WINDOW].tolist(), plain, k - low)
+                low = max(int(self.begin[doc]), k - WINDOW)
+                how = match(self.ids[low : min(int(self.end[doc]), k + len(test) + WINDOW)].tolist(), plain, k - low)
                 if how and (doc not in out or how < out[doc] or how == "phrase"):
                     out[doc] = how
         return out
@@ -208,7 +213,7 @@ def _block(index: DataFrame, held: list[tuple[object, list[list[str]]]], schema:
     terms: dict[str, int] = {}
     coded = [(i, np.array([terms.setdefault(w, len(terms)) for w in s], np.int32)) for i, seqs in held for s in seqs if len(s) >= WINDOW]
     spark = index.sparkSession
-    numbers = spark.createDataFrame(pd.DataFrame({"term": list(terms), "no": list(terms.values())}), "term string, no int")
+    numbers = spark.createDataFrame(pd.DataFrame({"term": ["", *terms], "no": [-1, *terms.values()]}), "term string, no int")
     posted = index.join(F.broadcast(numbers), "term").select("shard", "no", "keys", "positions")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
