@@ -147,9 +147,12 @@ class Shard:
         same = (self.ids[where] == test[None, :]) & inside
         run = np.cumsum(np.pad(same, ((0, 0), (1, 0))), axis=1)
         held = (run[:, WINDOW:] - run[:, :-WINDOW]).max(axis=1)
-        owner, plain = np.where(same, self.doc[where], -1).max(axis=1), test.tolist()
-        for doc, n, k in zip(owner.tolist(), held.tolist(), d.tolist(), strict=True):
-            if n * 2 >= WINDOW - 2 and doc >= 0 and out.get(doc) != "phrase":
+        plain, near = test.tolist(), np.flatnonzero(held * 2 >= WINDOW - 2)
+        for r in near.tolist():
+            k = int(d[r])
+            for doc in np.unique(self.doc[where[r]][same[r]]).tolist():  # a long test text may lie across several documents
+                if out.get(doc) == "phrase":
+                    continue
                 low = max(int(self.begin[doc]), k - WINDOW)
                 how = match(self.ids[low : min(int(self.end[doc]), k + len(test) + WINDOW)].tolist(), plain, k - low)
                 if how and (doc not in out or how < out[doc] or how == "phrase"):
