@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.model import STRUCTURAL_EDGES
+from tessera.operators import intask
 from tessera.operators.store import GraphStore
 from tessera.workspace import Workspace
 
@@ -54,7 +55,9 @@ def louvain(store: GraphStore, edge_types: Collection[str] = STRUCTURAL_EDGES, r
     """(id, community): levels of local moves and contraction over the structural edges, until contraction changes nothing.
 
     Self-loops are dropped, parallel edges count once, community nodes are left
-    out; a node without structural edges is a community of its own.
+    out; a node without structural edges is a community of its own.  Nodes of a graph
+    that one task holds move one after another, those of a larger one half at a time;
+    either way no node would gain by a move at the end of a level.
     """
     ws = Workspace(store.nodes.sparkSession, "louvain")
     nodes = ws.write(store.nodes.where("type <> 'community'").select(F.col("id").alias("v")))[1]
@@ -62,12 +65,20 @@ def louvain(store: GraphStore, edge_types: Collection[str] = STRUCTURAL_EDGES, r
         F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")
     ).distinct()
     pairs = pairs.join(nodes, "v", "left_semi").join(nodes.withColumnRenamed("v", "u"), "u", "left_semi").select("u", "v")
+    pairs = ws.write(pairs)[1]
+    links = pairs.count()
+    if not links:
+        return nodes.select(F.col("v").alias("id"), F.col("v").alias("community"))
+    if 2 * links <= intask.IN_TASK:
+        found = intask.communities(ws, pairs, rounds)
+        if found is None:
+            raise RuntimeError(f"nodes still gain by moves after {rounds} rounds")
+        alone = nodes.select(F.col("v").alias("id")).join(found.select("id"), "id", "left_anti")
+        return found.unionByName(alone.select("id", F.col("id").alias("c"))).withColumnRenamed("c", "community")
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).withColumn("w", F.lit(1.0))
     arcs = ws.write(both)[1]
     total = arcs.agg(F.sum("w")).first()[0]
     member = nodes.select(F.col("v").alias("id"), F.col("v").alias("c"))
-    if not total:
-        return member.withColumnRenamed("c", "community")
     level = nodes
     before = level.count()
     while True:

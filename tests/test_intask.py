@@ -1,10 +1,11 @@
-"""A graph that one task holds is searched there, with the results of the rounds of joins."""
+"""A graph that one task holds is searched and partitioned there, with the results of the rounds of joins."""
 
 import random
 
 import pytest
 
 from conftest import rows
+from tessera.operators import community as co
 from tessera.operators import intask
 from tessera.operators.store import GraphStore
 from test_store import edges, nodes
@@ -31,3 +32,38 @@ def test_paths_without_rounds_of_joins(spark, monkeypatch, hops):
     got = g.shortest_paths(pairs, hops)
     assert rows(got) == want and len({q for q, _ in want}) > 20
     assert max(len(p) for _, p in want) > 3
+
+
+def test_moves_without_rounds_of_joins(spark, monkeypatch):
+    g = graph(spark, 80, 160, 2, "calls")
+    monkeypatch.setattr(intask, "IN_TASK", 0)
+    joined = co.modularity(co.louvain(g), g).first()[0]
+    monkeypatch.setattr(intask, "IN_TASK", 10**6)
+    monkeypatch.setattr(intask, "MANY", 4)
+    monkeypatch.setattr(co, "_moves", lambda *_: pytest.fail("a round of joins"))
+    p = co.louvain(g)
+    assert rows(p) == rows(co.louvain(g)) and [x[0] for x in rows(p, "id")] == rows_of(g)
+    assert co.modularity(p, g).first()[0] > joined - 0.03
+
+
+def rows_of(g):
+    return [x[0] for x in rows(g.nodes, "id")]
+
+
+def test_no_move_gains_at_the_end_of_a_level():
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    pairs = np.unique(np.sort(r.integers(0, 300, (900, 2)), axis=1), axis=0)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    u, v = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]])
+    c = intask._level(u, v, np.ones(len(u), np.int64), 300, len(u), 1000)
+    k = np.bincount(u, minlength=300)
+    for i in range(300):
+        gain = {}
+        for j in v[u == i]:
+            gain[c[j]] = gain.get(c[j], 0) + len(u)
+        for to in {*gain, c[i]}:
+            rest = sum(k[j] for j in range(300) if c[j] == to and j != i)
+            gain[to] = gain.get(to, 0) - k[i] * rest
+        assert max(gain.values()) == gain[c[i]]
