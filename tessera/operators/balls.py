@@ -89,10 +89,10 @@ class Ball:
     def similar(self, open_: DataFrame, asked: DataFrame, index: DataFrame) -> DataFrame:
         """(q, id, score) of all nodes of a ball that share a word with their question; bags (q, bucket, c, norm) and (key, bucket, c, norm).
 
-        Everything is grouped by node, so the pairs are not moved.
+        The index is stored in buckets of its keys and everything is grouped by node, so neither it nor the pairs are moved.
         """
         q = F.broadcast(asked.join(F.broadcast(open_.select("q")), "q").select("q", "bucket", F.col("c").alias("qc"), F.col("norm").alias("qn")))
-        i = index.select(F.col("key").alias("id"), "bucket", "c", "norm").repartition("id").join(self.nodes.select("id", "base", "bits"), "id")
+        i = index.select(F.col("key").alias("id"), "bucket", "c", "norm").join(self.nodes.select("id", "base", "bits"), "id")
         dots = i.join(q, "bucket").where(has()).groupBy("id", "q", "qn", "norm", "base").agg(F.sum(F.col("qc") * F.col("c")).alias("dot"))
         score = F.lit(self.factor) * (F.col("dot") / F.sqrt((F.col("qn") * F.col("norm")).cast("double"))) + F.col("base")
         return dots.select("q", "id", score.alias("score"))
@@ -105,10 +105,10 @@ class Ball:
         pairs = self.first(open_, m).unionByName(similar).unionByName(own).groupBy("q", "id").agg(F.max("score").alias("score"))
         return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= m).drop("rank")
 
-    def relations(self, pairs: DataFrame, edges: DataFrame) -> DataFrame:
-        """(id, out): of the nodes in ``pairs`` their outgoing edges by arrival, as (ord, rel, bits of the target)."""
+    def relations(self, pairs: DataFrame, edges: DataFrame, few: bool = False) -> DataFrame:
+        """(id, out): of the nodes in ``pairs`` their outgoing edges by arrival, as (ord, rel, bits of the target); few pairs are shipped to the edges."""
         ids = pairs.select(F.col("id").alias("src")).distinct()
         to = self.nodes.select(F.col("id").alias("dst"), F.coalesce("label", "id").alias("to"), "bits")
-        e = edges.select("src", "dst", "type", "ord").join(ids, "src", "left_semi").join(to, "dst")
+        e = edges.select("src", "dst", "type", "ord").join(F.broadcast(ids) if few else ids, "src", "left_semi").join(to, "dst")
         rel = F.struct("ord", F.concat_ws(" ", "type", "to").alias("rel"), "bits")
         return e.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list(rel)).alias("out"))

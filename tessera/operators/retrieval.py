@@ -15,12 +15,14 @@ from tessera.model import OVERLAY_EDGES, OVERLAY_NODES, Subgraph
 from tessera.operators.balls import BLOCK, Ball
 from tessera.operators.similarity import bags, nearest
 from tessera.operators.store import GraphStore
-from tessera.workspace import Workspace
+from tessera.workspace import Workspace, shuffle_partitions
 
 RRF_K = 60
 POOL_BUDGET = 50_000
 #: Segments made at first for a question: some, and one for so many tokens of its budget.
 FIRST, FIRST_COST = 64, 8
+#: Pairs of a question and a node that are shipped to all tasks: a block of questions of 1500 tokens has so many.
+FEW = 1 << 18
 
 Cost = Callable[[Column], Column]
 
@@ -66,7 +68,8 @@ class Retriever:
 
     def label_bags(self) -> DataFrame:
         if self._labels is None:
-            self._labels = bags(self.store.nodes.select(F.col("id").alias("key"), "label"), "key", "label")
+            nodes = self.store.nodes.select(F.col("id").alias("key"), "label")
+            self._labels = bags(nodes.repartition(shuffle_partitions(nodes.sparkSession), "key"), "key", "label")  # the labels move once, and no bag does
         return self._labels
 
     def asked(self, queries: DataFrame) -> DataFrame:
@@ -75,10 +78,14 @@ class Retriever:
     def _best_nodes(self, queries: DataFrame, k: int, overlay: bool) -> DataFrame:
         """(query_id, id, score, rank): the nodes whose label is most like the query, ties by arrival."""
         nodes = self.store.nodes if overlay else self.store.nodes.where(~F.col("type").isin(*OVERLAY_NODES))
-        return nearest(self.asked(queries), self._stored_bags(), k, nodes.select(F.col("id").alias("key"), "ord")).withColumnRenamed("key", "id")
+        return nearest(self.asked(queries), self._stored_bags(), k, nodes.select(F.col("id").alias("key"), "ord"), stored=True).withColumnRenamed("key", "id")
 
     def _expanded(self, queries: DataFrame, seeds: DataFrame, mode: str, attrs: bool, pagerank: DataFrame | None, weight: float, cost: Cost) -> DataFrame:
         """Segments of what the seeds reach; their source is the node's id, which also orders equal scores."""
+        return self._expanded_once(queries, seeds, mode, [attrs], pagerank, weight, cost)[0]
+
+    def _expanded_once(self, queries: DataFrame, seeds: DataFrame, mode: str, attrs: list[bool], pagerank: DataFrame | None, weight: float, cost: Cost) -> list[DataFrame]:
+        """The same for each of ``attrs``: they change the text alone, so all are made of the same nodes."""
         spark = self.store.nodes.sparkSession
         ws = Workspace(spark, "expanded")
         g = self._open_graph()
@@ -90,7 +97,8 @@ class Retriever:
             best = pagerank.agg(F.max("score").alias("m")).scalar()
             pagerank = pagerank.select("id", F.round(F.col("score") / best, 9).alias("pr"))
         count = names.count()
-        found = [names.select("query_id", F.lit("").alias("text"), F.lit("").alias("source"), F.lit(0.0).alias("score"), "budget").limit(0)]
+        texts = [f"text{k}" for k in range(len(attrs))]
+        found = [names.select("query_id", *[F.lit("").alias(t) for t in texts], F.lit("").alias("source"), F.lit(0.0).alias("score"), "budget").limit(0)]
         for b in range(0, count, BLOCK):
             own = names.where(F.col("n").between(b, b + BLOCK - 1)).select("query_id", "budget", (F.col("n") - b).alias("q"))
             roots = seeds.where(F.col("n").between(b, b + BLOCK - 1)).select("id", (F.col("n") - b).alias("q"))
@@ -100,23 +108,27 @@ class Retriever:
         segments = found[0]
         for x in found[1:]:
             segments = segments.unionByName(x)
-        return pack(segments, mode, cost)
+        return [pack(segments.withColumnRenamed(t, "text").select("query_id", "text", "source", "score", "budget"), mode, cost) for t in texts]
 
-    def _packable(self, ws: Workspace, ball: Ball, own: DataFrame, seeds: DataFrame, asked: DataFrame, index: DataFrame, g: GraphStore, attrs: bool, cost: Cost) -> list[DataFrame]:
+    def _packable(self, ws: Workspace, ball: Ball, own: DataFrame, seeds: DataFrame, asked: DataFrame, index: DataFrame, g: GraphStore, attrs: list[bool], cost: Cost) -> list[DataFrame]:
         """The best segments of each question, as many as its budget takes and one more at least, or all.
 
         As many as seem enough are made; a question whose segments end before its
         budget does is asked again for four times as many.
         """
+        texts = [f"text{k}" for k in range(len(attrs))]
         m, parts, open_ = FIRST + own.agg(F.max("budget")).first()[0] // FIRST_COST, [], own
         while True:
             at, pairs = ws.write(ball.best(open_, m, asked, index, seeds))
             kept = F.transform(F.filter("out", lambda x: F.getbit(x["bits"][(F.col("q") / 64).cast("int")], F.col("q") % 64) == 1), lambda x: x["rel"])
-            x = pairs.join(ball.relations(pairs, g.edges), "id", "left").join(g.nodes.select("id", "label", "attrs"), "id").withColumn("rels", F.array_join(kept, "; "))
-            segments = x.join(F.broadcast(open_), "q").select("q", "query_id", node_text(attrs).alias("text"), F.col("id").alias("source"), "score", "budget")
+            few = pairs.count() <= FEW  # then neither the nodes nor the edges are moved to them
+            x = g.nodes.select("id", "label", "attrs").join(F.broadcast(pairs) if few else pairs, "id")
+            x = x.join(ball.relations(pairs, g.edges, few), "id", "left").withColumn("rels", F.array_join(kept, "; "))
+            segments = x.join(F.broadcast(open_), "q").select("q", "query_id", *[node_text(a).alias(t) for a, t in zip(attrs, texts)], F.col("id").alias("source"), "score", "budget")
             segments = ws.write(segments)[1]
             ws.drop(at)
-            made = segments.groupBy("q").agg(F.count(F.lit(1)).alias("made"), F.sum(cost(F.col("text"))).alias("tokens"), F.max("budget").alias("most"))
+            fewest = F.array_min(F.array(*[F.sum(cost(F.col(t))) for t in texts]))
+            made = segments.groupBy("q").agg(F.count(F.lit(1)).alias("made"), fewest.alias("tokens"), F.max("budget").alias("most"))
             short = ws.write(made.where((F.col("made") >= m) & (F.col("tokens") <= F.col("most"))).select("q"))[1]
             parts.append(segments.join(F.broadcast(short), "q", "left_anti").drop("q"))
             if short.isEmpty():
@@ -132,7 +144,8 @@ class Retriever:
 
     def _stored_bags(self) -> DataFrame:
         if self._bags is None:
-            self._bags = Workspace(self.store.nodes.sparkSession, "bags").write(self.label_bags())[1]
+            ws = Workspace(self.store.nodes.sparkSession, "bags")
+            self._bags = ws.write_bucketed(self.label_bags(), ["key"], placed=True)
             self._labels = self._bags
         return self._bags
 
@@ -152,6 +165,11 @@ class Retriever:
         """Anchors by label, expanded; PageRank (id, score) blends into the score if given."""
         return self._expanded(queries, self.seeds(queries), "graph", attrs, pagerank, weight, cost)
 
+    def graph_attrs(self, queries: DataFrame, cost: Cost = token_estimate) -> tuple[DataFrame, DataFrame]:
+        """The graph arm without and with attributes, of one expansion."""
+        plain, shown = self._expanded_once(queries, self.seeds(queries), "graph", [False, True], None, 0.0, cost)
+        return plain, shown
+
     def hybrid(self, queries: DataFrame, k: int = 5, cost: Cost = token_estimate) -> DataFrame:
         """Reciprocal rank fusion of the graph and the vector arm, by lower-case source."""
         return fuse([self.graph(queries, cost=cost), self.vector(queries, k, cost)], queries, cost)

@@ -23,6 +23,8 @@ from tessera.workspace import Workspace
 DIMENSIONS = 4096
 #: A bucket is rare if at most this share of the index holds it.
 RARE = 0.01
+#: Rows of bags of queries that are shipped to all tasks.
+FEW = 1 << 17
 
 
 def bucket(word: Column) -> Column:
@@ -67,27 +69,31 @@ def similarities(queries: DataFrame, index: DataFrame) -> DataFrame:
     return pairs.groupBy("query_id", "key", "qn", "norm").agg(F.sum(F.col("qc") * F.col("c")).alias("dot")).select("query_id", "key", _score(F.col("dot")).alias("score"))
 
 
-def scores_of(pairs: DataFrame, queries: DataFrame, index: DataFrame) -> DataFrame:
-    """(query_id, key, score) above zero of the given pairs (query_id, key) only."""
-    p = pairs.select("query_id", "key").distinct().join(index, "key").join(_asked(queries), ["query_id", "bucket"])
+def scores_of(pairs: DataFrame, queries: DataFrame, index: DataFrame, few: bool = False) -> DataFrame:
+    """(query_id, key, score) above zero of the given pairs (query_id, key) only; few queries are shipped to all tasks."""
+    asked = F.broadcast(_asked(queries)) if few else _asked(queries)
+    p = pairs.select("query_id", "key").distinct().join(index, "key").join(asked, ["query_id", "bucket"])
     return p.groupBy("query_id", "key", "qn", "norm").agg(F.sum(F.col("qc") * F.col("c")).alias("dot")).select("query_id", "key", _score(F.col("dot")).alias("score"))
 
 
-def nearest(queries: DataFrame, index: DataFrame, k: int, tie: DataFrame | None = None, rare: float = RARE) -> DataFrame:
+def nearest(queries: DataFrame, index: DataFrame, k: int, tie: DataFrame | None = None, rare: float = RARE, stored: bool = False) -> DataFrame:
     """(query_id, key, score, rank): the best ``k`` by cosine, exactly as from all pairs.
 
     ``tie`` (key, tie…) orders equal scores by its second column, and only keys in it
-    count; without it the key does.
+    count; without it the key does.  ``stored``: the index is a written table already;
+    if it lies in buckets of its keys, few queries meet it where it lies.
     """
     ws = Workspace(queries.sparkSession, "nearest")
-    (at_asked, asked), (at_index, index) = ws.write(queries), ws.write(index)
+    (at_asked, asked), (at_index, index) = ws.write(queries), (None, index) if stored else ws.write(index)
     own = tie if tie is not None else index.select("key", F.col("key").alias("tie")).distinct()
     by = own.columns[1]
     size = max(index.select("key").distinct().count() * rare, k)
     at_freq, freq = ws.write(index.groupBy("bucket").agg(F.count(F.lit(1)).alias("df")))
     kept = F.broadcast(freq.where(F.col("df") <= size).select("bucket"))
-    some = _asked(asked).join(kept, "bucket", "left_semi").select("query_id", "bucket").join(index.select("key", "bucket"), "bucket").select("query_id", "key")
-    at_first, first = ws.write(scores_of(some, asked, index).join(own, "key"))
+    few = asked.count() <= FEW
+    words = asked.join(kept, "bucket", "left_semi").select("query_id", "bucket")
+    some = index.select("key", "bucket").join(F.broadcast(words) if few else words, "bucket").select("query_id", "key")
+    at_first, first = ws.write(scores_of(some, asked, index, few).join(own, "key"))
     best = top(first, k, by)
     reached = best.where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
     rest = asked.join(kept, "bucket", "left_anti").groupBy("query_id", "norm").agg(F.sum(F.col("c") * F.col("c")).alias("r"))
@@ -98,7 +104,8 @@ def nearest(queries: DataFrame, index: DataFrame, k: int, tie: DataFrame | None
         best = top(first.join(open_, "query_id", "left_anti").select("query_id", "key", "score", by).unionByName(whole), k, by)
     best = ws.write(best)[1]
     for at in (at_asked, at_index, at_freq, at_first, at_open):
-        ws.drop(at)
+        if at:
+            ws.drop(at)
     return best
 
 

@@ -37,6 +37,7 @@ class GraphStore:
         self.edges = _linked(self.nodes, edges.select(*_EDGE))
         self._raw_edges = edges.select(*_EDGE)
         self._around: tuple[DataFrame, DataFrame] | None = None
+        self._arrived: DataFrame | None = None
 
     @classmethod
     def from_arrivals(cls, nodes: DataFrame, edges: DataFrame) -> GraphStore:
@@ -46,7 +47,7 @@ class GraphStore:
         now = last_wins(rows, ["id"]).where("not gone").drop("gone")
         arrived = edges.select(*_EDGE).where("src is not null and dst is not null and type is not null")
         g = _trusted(now, last_wins(_linked(now, arrived), ["src", "dst", "type"]))
-        g._raw_edges = last_wins(arrived, ["src", "dst", "type"])
+        g._raw_edges, g._arrived = last_wins(arrived, ["src", "dst", "type"]), arrived
         return g
 
     def upsert_nodes(self, new: DataFrame) -> GraphStore:
@@ -58,7 +59,21 @@ class GraphStore:
     def stored(self) -> GraphStore:
         """The same graph over tables written to the shared folder: what reads it more than once then reads files."""
         ws = Workspace(self.nodes.sparkSession, "graph")
-        return _trusted(ws.write(self.nodes)[1], ws.write(self.edges)[1])
+        nodes = ws.write(self.nodes)[1]
+        edges = self.edges if self._arrived is None else last_wins(_linked(nodes, self._arrived), ["src", "dst", "type"])  # the nodes are not made once more
+        return _trusted(nodes, ws.write(edges)[1])
+
+    def bare(self) -> GraphStore:
+        """The same graph, its edges without their attributes; those don't move then."""
+        drop = lambda e: e.withColumn("attrs", F.lit(None).cast(e.schema["attrs"].dataType)).select(*_EDGE)
+        if self._arrived is not None:
+            g = _trusted(self.nodes, last_wins(_linked(self.nodes, drop(self._arrived)), ["src", "dst", "type"]))
+            g._arrived = drop(self._arrived)
+            g._raw_edges = last_wins(g._arrived, ["src", "dst", "type"])
+            return g
+        g = _trusted(self.nodes, drop(self.edges))
+        g._raw_edges = drop(self._raw_edges)
+        return g
 
     def with_edges(self, edges: DataFrame) -> GraphStore:
         """The same nodes with edges that are known to lie between them."""
@@ -260,5 +275,5 @@ def _linked(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _trusted(nodes: DataFrame, edges: DataFrame) -> GraphStore:
     g = GraphStore.__new__(GraphStore)
-    g.nodes, g.edges, g._raw_edges, g._around = nodes, edges, edges, None
+    g.nodes, g.edges, g._raw_edges, g._around, g._arrived = nodes, edges, edges, None, None
     return g

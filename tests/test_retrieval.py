@@ -98,3 +98,14 @@ def test_nearest_equals_all_pairs(spark, rare):
     q = bags(asked, "query_id", "text")
     want = rows(top(similarities(q, index), 4, "key"), "query_id", "key", "rank")
     assert rows(nearest(q, index, 4, rare=rare), "query_id", "key", "rank") == want
+
+
+def test_both_graph_arms_of_one_expansion(spark, beasts, monkeypatch):
+    """Texts with and without attributes are those of the two arms; the graph is expanded once, and the bags are moved by no join."""
+    q = ask(spark, "goblin", "caverna fogo", budget=6)
+    want = [rows(beasts.graph(q, attrs=a)) for a in (False, True)]
+    calls, made = [], GraphStore.reach_bits
+    monkeypatch.setattr(GraphStore, "reach_bits", lambda *x: calls.append(1) or made(*x))
+    assert [rows(x) for x in beasts.graph_attrs(q)] == want and want[0] != want[1]
+    assert len(calls) == 1
+    assert beasts._stored_bags().groupBy("key").count()._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0

@@ -88,3 +88,14 @@ def test_arrivals(spark):
     gone = nodes(spark, "b", start=9).withColumn("deleted_at", F.lit("2024-01-01").cast("timestamp_ntz"))
     g = GraphStore.from_arrivals(n.unionByName(gone), edges(spark, ("a", "b", "calls")))
     assert rows(g.nodes, "id") == [("a",)] and g.edges.count() == 0
+
+
+def test_bare_edges_of_arrivals(spark):
+    """The same edges as with attributes, also through stored(), which makes the nodes once; deleted ends and older rows stay gone."""
+    n = spark.createDataFrame([("a", "entity", "A", {}, 0), ("b", "entity", "B", {}, 1), ("c", "entity", "C", {}, 2)], NODE_SCHEMA).selectExpr("*", "if(id = 'c', timestamp'2024-01-01', null) deleted_at")
+    e = spark.createDataFrame([("a", "b", "resists", {"x": "1"}, 0), ("a", "b", "resists", {"x": "2"}, 5), ("b", "c", "resists", {}, 1), ("b", "a", "calls", {}, 2)], EDGE_SCHEMA)
+    g = GraphStore.from_arrivals(n, e)
+    want = [("a", "b", "resists", 5), ("b", "a", "calls", 2)]
+    for x in (g, g.stored(), g.bare(), g.bare().stored()):
+        assert rows(x.edges, "src", "dst", "type", "ord") == want
+    assert g.bare().stored().edges.where("attrs is not null").isEmpty() and not g.stored().edges.where("attrs is not null").isEmpty()
