@@ -109,3 +109,23 @@ def test_both_graph_arms_of_one_expansion(spark, beasts, monkeypatch):
     assert [rows(x) for x in beasts.graph_attrs(q)] == want and want[0] != want[1]
     assert len(calls) == 1
     assert beasts._stored_bags().groupBy("key").count()._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
+
+
+@pytest.mark.parametrize("few", [0, 1 << 17])
+def test_nearest_moves_the_index_for_many_questions_only(spark, monkeypatch, few):
+    """Questions of common words alone meet all of the index; few of them are shipped to it."""
+    from tessera.operators import similarity
+
+    index = bags(spark.createDataFrame([(i, "de " + "abc"[i % 3]) for i in range(30)], "key int, text string"), "key", "text")
+    q = bags(spark.createDataFrame([("q0", "de a"), ("q1", "de"), ("q2", "c")], "query_id string, text string"), "query_id", "text")
+    want = rows(top(similarities(q, index), 4, "key"), "query_id", "key", "rank", "score")
+    calls = []
+    monkeypatch.setattr(similarity, "FEW", few)
+    monkeypatch.setattr(similarity, "similarities", lambda *x: calls.append(1) or similarities(*x))
+    assert rows(nearest(q, index, 4), "query_id", "key", "rank", "score") == want
+    assert bool(calls) == (few == 0)
+
+
+def test_bags_of_texts_are_moved_by_no_join(spark, beasts):
+    assert beasts.vector(ask(spark, "fogo goblin"), k=1).first().source == "Goblin"
+    assert "Exchange" not in beasts._texts.groupBy("key").count()._jdf.queryExecution().executedPlan().toString()
