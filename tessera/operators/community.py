@@ -12,6 +12,9 @@ from tessera.operators import intask
 from tessera.operators.store import GraphStore
 from tessera.workspace import Workspace
 
+#: Rounds of a level in which half of the nodes move at a time, which needn't end.
+ROUNDS = 10_000
+
 
 def community_id(members: Column) -> Column:
     """Stable id of a sorted member array."""
@@ -51,13 +54,14 @@ def _moves(ws: Workspace, arcs: DataFrame, nodes: DataFrame, total: float, round
     raise RuntimeError(f"nodes still gain by moves after {rounds} rounds")
 
 
-def louvain(store: GraphStore, edge_types: Collection[str] = STRUCTURAL_EDGES, rounds: int = 10_000) -> DataFrame:
+def louvain(store: GraphStore, edge_types: Collection[str] = STRUCTURAL_EDGES, rounds: int | None = None) -> DataFrame:
     """(id, community): levels of local moves and contraction over the structural edges, until contraction changes nothing.
 
     Self-loops are dropped, parallel edges count once, community nodes are left
     out; a node without structural edges is a community of its own.  Nodes of a graph
     that one task holds move one after another, those of a larger one half at a time;
-    either way no node would gain by a move at the end of a level.
+    either way no node would gain by a move at the end of a level.  Moves one after another
+    end by themselves, in as many rounds as they take; those of halves have ``ROUNDS``.
     """
     ws = Workspace(store.nodes.sparkSession, "louvain")
     nodes = ws.write(store.nodes.where("type <> 'community'").select(F.col("id").alias("v")))[1]
@@ -82,7 +86,7 @@ def louvain(store: GraphStore, edge_types: Collection[str] = STRUCTURAL_EDGES, r
     level = nodes
     before = level.count()
     while True:
-        label = _moves(ws, arcs, level, total / 2, rounds)
+        label = _moves(ws, arcs, level, total / 2, ROUNDS if rounds is None else rounds)
         label = ws.write(label)[1]
         member = ws.write(member.join(label.select(F.col("v").alias("c"), F.col("c").alias("to")), "c").select("id", F.col("to").alias("c")))[1]
         level = ws.write(label.select(F.col("c").alias("v")).distinct())[1]

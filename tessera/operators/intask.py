@@ -168,33 +168,41 @@ def _summed(keys, w):
     return keys[first], np.add.reduceat(w[order], first)
 
 
-def _level(u, v, w, n: int, total: int, rounds: int) -> list[int] | None:
-    """The community of each node when none would gain by a move, or None after ``rounds``.
+def _level(u, v, w, n: int, total: int, rounds: int | None) -> list[int] | None:
+    """The community of each node when none would gain by a move, or None after ``rounds``, if given.
 
-    Nodes move one after another, so modularity rises with each move.  A round takes
-    the nodes whose neighbours have moved; without any it looks for nodes that would
-    gain, and there it ends if there are none.  Gains are whole numbers: ``total``
-    times the weight into a community less the product of the degrees.
+    Nodes move one after another, so modularity rises with each move and the moves end.
+    A round takes the nodes whose neighbours have moved; without any it looks for nodes
+    that would gain, and there it ends if there are none.  Gains are whole numbers:
+    ``total`` times the weight into a community less the product of the degrees.
+
+    A node whose neighbours stay can gain only by changed sizes, and a size changes by
+    the degrees that move: until these make up for what it would lose, it isn't looked at.
     """
+    from itertools import count
+
     import numpy as np
 
     degree = np.bincount(u, weights=w, minlength=n).astype(np.int64)
     apart = np.flatnonzero(u != v)
     apart = apart[np.argsort(u[apart], kind="stable")]
     u, to, w, k = u[apart], v[apart], w[apart], degree.tolist()
-    begin = np.concatenate([[0], np.cumsum(np.bincount(u, minlength=n))]).tolist()
-    hub = bytearray((np.diff(begin) > MANY).astype(np.uint8))  # looked at again only where it would gain, not after each move around it
+    first = np.concatenate([[0], np.cumsum(np.bincount(u, minlength=n))])
+    many, begin = np.diff(first) > MANY, first.tolist()
+    hub = bytearray(many.astype(np.uint8))  # looked at again only where it would gain, not after each move around it
     c, size, sweep, waits = list(range(n)), list(k), range(n), bytearray(hub)
-    around, stale = None, np.ones(n, bool)  # weights into the communities around a node, and where they have changed
-    for _ in range(rounds):
+    at, large = np.arange(n), degree.copy()  # c and size once more
+    stale, until, moved = np.ones(n, bool), np.zeros(n, np.int64), 0  # a neighbour or the node has moved; the moved degree up to which it can't gain
+    for _ in count() if rounds is None else range(rounds):
         if not sweep:
-            at, large = np.array(c), np.array(size)
-            if around is not None and stale.sum() * 10 <= n:
-                sweep = _gaining(around, stale, degree, at, large, total)
-            if not sweep:
-                around, stale[:] = _around(u, to, w, at), False
-                sweep = _gaining(around, stale, degree, at, large, total)
-            if not sweep:
+            for part in (~many, many):
+                due = np.flatnonzero(part & (stale | (until < moved)))
+                slack = _slack(due, first, to, w, degree, at, large, total)
+                stale[due], until[due] = False, moved + slack // np.maximum(2 * degree[due], 1)
+                sweep = due[slack < 0].tolist()
+                if sweep:
+                    break
+            else:
                 return c
         again = set()
         for i in sweep:
@@ -214,36 +222,36 @@ def _level(u, v, w, n: int, total: int, rounds: int) -> list[int] | None:
                 if gain > best or gain == best > stay and to_c < goal:
                     best, goal = gain, to_c
             if goal != own:
-                c[i] = goal
+                c[i] = at[i] = goal
                 size[own] -= deg
                 size[goal] += deg
-                stale[to[lo:hi]] = True
+                large[own], large[goal] = size[own], size[goal]
+                moved += deg
+                stale[to[lo:hi]] = stale[i] = True
                 again.update(j for j in beside if c[j] != goal and not waits[j])
         sweep = sorted(again)
     return None
 
 
-def _around(u, v, w, c) -> tuple:
-    """(nodes, communities, weights) of the arcs, which have no loops."""
-    n = len(c)
-    key, near = _summed(u * n + c[v], w)
-    return key // n, key % n, near
-
-
-def _gaining(around: tuple, stale, degree, c, size, total: int) -> list[int]:
-    """The nodes that would gain by a move, all looked at together; without the stale ones."""
+def _slack(some, first, to, w, degree, c, size, total: int):
+    """What each of some nodes would lose at least by a move, all looked at together; below zero it would gain."""
     import numpy as np
 
-    at, to, near = around
-    own = to == c[at]
-    stay = -degree * (size[c] - degree)
-    stay[at[own]] += total * near[own]
-    gains = ~own & ~stale[at] & (total * near - degree[at] * size[to] > stay[at])
-    return np.unique(at[gains]).tolist()
-
-
-def _louvain(u, v, n: int, rounds: int):
-    """The community of each node, the number of one of its nodes; None if a level isn't done after ``rounds``."""
+    n, each = len(c), first[some + 1] - first[some]
+    row = np.repeat(np.arange(len(some)), each)
+    arcs = np.repeat(first[some] - np.cumsum(each) + each, each) + np.arange(each.sum())
+    key, near = _summed(row * n + c[to[arcs]], w[arcs])
+    row, goal = key // n, key % n
+    own, deg = goal == c[some][row], degree[some]
+    stay = -deg * (size[c[some]] - deg)
+    stay[row[own]] += total * near[own]
+    best = np.full(len(some), np.iinfo(np.int64).min // 2)
+    np.maximum.at(best, row[~own], total * near[~own] - deg[row[~own]] * size[goal[~own]])
+    return stay - best
+
+
+def _louvain(u, v, n: int, rounds: int | None):
+    """The community of each node, the number of one of its nodes; None if a level isn't done after ``rounds``, if given."""
     import numpy as np
 
     u, v = np.concatenate([u, v]), np.concatenate([v, u])
@@ -261,8 +269,8 @@ def _louvain(u, v, n: int, rounds: int):
         u, v = key // len(kept), key % len(kept)
 
 
-def communities(ws: Workspace, pairs: DataFrame, rounds: int) -> DataFrame | None:
-    """(id, c) of the ends of distinct undirected pairs (u, v) of unlike ids; None if a level isn't done after ``rounds``."""
+def communities(ws: Workspace, pairs: DataFrame, rounds: int | None) -> DataFrame | None:
+    """(id, c) of the ends of distinct undirected pairs (u, v) of unlike ids; None if a level isn't done after ``rounds``, if given."""
     ends = ws.write(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct())[1]
     names = numbered(ws, ends)
     links, n = coded(ws, pairs, names, "u", "v"), names.count()

@@ -67,3 +67,31 @@ def test_no_move_gains_at_the_end_of_a_level():
             rest = sum(k[j] for j in range(300) if c[j] == to and j != i)
             gain[to] = gain.get(to, 0) - k[i] * rest
         assert max(gain.values()) == gain[c[i]]
+
+
+def test_moves_one_after_another_have_no_bound(spark, monkeypatch):
+    """Large graphs took more rounds than were allowed; each raises modularity, so they end."""
+    monkeypatch.setattr(co, "ROUNDS", 2)
+    ring = [f"r{i:02d}" for i in range(24)]
+    g = GraphStore(nodes(spark, *ring), edges(spark, *[(a, b, "calls") for a, b in zip(ring, ring[1:] + ring[:1])]))
+    assert co.modularity(co.louvain(g), g).first()[0] > 0.5
+
+
+@pytest.mark.parametrize("many", [3, 500])
+def test_no_move_gains_without_a_bound(monkeypatch, many):
+    """What isn't looked at again, as too little has moved, wouldn't gain."""
+    import numpy as np
+
+    monkeypatch.setattr(intask, "MANY", many)
+    r = np.random.default_rng(9)
+    pairs = np.unique(np.sort(np.stack([r.integers(0, 400, 1500), r.integers(0, 400, 1500) ** 2 // 400], axis=1), axis=1), axis=0)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    u, v = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]])
+    c = np.array(intask._level(u, v, np.ones(len(u), np.int64), 400, len(u), None))
+    k = np.bincount(u, minlength=400)
+    size = np.bincount(c, weights=k, minlength=400).astype(np.int64)
+    into = np.zeros((400, 400), np.int64)
+    np.add.at(into, (u, c[v]), len(u))
+    gain = np.where(into > 0, into - k[:, None] * (size[None, :] - (c[:, None] == np.arange(400)) * k[:, None]), np.iinfo(np.int64).min)
+    stay = into[np.arange(400), c] - k * (size[c] - k)
+    assert (gain.max(axis=1) <= np.maximum(stay, gain[np.arange(400), c])).all()
