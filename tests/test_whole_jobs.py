@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tessera.operators import community as co
+from tessera.operators.retrieval import Retriever
 from tessera.operators.store import GraphStore
 from tessera.plans import catalog
 from test_store import edges, nodes, path
@@ -52,3 +53,28 @@ def test_louvain_that_is_not_done_is_an_error(spark):
     g = GraphStore(nodes(spark, *ring), edges(spark, *[(a, b, "calls") for a, b in zip(ring, ring[1:] + ring[:1])]))
     with pytest.raises(RuntimeError, match="still gain"):
         co.louvain(g, rounds=2)
+
+
+#: Queries that ask all questions, and the arm that they ask.
+WHOLE = {
+    "graph_retrieve": "graph",
+}
+
+
+class Asked(Exception):
+    pass
+
+
+@tables
+@pytest.mark.parametrize("name", WHOLE)
+def test_all_questions_are_asked(spark, monkeypatch, name):
+    def arm(self, queries, *_, **__):
+        raise Asked({r.query_id for r in queries.select("query_id").collect()})
+
+    monkeypatch.setattr(Retriever, WHOLE[name], arm)
+    monkeypatch.setattr(GraphStore, "pagerank", lambda *_, **__: None)
+    with pytest.raises(Asked) as e:
+        entry.queries()[name](spark, FOLDER)
+    ids = {r.id for r in spark.read.parquet(f"{FOLDER}/eval_queries.parquet").select("id").collect()}
+    assert e.value.args[0] == ids and len(ids) > 1
+    assert "% 50" not in entry.oracle_sql()[name]
