@@ -58,6 +58,7 @@ def test_louvain_that_is_not_done_is_an_error(spark):
 #: Queries that ask all questions, and the arm that they ask.
 WHOLE = {
     "graph_retrieve": "graph",
+    "attrs_delta": "graph_attrs",
 }
 
 
