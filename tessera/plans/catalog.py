@@ -273,7 +273,7 @@ def graph_retrieve(spark, d):
 
 @query(f"{_graph_sql(_ANCHORS, attrs=True)} {_SHOW.format('out')}")
 def graph_attrs_retrieve(spark, d):
-    return _show(_retriever(spark, d).graph(_asked(spark, d, every=50), attrs=True))
+    return _show(_retriever(spark, d).graph(_asked(spark, d), attrs=True))
 
 
 @query(
@@ -750,7 +750,7 @@ def event_windows(spark, d):
     return windowed_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
 
 
-for _name in ("graph_attrs_retrieve", "graph_pagerank_retrieve", "hybrid_rrf", "multi_anchor_retrieve", "path_retrieve", "recall_at_budget", "rerank_topk",):
+for _name in ("graph_pagerank_retrieve", "hybrid_rrf", "multi_anchor_retrieve", "path_retrieve", "recall_at_budget", "rerank_topk",):
     _SQL[_name] = _SQL[_name].replace(_ASK, _ASK_SOME)
 
 

@@ -59,6 +59,7 @@ def test_louvain_that_is_not_done_is_an_error(spark):
 WHOLE = {
     "graph_retrieve": "graph",
     "attrs_delta": "graph_attrs",
+    "graph_attrs_retrieve": "graph",
 }
 
 
