@@ -282,7 +282,7 @@ def graph_attrs_retrieve(spark, d):
 )
 def graph_pagerank_retrieve(spark, d):
     r = _retriever(spark, d)
-    return _show(r.graph(_asked(spark, d, every=50), pagerank=r.store.pagerank(PR_ROUNDS, tolerance=None)))
+    return _show(r.graph(_asked(spark, d), pagerank=r.store.pagerank(PR_ROUNDS, tolerance=None)))
 
 
 _DOCS = """docs AS MATERIALIZED (SELECT doc_id AS id, coalesce(title, 'untitled') || '#' || doc_id AS label, text FROM documents WHERE text IS NOT NULL)"""
@@ -750,7 +750,7 @@ def event_windows(spark, d):
     return windowed_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
 
 
-for _name in ("graph_pagerank_retrieve", "hybrid_rrf", "multi_anchor_retrieve", "path_retrieve", "recall_at_budget", "rerank_topk",):
+for _name in ("hybrid_rrf", "multi_anchor_retrieve", "path_retrieve", "recall_at_budget", "rerank_topk",):
     _SQL[_name] = _SQL[_name].replace(_ASK, _ASK_SOME)
 
 

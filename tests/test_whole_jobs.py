@@ -60,6 +60,7 @@ WHOLE = {
     "graph_retrieve": "graph",
     "attrs_delta": "graph_attrs",
     "graph_attrs_retrieve": "graph",
+    "graph_pagerank_retrieve": "graph",
 }
 
 
