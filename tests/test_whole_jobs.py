@@ -61,6 +61,7 @@ WHOLE = {
     "attrs_delta": "graph_attrs",
     "graph_attrs_retrieve": "graph",
     "graph_pagerank_retrieve": "graph",
+    "hybrid_rrf": "hybrid",
 }
 
 
