@@ -62,6 +62,7 @@ WHOLE = {
     "graph_attrs_retrieve": "graph",
     "graph_pagerank_retrieve": "graph",
     "hybrid_rrf": "hybrid",
+    "multi_anchor_retrieve": "multi_anchor",
 }
 
 
