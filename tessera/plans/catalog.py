@@ -345,7 +345,7 @@ def multi_anchor_retrieve(spark, d):
     {_PACK.format(order='i', name='out', budget=BUDGET)} {_SHOW.format('out')}"""
 )
 def path_retrieve(spark, d):
-    return _show(_retriever(spark, d).path(_asked(spark, d, every=50)))
+    return _show(_retriever(spark, d).path(_asked(spark, d)))
 
 
 @query(
@@ -750,7 +750,7 @@ def event_windows(spark, d):
     return windowed_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
 
 
-for _name in ("path_retrieve", "recall_at_budget", "rerank_topk",):
+for _name in ("recall_at_budget", "rerank_topk",):
     _SQL[_name] = _SQL[_name].replace(_ASK, _ASK_SOME)
 
 

@@ -63,6 +63,7 @@ WHOLE = {
     "graph_pagerank_retrieve": "graph",
     "hybrid_rrf": "hybrid",
     "multi_anchor_retrieve": "multi_anchor",
+    "path_retrieve": "path",
 }
 
 
