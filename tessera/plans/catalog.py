@@ -641,15 +641,14 @@ _RECALL = """want AS (SELECT DISTINCT id AS query_id, unnest(relevant_sources) A
     got AS (SELECT DISTINCT query_id, source FROM {0}), rec AS (SELECT w.query_id, count(g.source) / count(*)::DOUBLE AS recall FROM asked_want w LEFT JOIN got g USING (query_id, source) GROUP BY w.query_id)"""
 
 
-def _recall(spark: SparkSession, d: str, segments: DataFrame, favored: bool = False, every: int = 1) -> DataFrame:
+def _recall(spark: SparkSession, d: str, segments: DataFrame, favored: bool = False) -> DataFrame:
     q = table(spark, d, "eval_queries").where("graph_favored") if favored else table(spark, d, "eval_queries")
-    asked = _asked(spark, d, every=every).select("query_id")
-    return ev.recall(segments, q.select(F.col("id").alias("query_id"), "relevant_sources").join(asked, "query_id", "left_semi"))
+    return ev.recall(segments, q.where("id is not null").select(F.col("id").alias("query_id"), "relevant_sources"))
 
 
 @query(f"{_graph_sql(_ANCHORS)}, {_RECALL.format('out', '')} SELECT query_id, round(recall, 6) AS recall FROM rec")
 def recall_at_budget(spark, d):
-    return _recall(spark, d, _retriever(spark, d).graph(_asked(spark, d, every=50)), every=50).select("query_id", F.round("recall", 6).alias("recall"))
+    return _recall(spark, d, _retriever(spark, d).graph(_asked(spark, d))).select("query_id", F.round("recall", 6).alias("recall"))
 
 
 def _mean_recall(name: str, attrs: bool) -> str:
@@ -750,7 +749,7 @@ def event_windows(spark, d):
     return windowed_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
 
 
-for _name in ("recall_at_budget", "rerank_topk",):
+for _name in ("rerank_topk",):
     _SQL[_name] = _SQL[_name].replace(_ASK, _ASK_SOME)
 
 

@@ -64,6 +64,7 @@ WHOLE = {
     "hybrid_rrf": "hybrid",
     "multi_anchor_retrieve": "multi_anchor",
     "path_retrieve": "path",
+    "recall_at_budget": "graph",
 }
 
 
