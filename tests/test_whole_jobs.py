@@ -65,6 +65,7 @@ WHOLE = {
     "multi_anchor_retrieve": "multi_anchor",
     "path_retrieve": "path",
     "recall_at_budget": "graph",
+    "rerank_topk": "graph",
 }
 
 
